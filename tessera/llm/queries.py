@@ -7,13 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, packing, repair_shards
+from tessera.llm import byte_bpe, language_id, packing, repair_shards, secret_scan
 from tessera.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS)
 
@@ -27,7 +35,7 @@ def op9_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_byte_bpe, op8_packing, op9_repair_shards)}
+    return {f.__name__: f for f in (op4_secret_scan, op5_language_id, op6_byte_bpe, op8_packing, op9_repair_shards)}
 
 
 def oracle_sql() -> dict[str, str]:

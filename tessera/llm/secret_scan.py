@@ -1,0 +1,150 @@
+"""Secret scans in DataFrame functions only: base patterns, and sliding-window Shannon entropy over candidate strings.
+
+Base kinds ``assign``, ``access`` and ``hex`` are regular expressions.  The method adds the kind ``entropy``: in every
+candidate string (a maximal run of key characters) a window of ``WINDOW`` characters slides; the counts of the characters
+in it are kept up to date by the one that enters and the one that leaves, and with them the sum of c * log2(c), which
+gives the window's entropy.  The threshold depends on the string's character class.  Strings on the allow list, and
+those that touch a base span, are suppressed.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: Maximal runs, so that a least length in the pattern is the same as dropping shorter matches.
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+ASSIGN_LEAST = 6
+WINDOW = 20
+#: Bits a window must have, by the character class of the whole candidate: digits and a-f, one letter case, any.
+THRESHOLDS = (("^[0-9a-fA-F]+$", 3.0), ("^([0-9a-z]+|[0-9A-Z]+)$", 3.6), ("", 3.75))
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Never secrets: no digit or no letter at all, UUIDs, words or numbers joined by separators, published sample keys.
+ALLOWED = (
+    r"^[^0-9]*$",
+    r"^[^A-Za-z]*$",
+    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    r"^([A-Za-z]+|[0-9]+)([/_=+-]+([A-Za-z]+|[0-9]+))*[/_=+-]*$",
+    r"EXAMPLE",
+)
+KINDS = ("assign", "access", "hex", "entropy")
+MASK = "[SECRET]"
+
+
+def _found(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
+    """Spans (start, kind, end, string) of the matches whose group is long enough, by position.
+
+    The pieces between matches and the matches themselves give the positions in code points.
+    """
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,hit:string>>")
+
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + F.length(x["gap"])
+        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
+        span = F.struct(start.cast("long").alias("start"), F.lit(kind).alias("kind"), end.cast("long").alias("end"), x["hit"].alias("hit"))
+        return F.struct(end.cast("long").alias("at"), F.when(F.length(x["value"]) >= least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+
+    every = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    return F.when(text.rlike(pattern), every).otherwise(empty)
+
+
+def _weight(count: Column) -> Column:
+    """c * log2(c), 0 for none."""
+    return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
+
+
+def _hot_part(text: Column) -> Column:
+    """First and last window start (0-based) at which a candidate's window reaches its threshold, or nulls."""
+    n = F.length(text)
+    index = lambda at: F.instr(F.lit(ALPHABET), F.substr(text, at, F.lit(1)))
+    letters = F.sequence(F.lit(1), F.lit(len(ALPHABET)))
+    window = F.substr(text, F.lit(1), F.lit(WINDOW))
+    counts = F.transform(letters, lambda k: F.length(window) - F.length(F.replace(window, F.substr(F.lit(ALPHABET), k, F.lit(1)), F.lit(""))))
+    limit = F.lit(math.inf)
+    for pattern, bits in reversed(THRESHOLDS):
+        # entropy = log2(W) - sum / W reaches the threshold where the sum is at most this
+        limit = F.when(text.rlike(pattern), F.lit(WINDOW * (math.log2(WINDOW) - bits) + 1e-9)).otherwise(limit)
+
+    def state(counts: Column, total: Column, first: Column, last: Column) -> Column:
+        return F.struct(counts.alias("counts"), total.cast("double").alias("total"), first.cast("int").alias("first"), last.cast("int").alias("last"))
+
+    total = F.aggregate(counts, F.lit(0.0), lambda a, c: a + _weight(c))
+    none = F.lit(None).cast("int")
+    start = state(counts, total, F.when(total <= limit, 0).otherwise(none), F.when(total <= limit, 0).otherwise(none))
+
+    def slide(s: Column, i: Column) -> Column:
+        gone, come = index(i), index(i + WINDOW)
+        moved = F.transform(s["counts"], lambda c, k: c - F.when(k + 1 == gone, 1).otherwise(0) + F.when(k + 1 == come, 1).otherwise(0))
+        had = F.element_at(s["counts"], gone)
+        more = F.element_at(s["counts"], come) - F.when(come == gone, 1).otherwise(0)
+        total = s["total"] - _weight(had) + _weight(had - 1) - _weight(more) + _weight(more + 1)
+        return state(moved, total, F.coalesce(s["first"], F.when(total <= limit, i).otherwise(none)), F.when(total <= limit, i).otherwise(s["last"]))
+
+    steps = F.when(n > WINDOW, F.sequence(F.lit(1), n - WINDOW)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, start, slide, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+
+
+def _entropy(text: Column, base: Column) -> Column:
+    """Spans of high-entropy parts of candidates that no allow-list pattern covers and no base span touches."""
+    candidates = _found(text, CANDIDATE, KINDS.index("entropy"), 0, WINDOW)
+    allowed = lambda s: F.greatest(*[s.rlike(p) for p in ALLOWED])
+    open_ones = F.filter(candidates, lambda c: ~allowed(c["hit"]) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    rated = F.transform(open_ones, lambda c: F.struct(c["start"], c["kind"], _hot_part(c["hit"]).alias("hot"), c["hit"]))
+    hot = F.filter(rated, lambda c: c["hot"]["first"].isNotNull())
+    return F.transform(hot, lambda c: F.struct((c["start"] + c["hot"]["first"]).alias("start"), c["kind"], (c["start"] + c["hot"]["last"] + WINDOW).alias("end"), c["hit"]))
+
+
+def _joined(spans: Column) -> Column:
+    """kind:start:end of the spans, comma-joined."""
+    named = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(named, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def with_spans(docs: DataFrame) -> DataFrame:
+    """doc_id and the whole text (null: empty), with the arrays of base spans and of all spans in order."""
+    texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    base = F.array_sort(F.concat(_found(F.col("text"), ASSIGN, 0, 2, ASSIGN_LEAST), _found(F.col("text"), ACCESS, 1, 0, 20), _found(F.col("text"), HEX, 2, 0, 24)))
+    texts = texts.withColumn("base", base)
+    texts = texts.withColumn("more", _entropy(F.col("text"), F.col("base")))
+    return texts.withColumn("all", F.array_sort(F.concat("base", "more")))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """Secrets of every whole text.
+
+    docs needs ``doc_id`` and ``text``; other columns are ignored.  A null or empty text has no spans; repeated rows are
+    scanned once each; no rows give no rows.  Positions are code points, the end exclusive.  Returns doc_id, n_assign,
+    n_access, n_hex, base_sha256, spans, and n_entropy.
+    """
+    found = with_spans(docs)
+    n = lambda k: F.size(F.filter("all", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), n(3).alias("n_entropy"))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The documents with every span (overlapping ones together) replaced by a mask; n_chars follows the new text.
+
+    Every document is kept.  A text without secrets, a null one included, stays as it is.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = F.array_sort(F.concat(_found(text, ASSIGN, 0, 2, ASSIGN_LEAST), _found(text, ACCESS, 1, 0, 20), _found(text, HEX, 2, 0, 24)))
+    found = docs.withColumn("_base", base).withColumn("_spans", F.array_sort(F.concat("_base", _entropy(text, F.col("_base")))))
+
+    def cut(state: Column, s: Column) -> Column:
+        begin = F.greatest(s["start"], state["at"])
+        fresh = s["start"] >= state["at"]
+        out = F.when(fresh, F.concat(state["out"], F.substr(F.col("text"), (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int")), F.lit(MASK))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate("_spans", start, cut, lambda s: F.concat(s["out"], F.substr(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
+    found = found.withColumn("_clean", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text")))
+    changed = {"text": F.col("_clean"), "n_chars": F.when(F.size("_spans") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars"))}
+    return found.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
