@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, language_id, packing, repair_shards, secret_scan
+from tessera.llm import byte_bpe, language_id, near_dedup, packing, repair_shards, secret_scan
 from tessera.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op9_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_secret_scan, op5_language_id, op6_byte_bpe, op8_packing, op9_repair_shards)}
+    return {f.__name__: f for f in (op1_near_dedup, op4_secret_scan, op5_language_id, op6_byte_bpe, op8_packing, op9_repair_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
