@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, language_id, near_dedup, packing, repair_shards, secret_scan
+from tessera.llm import byte_bpe, embedding_dedup, knn_join, language_id, near_dedup, packing, repair_shards, secret_scan
 from tessera.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,6 +18,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op2_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -38,8 +42,12 @@ def op9_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_shards.encode_and_read_back(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op4_secret_scan, op5_language_id, op6_byte_bpe, op8_packing, op9_repair_shards)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_knn_join, op4_secret_scan, op5_language_id, op6_byte_bpe, op8_packing, op9_repair_shards, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
