@@ -1,15 +1,652 @@
-"""The registered queries of the core engine, each with the SQL that gives the same rows."""
+"""The registered queries of the core engine, each with the SQL that gives the same rows.
+
+The driver's tables hold no coordinates, so samples derive them from ``events`` in the same way in both engines, and the
+event log is built from ``events`` too.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import scalars, timeslots
+from tessera.functions.timeslots import TimeAxis
+from tessera.operators import binning, healpix, intervals, pyramid, state_log, tabular
+from tessera.operators.binning import Grid
+from tessera.plans import planner, resume
+from tessera.sinks import cube
+from tessera.validators import chunks, conventions
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+EPOCH = 1704067200  # 2024-01-01
+HOURLY = TimeAxis(EPOCH, 3600)
+DAILY = TimeAxis(EPOCH, 86400, size=40)
+GRID = Grid(-60.0, 60.0, -120.0, 120.0, 10.0)
+FINE = Grid(-60.0, 60.0, -120.0, 120.0, 1.0)
+
+SAMPLES_SQL = "samples as (select event_id as pos, event_type as grp, ts as time, value, user_id, cast(event_id * 37 % 1800 as double) / 10e0 - 90e0 as lat, cast(event_id * 73 % 3600 as double) / 10e0 - 180e0 as lon, cast(floor(epoch_us(ts) / 1e6) as bigint) as sec from events)"
+SLOT_SQL = f"slotted as (select *, (sec - {EPOCH}) // 3600 as slot from samples)"
+PLACED_SQL = "placed as (select * from (select *, cast(floor((lat + 65e0) / 10e0) as bigint) as iy, cast(floor((lon + 125e0) / 10e0) as bigint) as ix from samples) where iy >= 0 and iy < 13 and ix >= 0 and ix < 25)"
+
+
+def query(sql: str | None) -> Callable:
+    """Registers a query under its function's name, with its SQL."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias("pos"), F.col("event_type").alias("grp"), F.col("ts").cast("timestamp").alias("time"), "value", "user_id",
+        (F.expr("cast(event_id * 37 % 1800 as double)") / 10 - 90).alias("lat"), (F.expr("cast(event_id * 73 % 3600 as double)") / 10 - 180).alias("lon"),
+    )
+
+
+def _slotted(spark: SparkSession, sf_dir: str, axis: TimeAxis = HOURLY) -> DataFrame:
+    return _samples(spark, sf_dir).withColumn("slot", timeslots.slot_of(F.col("time"), axis))
+
+
+def _r6(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+# --- time slots ---------------------------------------------------------------------------------------------------
+
+
+@query(f"with {SAMPLES_SQL}, {SLOT_SQL} select pos, slot from slotted")
+def slot_floor(spark, sf_dir):
+    return _slotted(spark, sf_dir).select("pos", "slot")
+
+
+@query("select o_orderkey, cast((epoch_us(d) / 1000000 - 694224000) // 172800 as bigint) as slot from (select o_orderkey, o_orderdate + to_seconds(cast(o_orderkey % 2 as bigint)) as d from orders) where epoch_us(d) % 1000000 = 0 and (epoch_us(d) / 1000000 - 694224000) >= 0 and (epoch_us(d) / 1000000 - 694224000) % 172800 = 0")
+def slot_exact_valid(spark, sf_dir):
+    axis = TimeAxis(694224000, 172800, "exact")
+    shifted = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 2)
+    rows = _table(spark, sf_dir, "orders").withColumn("slot", timeslots.slot_of(shifted, axis))
+    return rows.where("slot is not null").select("o_orderkey", "slot")
+
+
+@query(f"with {SAMPLES_SQL} select case when sec < {EPOCH + 86400} then 'before_epoch' when epoch_us(time) % 1000000 <> 0 then 'sub_second' when (sec - {EPOCH + 86400}) % 300 <> 0 then 'off_grid' else 'ok' end as fault, count(*) as n from samples group by 1")
+def slot_faults(spark, sf_dir):
+    axis = TimeAxis(EPOCH + 86400, 300, "exact")
+    return _samples(spark, sf_dir).groupBy(F.coalesce(timeslots.slot_fault(F.col("time"), axis), F.lit("ok")).alias("fault")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {SAMPLES_SQL}, {SLOT_SQL} select distinct slot, strftime(make_timestamp(cast({EPOCH} + slot * 3600 as bigint) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as starts from slotted")
+def slot_coordinate(spark, sf_dir):
+    rows = _slotted(spark, sf_dir).select("slot").distinct()
+    return rows.select("slot", timeslots.epoch_to_iso(F.unix_seconds(timeslots.time_of(F.col("slot"), HOURLY))).alias("starts"))
+
+
+@query(f"with {SAMPLES_SQL}, {SLOT_SQL} select pos, slot from slotted where slot >= 48 and slot < 96")
+def slot_filter_range(spark, sf_dir):
+    return _slotted(spark, sf_dir).where(timeslots.in_slot_range(F.col("slot"), 48, 96)).select("pos", "slot")
+
+
+@query(f"with {SAMPLES_SQL}, {SLOT_SQL} select grp, slot, count(*) as n, round(avg(value), 6) as mean, min(value) as low, max(value) as high, round(median(value), 6) as middle, arg_min(value, pos) as first, arg_max(value, pos) as last from slotted group by grp, slot")
+def slot_agg(spark, sf_dir):
+    wanted = {"mean": "mean", "low": "min", "high": "max", "middle": "median", "first": "first", "last": "last"}
+    rows = _slotted(spark, sf_dir)
+    out = rows.groupBy("grp", "slot").agg(F.count("*").alias("n"), *[binning.aggregate_of(binning.clean(F.col("value")), m, F.col("pos")).alias(n) for n, m in wanted.items()])
+    return _r6(out, "mean", "middle")
+
+
+@query(f"with {SAMPLES_SQL} select pos, grp, case when grp = 'click' then (sec - {EPOCH}) // 300 when grp = 'view' then (sec - {EPOCH}) // 600 end as slot from samples")
+def slot_per_group_axis(spark, sf_dir):
+    axes = timeslots.index_axes(spark, {"click": TimeAxis(EPOCH, 300), "view": TimeAxis(EPOCH, 600)})
+    return timeslots.assign_slots(_samples(spark, sf_dir), axes).select("pos", "grp", "slot")
+
+
+@query(f"select cast(o_orderkey as bigint) as o_orderkey, cast(floor((epoch_us(o_orderdate) / 1e6 - 694224000) / 86400) as bigint) as slot from orders where epoch_us(o_orderdate) / 1e6 >= 694224000")
+def slot_orders_daily(spark, sf_dir):
+    axis = TimeAxis(694224000, 86400)
+    rows = _table(spark, sf_dir, "orders").withColumn("slot", timeslots.slot_of(F.col("o_orderdate"), axis))
+    return rows.where("slot is not null").select("o_orderkey", "slot")
+
+
+# --- binning ------------------------------------------------------------------------------------------------------
+
+
+def _bin(method: str, expression: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _r6(binning.bin_to_grid(_samples(spark, sf_dir), GRID, {"v": ("value", method)}), *(["v"] if method != "any" else []))
+
+    run.__name__ = f"bin_{method}"
+    query(f"with {SAMPLES_SQL}, {PLACED_SQL} select iy, ix, {expression} as v from placed group by iy, ix")(run)
+
+
+for _method, _expression in {
+    "mean": "round(avg(value), 6)", "min": "round(min(value), 6)", "max": "round(max(value), 6)", "first": "round(arg_min(value, pos), 6)",
+    "last": "round(arg_max(value, pos), 6)", "median": "round(median(value), 6)", "any": "cast(bool_or(value <> 0) as int)",
+}.items():
+    _bin(_method, _expression)
+
+FINE_SQL = "fine as (select * from (select *, cast(floor((lat + 60.5e0) / 1e0) as bigint) as iy, cast(floor((lon + 120.5e0) / 1e0) as bigint) as ix from samples) where iy >= 0 and iy < 121 and ix >= 0 and ix < 241), cells as (select a.i as iy, b.i as ix from (select unnest(range(121)) as i) a cross join (select unnest(range(241)) as i) b)"
+
+
+@query(f"with {SAMPLES_SQL}, {FINE_SQL}, m as (select iy, ix, avg(value) as v, bool_or(value <> 0) as a from fine group by iy, ix) select c.iy, c.ix, cast(c.iy - 60 as double) as lat_c, cast(c.ix - 120 as double) as lon_c, round(m.v, 6) as v, cast(coalesce(m.a, false) as int) as seen from cells c left join m on c.iy = m.iy and c.ix = m.ix")
+def bin_dense(spark, sf_dir):
+    return _r6(binning.bin_to_grid(_samples(spark, sf_dir), FINE, {"v": ("value", "mean"), "seen": ("value", "any")}, dense=True), "v")
+
+
+@query(f"with {SAMPLES_SQL}, {PLACED_SQL} select count(*) as inside, (select count(*) from samples) - count(*) as dropped from placed")
+def bin_bounds_drop(spark, sf_dir):
+    rows = _samples(spark, sf_dir)
+    inside = binning.to_grid(rows, GRID).agg(F.count("*").alias("inside"))
+    return inside.join(rows.agg(F.count("*").alias("n"))).select("inside", (F.col("n") - F.col("inside")).alias("dropped"))
+
+
+@query(f"with {SAMPLES_SQL}, {PLACED_SQL} select iy, ix, round(avg(value), 6) as mean, max(user_id)::double as top_user, round(median(value), 6) as middle, arg_min(user_id, pos)::double as first_user from placed group by iy, ix")
+def bin_multi_var(spark, sf_dir):
+    methods = {"mean": ("value", "mean"), "top_user": ("user_id", "max"), "middle": ("value", "median"), "first_user": ("user_id", "first")}
+    return _r6(binning.bin_to_grid(_samples(spark, sf_dir), GRID, methods), "mean", "middle")
+
+
+@query(f"with {SAMPLES_SQL}, e as (select floor(min(lat)) as a, ceil(max(lat)) as b, floor(min(lon)) as c, ceil(max(lon)) as d from samples), p as (select cast(floor((lat - (a - 10e0)) / 20e0) as bigint) as iy, cast(floor((lon - (c - 10e0)) / 20e0) as bigint) as ix, value from samples, e) select iy, ix, count(*) as n, round(avg(value), 6) as v from p group by iy, ix")
+def bin_auto_extent(spark, sf_dir):
+    rows = _samples(spark, sf_dir)
+    placed = binning.to_grid(rows, binning.extent_of(rows, 20.0))
+    return _r6(placed.groupBy("iy", "ix").agg(F.count("*").alias("n"), F.avg("value").alias("v")), "v")
+
+
+@query(f"with {SAMPLES_SQL}, {PLACED_SQL}, c as (select iy * 25 + ix as cell, avg(value) as v from placed group by 1), t as (select unnest(range(0, 400, 3)) as cell) select t.cell, round(c.v, 6) as v from t left join c on t.cell = c.cell")
+def bin_target_cells(spark, sf_dir):
+    placed = binning.to_grid(_samples(spark, sf_dir), GRID).withColumn("cell", F.col("iy") * GRID.n_lon + F.col("ix"))
+    return _r6(binning.bin_to_cells(placed, spark.range(0, 400, 3).withColumnRenamed("id", "cell"), "cell", {"v": ("value", "mean")}), "v")
+
+
+@query(f"with {SAMPLES_SQL}, {FINE_SQL}, m as (select iy, ix, avg(value) as v from fine group by iy, ix) select count(m.v) as n_valid_cells, count(*) as n_cells, round(100e0 * count(m.v) / count(*), 6) as fill_percentage from cells c left join m on c.iy = m.iy and c.ix = m.ix")
+def grid_stats(spark, sf_dir):
+    return binning.grid_stats(binning.bin_to_grid(_samples(spark, sf_dir), FINE, {"v": ("value", "mean")}, dense=True), "v")
+
+
+@query("select cast(n.n_nationkey as bigint) as y, cast(r.r_regionkey as bigint) as x, n.n_nationkey * 2e0 as lat, r.r_regionkey * 3e0 as lon, cast(n.n_nationkey * 10 + r.r_regionkey as double) as value from nation n cross join region r where (n.n_nationkey + r.r_regionkey) % 3 = 0")
+def rect_mesh(spark, sf_dir):
+    lats = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("y"), (F.col("n_nationkey") * 2.0).alias("lat"))
+    lons = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("x"), (F.col("r_regionkey") * 3.0).alias("lon"))
+    data = spark.range(125).select(F.expr("id div 5").alias("y"), (F.col("id") % 5).alias("x")).where("(y + x) % 3 = 0").withColumn("value", (F.col("y") * 10 + F.col("x")).cast("double"))
+    return binning.rectangular_mesh(lats, lons, data).select("y", "x", "lat", "lon", "value")
+
+
+@query(None)
+def healpix_mean(spark, sf_dir):
+    """Mean of each nested cell at depth 4; the tests hold the cells against an independent implementation."""
+    cells = healpix.with_cells(_samples(spark, sf_dir), 4)
+    return _r6(binning.aggregate_cells(cells, ["cell"], {"v": ("value", "mean"), "seen": ("value", "any")}), "v")
+
+
+@query(None)
+def healpix_cells_in_box(spark, sf_dir):
+    return healpix.cells_in_box(spark, -10.0, 30.0, 20.0, 50.0, 5)
+
+
+# --- pyramids -----------------------------------------------------------------------------------------------------
+
+FIELD_SQL = f"{SAMPLES_SQL}, {PLACED_SQL}, field as (select iy, ix, avg(value) as v, iy * 10e0 - 60e0 as lat, ix * 10e0 - 120e0 as lon from placed group by iy, ix)"
+
+
+def _field(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    placed = binning.to_grid(_samples(spark, sf_dir).withColumn("day", timeslots.slot_of(F.col("time"), DAILY)), GRID)
+    field = binning.aggregate_cells(placed, [*keys, "iy", "ix"], {"v": ("value", "mean")})
+    return field.withColumn("lat", F.col("iy") * 10.0 - 60.0).withColumn("lon", F.col("ix") * 10.0 - 120.0)
+
+
+@query(f"with {FIELD_SQL} select iy // 2 as by, ix // 2 as bx, round(avg(v), 6) as v, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon from field where iy < 12 and ix < 24 group by 1, 2")
+def pyramid_2x(spark, sf_dir):
+    return _r6(pyramid.coarsen(_field(spark, sf_dir), ["v"], 2, 2, GRID.n_lat, GRID.n_lon, keys=(), coordinates=["lat", "lon"]), "v", "lat", "lon")
+
+
+@query(f"with {FIELD_SQL} select iy // 3 as by, ix // 3 as bx, round(avg(v), 6) as v from field where iy < 12 and ix < 24 group by 1, 2")
+def pyramid_trim(spark, sf_dir):
+    return _r6(pyramid.coarsen(_field(spark, sf_dir), ["v"], 3, 3, GRID.n_lat, GRID.n_lon, keys=()), "v")
+
+
+@query(f"with {SAMPLES_SQL}, {PLACED_SQL}, field as (select (sec - {EPOCH}) // 86400 as day, iy, ix, avg(value) as v from placed group by 1, 2, 3) select day, iy // 4 as by, ix // 4 as bx, round(avg(v), 6) as v from field where iy < 12 and ix < 24 group by 1, 2, 3")
+def pyramid_time(spark, sf_dir):
+    factor = pyramid.factor_of(45.0, 10.0)  # 4.5 rounds to 4
+    return _r6(pyramid.coarsen(_field(spark, sf_dir, "day"), ["v"], factor, factor, GRID.n_lat, GRID.n_lon, keys=("day",)), "v")
+
+
+# --- intervals, coverage, planning ----------------------------------------------------------------------------------
+
+RANGES_SQL = "ranges as (select event_type as grp, event_id as id, event_id * 13 % 5000 as start, event_id * 13 % 5000 + event_id % 9 as \"end\" from events where event_id % 5 = 0)"
+MERGED_SQL = f"{RANGES_SQL}, m1 as (select grp, start, \"end\", max(\"end\") over (partition by grp order by start, \"end\" rows between unbounded preceding and 1 preceding) as reach from ranges), m2 as (select *, sum(case when reach is null or start > reach then 1 else 0 end) over (partition by grp order by start, \"end\" rows unbounded preceding) as island from m1), merged as (select grp, min(start) as start, max(\"end\") as \"end\" from m2 group by grp, island)"
+TOTAL = 6000
+GAPS_SQL = f"{MERGED_SQL}, g1 as (select grp, greatest(start, 0) as start, least(\"end\", {TOTAL}) as \"end\" from merged where greatest(start, 0) < least(\"end\", {TOTAL}) union all select distinct grp, {TOTAL} as start, {TOTAL} as \"end\" from merged), g2 as (select grp, coalesce(max(\"end\") over (partition by grp order by start, \"end\" rows between unbounded preceding and 1 preceding), 0) as gap, start from g1), gaps as (select grp, gap as start, start as \"end\" from g2 where gap < start)"
+ALIGNED_SQL = f"{GAPS_SQL}, al as (select grp, start, \"end\", cast(ceil(start / 20e0) * 20 as bigint) as up from gaps), parts as (select grp, 'aligned' as kind, up as start, \"end\" from al where up < \"end\" union all select grp, 'blocked' as kind, start, up as \"end\" from al where up < \"end\" and up > start union all select grp, 'blocked' as kind, start, \"end\" from al where up >= \"end\")"
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    return e.select(F.col("event_type").alias("grp"), F.col("event_id").alias("id"), F.expr("event_id * 13 % 5000").alias("start"), F.expr("event_id * 13 % 5000 + event_id % 9").alias("end"))
+
+
+def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir).select("grp").distinct().select("grp", F.lit(TOTAL).cast("long").alias("total"), F.lit(20).cast("long").alias("size"))
+
+
+@query(f"with {SAMPLES_SQL}, {SLOT_SQL}, d as (select distinct grp, slot from slotted), l as (select *, slot - row_number() over (partition by grp order by slot) as lane from d) select grp, min(slot) as start, max(slot) as \"end\", count(*) as n from l group by grp, lane")
+def coverage_islands(spark, sf_dir):
+    return intervals.islands(_slotted(spark, sf_dir))
+
+
+@query(f"with {MERGED_SQL} select * from merged")
+def interval_merge(spark, sf_dir):
+    return intervals.merge(_ranges(spark, sf_dir))
+
+
+@query(f"with {GAPS_SQL} select * from gaps")
+def interval_complement(spark, sf_dir):
+    return intervals.complement(intervals.merge(_ranges(spark, sf_dir)), _totals(spark, sf_dir).select("grp", "total"))
+
+
+@query(f"with {MERGED_SQL}, p as (select grp, \"end\" as last, unnest(range(start, \"end\", 7)) as start from merged where start < \"end\") select grp, start, least(start + 7, last) as \"end\" from p")
+def interval_partition(spark, sf_dir):
+    return intervals.partition(intervals.merge(_ranges(spark, sf_dir)), 7).select("grp", "start", "end")
+
+
+@query(f"with {ALIGNED_SQL} select grp, kind, start, \"end\" from parts")
+def interval_align(spark, sf_dir):
+    gaps = intervals.complement(intervals.merge(_ranges(spark, sf_dir)), _totals(spark, sf_dir).select("grp", "total"))
+    return intervals.align(gaps.withColumn("total", F.lit(TOTAL)), 20).select("grp", "kind", "start", "end")
+
+
+@query(f"with {MERGED_SQL} select distinct grp, cast(floor(start / 16e0) * 16 as bigint) as start, cast(ceil(\"end\" / 16e0) * 16 as bigint) as \"end\" from merged")
+def interval_align_outwards(spark, sf_dir):
+    return intervals.align_outwards(intervals.merge(_ranges(spark, sf_dir)), 16)
+
+
+@query(f"with {RANGES_SQL}, c as (select distinct grp, unnest(range(start // 32, \"end\" // 32 + 1)) as c from ranges) select grp, c * 32 as start, least(c * 32 + 31, 4999) as \"end\" from c where c * 32 <= 4999")
+def interval_chunk_ranges(spark, sf_dir):
+    return intervals.chunk_ranges(_ranges(spark, sf_dir), 32, 5000)
+
+
+@query(f"with {RANGES_SQL} select l.grp, l.id as l_id, r.id as r_id, greatest(l.start, r.start) as start, least(l.\"end\", r.\"end\") as \"end\" from ranges l join ranges r on l.grp = r.grp and l.start < r.\"end\" and r.start < l.\"end\" where l.id % 10 = 0 and r.id % 10 = 5 and l.start < l.\"end\" and r.start < r.\"end\"")
+def interval_overlap_join(spark, sf_dir):
+    rows = _ranges(spark, sf_dir)
+    return intervals.overlap_join(rows.where("id % 10 = 0"), rows.where("id % 10 = 5"), 32)
+
+
+@query(f"with {ALIGNED_SQL}, p as (select grp, \"end\" as last, unnest(range(start, \"end\", 20)) as start from parts where kind = 'aligned') select grp, 'planned' as kind, start, least(start + 20, last) as \"end\" from p union all select grp, kind, start, \"end\" from parts where kind = 'blocked'")
+def plan_slots(spark, sf_dir):
+    return planner.plan_slots(_ranges(spark, sf_dir).select("grp", "start", "end"), _totals(spark, sf_dir))
+
+
+@query(f"with {RANGES_SQL} select grp, id, start % 16 <> 0 or (\"end\" % 16 <> 0 and \"end\" <> 5000) as misaligned from ranges")
+def range_alignment(spark, sf_dir):
+    return _ranges(spark, sf_dir).select("grp", "id", intervals.misaligned(F.col("start"), F.col("end"), F.lit(16), F.lit(5000)).alias("misaligned"))
+
+
+# --- event log ----------------------------------------------------------------------------------------------------
+
+LOG_SQL = (
+    "log as (select 'run-' || lpad(user_id::varchar, 4, '0') as run_id, event_id as idx, epoch_us(ts) / 1e6 as t, event_type || '/' || (event_id % 40) as key, event_type as grp, event_id % 1000 as size, event_id % 97 = 0 as commits, event_type || '/' || ((event_id + 1) % 40) as hits, strftime(ts, '%Y-%m-%dT00:00:00') as time_min, strftime(ts, '%Y-%m-%dT23:59:59') as time_max, event_id % 500 as a, event_id % 500 + event_id % 7 as b, case when event_id % 2 = 0 then 'p1' else 'p2' end as plugin, user_id from events), "
+    "runs as (select run_id, user_id % 5 <> 0 as complete, max(t) as done from log group by run_id, user_id), "
+    "replay as (select l.*, r.done from log l join runs r on l.run_id = r.run_id where r.complete), "
+    "ups as (select * from (select *, row_number() over (partition by key order by done desc, run_id desc, idx desc) as n from replay where not commits) where n = 1), "
+    "marks as (select * from (select hits as key, done, run_id, idx, t, row_number() over (partition by hits order by done desc, run_id desc, idx desc) as n from replay where commits) where n = 1), "
+    "state as (select u.key, u.grp, u.size, u.t as timestamp, u.run_id, u.time_min, u.time_max, u.a, u.b, u.plugin, case when m.key is not null and (m.done, m.run_id, m.idx) > (u.done, u.run_id, u.idx) then 'replaced' else 'active' end as status, case when m.key is not null and (m.done, m.run_id, m.idx) > (u.done, u.run_id, u.idx) then m.run_id end as replaced_by from ups u left join marks m on u.key = m.key)"
+)
+
+
+def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = _table(spark, sf_dir, "events").withColumn("time", F.col("ts").cast("timestamp"))
+    t, commits = F.unix_micros("time") / 1e6, F.col("event_id") % 97 == 0
+    key = lambda shift: F.concat("event_type", F.lit("/"), ((F.col("event_id") + shift) % 40).cast("string"))
+    run_id = F.concat(F.lit("run-"), F.lpad(F.col("user_id").cast("string"), 4, "0"))
+    day = F.date_format("time", "yyyy-MM-dd")
+    upsert = F.struct(key(0).alias("key"), F.lit("span").alias("type"), F.lit("active").alias("status"), (F.col("event_id") % 1000).alias("size"), t.alias("timestamp"), run_id.alias("run_id"), F.col("event_type").alias("grp"), F.concat(day, F.lit("T00:00:00")).alias("time_min"), F.concat(day, F.lit("T23:59:59")).alias("time_max"), F.array(F.struct((F.col("event_id") % 500).alias("start"), (F.col("event_id") % 500 + F.col("event_id") % 7).alias("end"))).alias("ranges"), F.lit(True).alias("aligned"), F.lit(1).alias("schema_version"))
+    commit = F.struct(run_id.alias("replacing_run_id"), F.array(key(1)).alias("replaced_span_keys"), t.alias("timestamp"), F.lit(1).alias("schema_version"))
+    meta = F.to_json(F.struct(F.when(F.col("event_id") % 2 == 0, "p1").otherwise("p2").alias("plugin")))
+    events = e.select(F.lit("product").alias("product"), run_id.alias("run_id"), F.lit(0).alias("part"), F.col("event_id").cast("int").alias("idx"), F.col("event_id").cast("string").alias("event_id"), F.when(commits, state_log.COMMITTED).otherwise("span_recorded").alias("event_type"), t.alias("timestamp"), F.when(commits, F.to_json(commit)).otherwise(F.to_json(upsert)).alias("record"), meta.alias("meta"))
+    runs = e.groupBy(run_id.alias("run_id"), "user_id").agg(F.max(t).alias("done"), F.count("*").cast("int").alias("events"))
+    status = F.when(F.col("user_id") % 5 != 0, "complete").otherwise("running")
+    runs = runs.select(F.lit("product").alias("product"), "run_id", status.alias("status"), F.col("done").alias("updated_at"), F.when(status == "complete", F.col("done")).alias("completed_at"), "events", F.lit(1).alias("parts"), F.lit(86400).alias("run_stale_threshold_s"), F.array(F.col("user_id") * 10, F.col("user_id") * 10 + 10).alias("slot_range"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("slot_group"))
+    return events, runs
+
+
+@query(f"with {LOG_SQL} select key, grp, size, timestamp, run_id, status, replaced_by from state")
+def replacement_apply(spark, sf_dir):
+    return state_log.project(*_log(spark, sf_dir)).select("key", "grp", "size", "timestamp", "run_id", "status", "replaced_by")
+
+
+@query(f"with {LOG_SQL} select key, grp, size, timestamp, run_id, status, replaced_by from state")
+def snapshot_replay(spark, sf_dir):
+    """State from a snapshot of the older runs and a replay of the rest; the same as from all events."""
+    events, runs = _log(spark, sf_dir)
+    cut = runs.where("status = 'complete'").agg(F.percentile_approx("completed_at", 0.5)).head()[0]
+    snapshot = state_log.project(events, runs.where(F.col("completed_at") < cut))
+    return state_log.project(events, runs, snapshot, cut).select("key", "grp", "size", "timestamp", "run_id", "status", "replaced_by")
+
+
+@query("select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
+def latest_wins(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    return state_log.latest_per_key(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
+
+
+@query(f"with {LOG_SQL} select key, grp, size, t as timestamp, run_id, plugin from log where not commits")
+def history_view(spark, sf_dir):
+    return state_log.history(_log(spark, sf_dir)[0]).select("key", "grp", "size", "timestamp", "run_id", F.get_json_object("meta", "$.plugin").alias("plugin"))
+
+
+@query(f"with {LOG_SQL} select key, size, run_id from state where status = 'active' and plugin = 'p1' and regexp_matches(key, '^.*/.$') and time_min <= '2024-01-28T00:00:00' and time_max >= '2024-01-05T12:00:00'")
+def list_filtered(spark, sf_dir):
+    events, runs = _log(spark, sf_dir)
+    return state_log.list_records(events, runs, pattern="*/?", meta={"plugin": "p1"}, time_overlaps=("2024-01-05T12:00:00", "2024-01-28T00:00:00"), dedupe=False).select("key", "size", "run_id")
+
+
+@query(f"with {LOG_SQL} select key, run_id, t as timestamp from log where not commits and t < {EPOCH + 864000} and t > {EPOCH + 432000}")
+def list_history_window(spark, sf_dir):
+    events, runs = _log(spark, sf_dir)
+    return state_log.list_records(events, runs, include_replaced=True, before=float(EPOCH + 864000), after=float(EPOCH + 432000), dedupe=False).select("key", "run_id", "timestamp")
+
+
+@query(f"with {LOG_SQL}, act as (select *, max(run_id) over (partition by grp, time_min, time_max) as best from state where status = 'active') select key, grp, run_id from act where run_id = best")
+def active_dedupe(spark, sf_dir):
+    return state_log.dedupe_active(state_log.project(*_log(spark, sf_dir)).where("status = 'active'")).select("key", "grp", "run_id")
+
+
+@query(f"with {LOG_SQL} select grp, min(time_min) as time_min, max(time_max) as time_max, count(*) as span_count, cast(sum(b - a + 1) as bigint) as timestamps_written from state where status = 'active' group by grp")
+def coverage_summary(spark, sf_dir):
+    return state_log.coverage_summary(state_log.project(*_log(spark, sf_dir)).where("status = 'active'"))
+
+
+NOW = float(EPOCH + 31 * 86400)
+
+
+@query(f"with {LOG_SQL} select run_id, done as updated_at from runs where not complete and {NOW} - done > 86400")
+def stale_runs(spark, sf_dir):
+    return state_log.stale_runs(_log(spark, sf_dir)[1], NOW).select("run_id", "updated_at")
+
+
+@query(f"with {LOG_SQL}, r as (select run_id, max(user_id) as u, max(done) as done from runs join (select distinct run_id as rid, user_id from log) on run_id = rid where not complete group by run_id) select run_id, case when u * 10 = 200 then 'same range is active' else 'overlapping range is active' end as reason from r where u % 2 = 0 and ((u * 10 = 200) or (u * 10 < 210 and 200 < u * 10 + 10))")
+def run_conflicts(spark, sf_dir):
+    return resume.conflicting_runs(_log(spark, sf_dir)[1], NOW, (200, 210), "even").select("run_id", "reason")
+
+
+@query(f"with {LOG_SQL} select key, grp from state where status = 'active' and grp = 'click' and a < 120 and 100 <= b")
+def span_conflicts(spark, sf_dir):
+    return resume.overlapping_spans(state_log.project(*_log(spark, sf_dir)), (100, 120), "click").select("key", "grp")
+
+
+@query(f"with {LOG_SQL} select count(*) as n, cast(sum(size) as bigint) as bytes, 1::bigint as products from state where regexp_matches(key, '^click.*$')")
+def deletion_totals(spark, sf_dir):
+    state = state_log.project(*_log(spark, sf_dir))
+    return state_log.deletion_plan(state.where(scalars.key_matches(F.col("key"), "click*")))
+
+
+@query(f"with {LOG_SQL}, c as (select distinct grp, unnest(range(a // 50, b // 50 + 1)) as c0 from state) select grp, 'c/' || c0 || '/' || y.i || '/' || x.i as key from c, (select unnest(range(2)) as i) y, (select unnest(range(3)) as i) x")
+def chunk_delete_plan(spark, sf_dir):
+    return state_log.span_chunks(state_log.project(*_log(spark, sf_dir)), 50, (2, 3)).select("grp", "key")
+
+
+@query(f"with {LOG_SQL} , s as (select grp, i as slot from (select distinct grp from state), (select unnest(range(520)) as i)), d as (select distinct grp, unnest(range(a, b + 1)) as slot from state where status = 'replaced') select s.grp, s.slot, case when d.slot is null then 1 else 2 end as state from s left join d on s.grp = d.grp and s.slot = d.slot")
+def slot_state_update(spark, sf_dir):
+    state = state_log.project(*_log(spark, sf_dir))
+    axes = state.select("grp").distinct().withColumn("size", F.lit(520).cast("long"))
+    base = cube.preallocate(spark, axes).withColumn("state", F.lit(1).cast("tinyint"))
+    gone = state.where("status = 'replaced'").select("grp", F.explode("ranges").alias("r")).select("grp", "r.start", "r.end")
+    return state_log.set_slot_state(base, gone, 2).withColumn("state", F.col("state").cast("int"))
+
+
+@query(f"with {LOG_SQL} select key, timestamp from state order by timestamp desc, key limit 25")
+def topn_recent(spark, sf_dir):
+    return state_log.project(*_log(spark, sf_dir)).select("key", "timestamp").orderBy(F.desc("timestamp"), "key").limit(25)
+
+
+# --- append, resume, batches, tables --------------------------------------------------------------------------------
+
+
+@query(f"with {SAMPLES_SQL}, {SLOT_SQL} select distinct a.grp, a.slot from slotted a semi join (select grp, slot from slotted where pos % 3 = 0) b on a.grp = b.grp and a.slot = b.slot where a.pos % 3 = 1")
+def overlap_reject_semi(spark, sf_dir):
+    rows = _slotted(spark, sf_dir)
+    return resume.overlapping_times(rows.where("pos % 3 = 0"), rows.where("pos % 3 = 1"), ("grp", "slot"))
+
+
+@query(f"with {SAMPLES_SQL}, {SLOT_SQL} select distinct a.grp, a.slot from slotted a anti join (select grp, slot from slotted where pos % 3 = 0) b on a.grp = b.grp and a.slot = b.slot where a.pos % 3 = 1")
+def overlap_reject_anti(spark, sf_dir):
+    rows = _slotted(spark, sf_dir)
+    return rows.where("pos % 3 = 1").select("grp", "slot").distinct().join(rows.where("pos % 3 = 0"), ["grp", "slot"], "left_anti")
+
+
+@query(f"with {SAMPLES_SQL}, {SLOT_SQL} select grp, max(slot) + 1 as cursor from slotted group by grp")
+def append_cursor(spark, sf_dir):
+    return resume.append_cursor(_slotted(spark, sf_dir))
+
+
+@query("select o_orderkey, coalesce(cast(sum(o_custkey % 5 + 1) over (order by o_orderkey rows between unbounded preceding and 1 preceding) as bigint), 0) as start from orders")
+def append_batch_starts(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 5 + 1).alias("n"))
+    return resume.batch_starts(rows, "o_orderkey", "n").select("o_orderkey", "start")
+
+
+@query(f"with {SAMPLES_SQL}, {SLOT_SQL}, e as (select distinct grp, slot as time, slot from slotted where slot < 100), n as (select distinct grp, slot as time from slotted where slot >= 90 and slot < 110), l as (select grp, max(slot) + 1 as length from e group by grp) select n.grp, n.time, e.slot from n join e on n.grp = e.grp and n.time = e.time union all select n.grp, n.time, coalesce(l.length, 0) + row_number() over (partition by n.grp order by n.time) - 1 as slot from n left join l on n.grp = l.grp anti join e on n.grp = e.grp and n.time = e.time")
+def resolve_slots(spark, sf_dir):
+    rows = _slotted(spark, sf_dir).select("grp", F.col("slot").alias("time"), "slot").distinct()
+    return tabular.resolve_slots(rows.where("slot < 100"), rows.where("slot >= 90 and slot < 110").select("grp", "time"))
+
+
+@query("select event_id, 'batch_' || lpad(((row_number() over (order by event_id) - 1) // 64)::varchar, 4, '0') as batch_id from events")
+def batch_assign(spark, sf_dir):
+    return tabular.batches(_table(spark, sf_dir, "events").select("event_id"), 64, "event_id")
+
+
+@query("with b as (select event_id, value, 'batch_' || lpad(((row_number() over (order by event_id) - 1) // 500)::varchar, 4, '0') as batch_id from events) select batch_id, count(*) as items, cast(sum(event_id) as bigint) as bytes, sha256(array_to_string(list_sort(list('e' || event_id)), chr(10))) as sha256 from b group by batch_id")
+def batch_digest(spark, sf_dir):
+    batched = tabular.batches(_table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("uri")), 500, "event_id")
+    return tabular.batch_summary(batched, "uri", "event_id").select("batch_id", "items", "bytes", "sha256")
+
+
+@query("select event_type as key, round(sum(value), 4) as number, arg_min('u' || user_id, event_id) as text, count(*) as items from events where event_id % 11 <> 0 group by event_type")
+def batch_metric_merge(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    each = F.explode(F.array(F.struct(F.lit("number").alias("kind"), F.col("value").alias("number"), F.lit(None).cast("array<bigint>").alias("items")), F.struct(F.lit("list").alias("kind"), F.lit(None).cast("double").alias("number"), F.array("event_id").alias("items"))))
+    rows = e.select(F.col("event_id").alias("batch"), (F.col("event_id") % 11 != 0).alias("ok"), F.col("event_type").alias("key"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("text"), each.alias("m")).select("batch", "ok", "key", "text", "m.kind", "m.number", "m.items")
+    return tabular.merge_metrics(rows).select("key", F.round("number", 4).alias("number"), "text", F.size("items").cast("long").alias("items"))
+
+
+@query("select count(*) as batches_total, cast(count(*) filter (where event_id % 7 = 0) as bigint) as batches_failed, cast(sum(event_id % 3) as bigint) as files, cast(sum(event_id) as bigint) as bytes, count(*) as rows, max(epoch_us(ts)) / 1e6 - min(epoch_us(ts)) / 1e6 as processing_s, round(sum(value) / ((max(epoch_us(ts)) / 1e6 - min(epoch_us(ts)) / 1e6) * 4), 6) as cpu_utilisation, 4 as workers from events")
+def run_summary(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    rows = e.select((F.col("event_id") % 7 != 0).alias("ok"), (F.col("event_id") % 3).alias("files"), F.col("event_id").alias("bytes"), F.lit(1).cast("long").alias("rows"), F.col("value").alias("cpu_s"), t.alias("start_s"), t.alias("end_s"))
+    return tabular.run_summary(rows, 4)
+
+
+@query("select o_custkey, min(o_orderkey) as o_orderkey, min(o_totalprice) as o_totalprice from orders group by o_custkey")
+def dedup_any(spark, sf_dir):
+    return tabular.deduplicate(_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"])
+
+
+@query("select l_partkey, l_suppkey, cast(sum(l_linenumber) as bigint) as lines, max(l_quantity) as top from lineitem group by l_partkey, l_suppkey")
+def dedup_projection(spark, sf_dir):
+    return tabular.deduplicate(_table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], {"lines": F.sum("l_linenumber"), "top": F.max("l_quantity")})
+
+
+@query("select count(*) as total_rows, (select count(*) from (select distinct l_partkey, l_suppkey from lineitem)) as unique_rows, count(*) - (select count(*) from (select distinct l_partkey, l_suppkey from lineitem)) as duplicate_rows, round((count(*) - (select count(*) from (select distinct l_partkey, l_suppkey from lineitem))) / count(*)::double, 6) as duplicate_ratio from lineitem")
+def dedup_stats(spark, sf_dir):
+    return tabular.dedup_stats(_table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"])
+
+
+@query("select event_id, event_type, value from events where event_id % 2 = 0 union all select event_id, event_type, value from events where event_id % 2 = 1")
+def consolidate_union(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return e.where("event_id % 2 = 0").unionByName(e.where("event_id % 2 = 1"))
+
+
+@query("select vec_id as slot, 'embedding' as \"array\", 'all' as grp, cast(2 + (i - 1) // 8 as bigint) as y, cast((i - 1) % 8 as bigint) as x, cast(embedding[i] as double) as value from embeddings, (select unnest(range(1, 65)) as i)")
+def region_explode(spark, sf_dir):
+    lines = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, F.lit(8)))
+    intents = _table(spark, sf_dir, "embeddings").select(F.lit("all").alias("grp"), F.lit("embedding").alias("array"), F.col("vec_id").alias("slot"), F.lit(2).cast("long").alias("y0"), lines.alias("payload"))
+    out = tabular.explode_regions(intents)
+    return out.select("slot", "array", "grp", "y", F.col("x").cast("long").alias("x"), F.col("value").cast("double").alias("value"))
+
+
+@query("select c_custkey, c_nationkey, c_acctbal from customer where c_custkey % 4 <> 0 union all select c_custkey, 99 as c_nationkey, c_acctbal * 2 as c_acctbal from customer where c_custkey % 4 = 0")
+def region_upsert(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return tabular.upsert(c, c.where("c_custkey % 4 = 0").select("c_custkey", F.lit(99).alias("c_nationkey"), (F.col("c_acctbal") * 2).alias("c_acctbal")), ["c_custkey"])
+
+
+@query(f"with {SAMPLES_SQL}, {SLOT_SQL}, d as (select distinct grp, slot from slotted), l as (select *, slot - row_number() over (partition by grp order by slot) as lane from d), i as (select grp, min(slot) as a, max(slot) as b from l group by grp, lane), c as (select grp, count(*) as islands, cast(sum(b - a + 1) as bigint) as slots from i group by grp) select s.grp, bool_and(pos % 2 >= 0) as aligned, min(strftime(time, '%Y-%m-%d')) as time_min, max(strftime(time, '%Y-%m-%d')) as time_max, any_value(c.islands) as islands, any_value(c.slots) as slots from slotted s join c on s.grp = c.grp group by s.grp")
+def coverage_build(spark, sf_dir):
+    rows = _slotted(spark, sf_dir).select("grp", F.lit("value").alias("array"), "slot", F.date_format("time", "yyyy-MM-dd").alias("time_text"), (F.col("pos") % 2 >= 0).alias("aligned"))
+    out = tabular.build_coverage(rows)
+    return out.select("grp", "aligned", "time_min", "time_max", F.size("ranges").cast("long").alias("islands"), intervals.slots_in(F.col("ranges")).alias("slots"))
+
+
+# --- validators -----------------------------------------------------------------------------------------------------
+
+FILES_SQL = "files as (select event_id % 23 as i, user_id % 11 as j from events where not (event_id % 23 = 7) group by 1, 2)"
+
+
+def _chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").where("event_id % 23 <> 7")
+    return e.select(F.concat(F.lit("store/g/v/c/"), (F.col("event_id") % 23).cast("string"), F.lit("/"), (F.col("user_id") % 11).cast("string")).alias("path")).distinct()
+
+
+@query(f"with {FILES_SQL} select 'time' as dim, 20::bigint as expected, max(i) as max_index, (select count(*) from (select unnest(range(20)) as i) w where w.i not in (select i from files)) as missing from files union all select 'x', 10::bigint, max(j), (select count(*) from (select unnest(range(10)) as j) w where w.j not in (select j from files)) from files")
+def chunk_expected(spark, sf_dir):
+    report = chunks.dimension_report(_chunk_files(spark, sf_dir), ["time", "x"], [200, 100], [10, 10])
+    return report.select("dim", "expected", "max_index", F.size("missing").cast("long").alias("missing"))
+
+
+@query(f"with {FILES_SQL} select a.i as i, b.j as j from (select unnest(range(20)) as i) a cross join (select unnest(range(10)) as j) b except select i, j from files")
+def chunk_missing(spark, sf_dir):
+    found = chunks.missing_chunks(_chunk_files(spark, sf_dir), [200, 100], [10, 10])
+    return found.select(F.col("indices")[0].alias("i"), F.col("indices")[1].alias("j"))
+
+
+@query(f"with {FILES_SQL} select 'store/g/v/c/' || i || '/' || j as path from files where i >= 20 or j >= 10")
+def chunk_extra(spark, sf_dir):
+    return chunks.extra_chunks(_chunk_files(spark, sf_dir), [200, 100], [10, 10]).select("path")
+
+
+@query(f"with {FILES_SQL} select 'store/g/v/c/' || i || '/' || j as path, case when i % 2 = 0 then 'recorded' else 'orphan' end as kind from files where i >= 20 or j >= 10")
+def chunk_scrub(spark, sf_dir):
+    files = _chunk_files(spark, sf_dir)
+    records = files.where(F.regexp_extract("path", r"/c/(\d+)/", 1).cast("long") % 2 == 0).select(F.col("path").alias("key"))
+    return chunks.scrub_plan(files, records, [200, 100], [10, 10], include_orphans=True)
+
+
+@query("select p_brand as code, count(*) as n from part where not regexp_matches(p_name, '^[A-Za-z][A-Za-z0-9_]*$') group by p_brand")
+def cf_names(spark, sf_dir):
+    return _table(spark, sf_dir, "part").where(~F.col("p_name").rlike(conventions.NAME)).groupBy(F.col("p_brand").alias("code")).agg(F.count("*").alias("n"))
+
+
+CF_SQL = "names(var, is_coord, u, ln, ref) as (select 'v' || n_nationkey, n_nationkey % 5 = 0, case when n_nationkey % 3 = 0 then 'days since 2000-01-01' when n_nationkey % 3 = 1 then 'K' end, n_nationkey % 4 <> 0, case when n_nationkey % 2 = 0 then 'v' || (n_nationkey + 3) end from nation)"
+
+
+def _metadata(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n = _table(spark, sf_dir, "nation").withColumn("var", F.concat(F.lit("v"), F.col("n_nationkey").cast("string")))
+    variables = n.select("var", (F.col("n_nationkey") % 5 == 0).alias("is_coord"), F.array("var").alias("dims"), F.array(F.lit(3).cast("long")).alias("shape"), F.lit(False).alias("internal"))
+    pairs = F.array(F.struct(F.lit("units").alias("attr"), F.when(F.col("n_nationkey") % 3 == 0, "days since 2000-01-01").when(F.col("n_nationkey") % 3 == 1, "K").alias("value")), F.struct(F.lit("long_name").alias("attr"), F.when(F.col("n_nationkey") % 4 != 0, "n").alias("value")), F.struct(F.lit("coordinates").alias("attr"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("v"), (F.col("n_nationkey") + 3).cast("string"))).alias("value")))
+    attributes = n.select("var", F.explode(pairs).alias("p")).select("var", "p.attr", "p.value").where("value is not null")
+    values = n.where("n_nationkey % 5 = 0").select("var", F.posexplode(F.array(F.lit(0.0), F.when(F.col("n_nationkey") % 10 == 0, 1.0).otherwise(-1.0), F.lit(2.0))).alias("pos", "value"))
+    return attributes, variables, values
+
+
+@query(f"with {CF_SQL} select code, location, detail from (select 'CF001' as code, '/' as location, '' as detail union all select 'CF002', '/', '' union all select 'CF003', '/', 'history, institution, source' union all select 'CF006', var, '' from names where is_coord and u like '%since%' union all select 'CF007', var, '' from names where is_coord and u like '%since%' union all select 'CF008', '/', '' union all select 'CF009', '/', '' union all select 'CF010', var, '' from names where not is_coord and u is null union all select 'CF011', var, '' from names where not is_coord and not ln union all select 'CF012', var, 'coordinates:' || ref from names where ref is not null and ref not in (select var from names) union all select 'CF015', var, '' from names where is_coord and cast(substr(var, 2) as int) % 10 <> 0)")
+def cf_report(spark, sf_dir):
+    return conventions.report(*_metadata(spark, sf_dir)).select("code", "location", "detail")
+
+
+@query("with d as (select user_id, event_id, value - lag(value) over (partition by user_id order by event_id) as step from events) select 'u' || user_id as var from d where step is not null group by user_id having not bool_and(step > 0) and not bool_and(step < 0)")
+def cf_monotonic(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("var"), F.col("event_id").alias("pos"), "value")
+    return conventions.monotonic_faults(rows)
+
+
+# --- scalars --------------------------------------------------------------------------------------------------------
+
+
+@query("select o_orderkey, cast(epoch_us(timestamp '2000-01-01 00:00:00' + to_microseconds(cast(round(o_orderkey % 1000 / 4e0 * 86400e6) as bigint))) / 1000000 as bigint) as sec from orders")
+def cf_decode_days(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders")
+    return rows.select("o_orderkey", F.unix_seconds(timeslots.decode_cf_time(F.col("o_orderkey") % 1000 / 4.0, "days since 2000-01-01")).alias("sec"))
+
+
+@query("select event_id, case when event_id % 3 = 0 then cast(floor(epoch_us(ts) / 1e6) as bigint) end as sec, case when event_id % 3 = 0 then strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end as iso, case event_id % 3 when 1 then 'naive' when 2 then 'offset' end as fault from events")
+def iso_parse(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    text = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 3 == 0, "Z").when(F.col("event_id") % 3 == 1, "").otherwise("+02:00"))
+    return e.select("event_id", timeslots.iso_to_epoch(text).alias("sec"), timeslots.normalise_iso(text).alias("iso"), timeslots.strict_iso_fault(text).alias("fault"))
+
+
+@query("select event_id, event_type || 'é' as text from events")
+def string_decode(spark, sf_dir):
+    raw = F.concat(F.encode(F.concat("event_type", F.lit("é")), "UTF-8"), F.lit(b"\x00\x00"))
+    return _table(spark, sf_dir, "events").select("event_id", scalars.decode_strings(raw).alias("text"))
+
+
+@query("select event_id, regexp_matches(event_type || '/' || (event_id % 40), '^.*i.*/1.$') as hit from events")
+def glob_match(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", scalars.key_matches(F.concat("event_type", F.lit("/"), (F.col("event_id") % 40).cast("string")), "*i*/1?").alias("hit"))
+
+
+@query("select c_custkey, sha256(c_name) as domain from customer")
+def sha_domain(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", scalars.domain_hash(F.col("c_name")).alias("domain"))
+
+
+@query("with s as (select o_orderkey, (o_orderkey * 97) % 400000 as s from orders) select o_orderkey, case when s < 60 then s || 's' when s < 3600 then (s // 60) || 'm' when s < 86400 then (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' else (s // 86400) || 'd ' || (s % 86400 // 3600) || 'h' end as text from s")
+def duration_fmt(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", scalars.duration_text(F.col("o_orderkey") * 97 % 400000).alias("text"))
+
+
+@query("select event_id from events where cast(json_extract(props, '$.k') as varchar) = '7'")
+def json_meta_filter(spark, sf_dir):
+    return _table(spark, sf_dir, "events").where(scalars.meta_equals(F.col("props"), "k", 7)).select("event_id")
+
+
+@query(f"with {FILES_SQL} select i, j, 2::bigint as rank from files")
+def chunk_key_parse(spark, sf_dir):
+    rows = _chunk_files(spark, sf_dir).withColumn("x", scalars.chunk_indices(F.col("path")))
+    return rows.select(F.col("x")[0].alias("i"), F.col("x")[1].alias("j"), F.size("x").cast("long").alias("rank"))
+
+
+@query("select user_id, user_id * 10 as start, user_id * 10 + 10 as \"end\", 'a b+' || (user_id % 3) as grp from (select distinct user_id from events)")
+def run_id_parse(spark, sf_dir):
+    ids = _table(spark, sf_dir, "events").select("user_id").distinct()
+    made = F.concat(F.lit("base__group=a%20b%2B"), (F.col("user_id") % 3).cast("string"), F.lit("__slot="), (F.col("user_id") * 10).cast("string"), F.lit("-"), (F.col("user_id") * 10 + 10).cast("string"))
+    return ids.select("user_id", scalars.run_range(made).alias("r")).select("user_id", "r.start", "r.end", "r.grp")
+
+
+@query("select vec_id, list_sum(list_transform(embedding, lambda x: case when x = 0 then 1 else 0 end)) = 64 as fill from embeddings")
+def all_fill(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").select("vec_id", scalars.all_fill(F.col("embedding"), F.lit(0.0).cast("float")).alias("fill"))
+
+
+# --- streaming extension ----------------------------------------------------------------------------------------------
+
+
+@query("select event_type as grp, (cast(floor(epoch_us(ts) / 1e6) as bigint) - cast(floor(epoch_us(ts) / 1e6) as bigint) % 3600) as starts, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def tumbling_batch_equivalent(spark, sf_dir):
+    from tessera.streaming.slots import windowed
+
+    out = windowed(_samples(spark, sf_dir), "1 hour", watermark=None)
+    return out.select("grp", F.unix_seconds("start").alias("starts"), "n", F.round("total", 4).alias("total"))
