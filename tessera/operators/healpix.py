@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from tessera.operators.binning import clean
 
 MAX_DEPTH = 29
-#: Masks and shifts that spread the bits of a 32-bit number to the even places of a 64-bit one.
-SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
 #: Fixed value: squared eccentricity of WGS84.
 WGS84_E2 = 0.0066943799901413165
 
@@ -29,9 +27,8 @@ def authalic_latitude(lat: Column, e2: float = WGS84_E2) -> Column:
 
 
 def _spread(x: Column) -> Column:
-    for shift, mask in SPREAD:
-        x = (x.bitwiseOR(F.shiftleft(x, shift))).bitwiseAND(F.lit(mask))
-    return x
+    """The bits of a number at the even places: its binary digits read in base 4."""
+    return F.conv(F.bin(x), 4, 10).cast("long")
 
 
 def nested_cell(lon: Column, lat: Column, depth: int) -> Column:
@@ -56,7 +53,8 @@ def nested_cell(lon: Column, lat: Column, depth: int) -> Column:
     polar_x, polar_y = F.when(z >= 0, nside - 1 - q).otherwise(p), F.when(z >= 0, nside - 1 - p).otherwise(q)
     belt = F.abs(z) <= 2.0 / 3.0
     face, x, y = (F.when(belt, b).otherwise(c) for b, c in ((belt_face, polar_face), (belt_x, polar_x), (belt_y, polar_y)))
-    return face * (1 << 2 * depth) + _spread(x) + F.shiftleft(_spread(y), 1)
+    cell = face * (1 << 2 * depth) + _spread(x) + F.shiftleft(_spread(y), 1)
+    return F.when(lon.isNotNull() & lat.isNotNull(), cell)
 
 
 def with_cells(samples: DataFrame, depth: int, lat: str = "lat", lon: str = "lon", ellipsoid: str = "sphere", cell: str = "cell") -> DataFrame:
