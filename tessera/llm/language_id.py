@@ -49,10 +49,10 @@ def frequencies(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     Whole texts count, in lower case; anything that is no letter is one kind of gap.
     """
-    joined = "  ".join([*[t.lower() for t in texts], ""])
-    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    sizes = np.fromiter((len(t.lower()) + 2 for t in texts), np.int64, len(texts))
-    owner = np.repeat(np.arange(len(texts)), sizes)[: len(points)]
+    lowered = [t.lower() for t in texts]
+    points = np.frombuffer("  ".join(["", *lowered, ""]).encode("utf-32-le"), np.uint32)
+    sizes = np.fromiter(map(len, lowered), np.int64, len(texts)) + 2
+    owner = np.concatenate([[0, 0], np.repeat(np.arange(len(texts)), sizes)])[: len(points)]
     letter = class_table()[points] == LETTER
     char = np.where(letter, points, np.uint32(32))
     counts = np.bincount(owner[letter], minlength=len(texts))
@@ -62,10 +62,11 @@ def frequencies(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     one = char * np.uint32(0x9E3779B1)
     two = one[:-1] ^ (char[1:] * np.uint32(0x85EBCA77) + np.uint32(0x165667B1))
     three = two[:-1] * np.uint32(0x27D4EB2F) ^ (char[2:] * np.uint32(0xC2B2AE3D))
-    for keys, use in ((one, letter), (two, letter[:-1] | letter[1:]), (three, letter[1:-1])):
+    owner_of_two = np.where(letter[:-1], owner[:-1], owner[1:])
+    for keys, use, own in ((one, letter, owner), (two, letter[:-1] | letter[1:], owner_of_two), (three, letter[1:-1], owner[1:-1])):
         mixed = keys[use]
         mixed = (mixed ^ mixed >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
-        cells = owner[: len(keys)][use] * FEATURES + (mixed >> np.uint32(19)).astype(np.int64)
+        cells = own[use] * FEATURES + (mixed >> np.uint32(19)).astype(np.int64)
         hits = np.bincount(cells, minlength=len(texts) * FEATURES).reshape(len(texts), FEATURES)
         out += np.sqrt(hits / np.maximum(hits.sum(1, keepdims=True), 1)).astype(np.float32)
     return out, counts > 0
