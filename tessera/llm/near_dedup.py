@@ -4,10 +4,10 @@
 2. Each text: TF-IDF weights of its five-word shingles, and from them ``BANDS`` x ``ROWS`` consistent weighted samples.
    Two texts share a sample with the probability of their weighted Jaccard similarity.
 3. Equal texts are one class from the start.  The samples are banded; texts that share a band are candidates.
-4. Within a bucket, candidates aren't paired with each other but with a leader.  The first leader is the member whose
-   bands are the most popular, which in a family of copies is what they have in common; in later rounds each bucket has
-   other leaders, and only members not yet in the leader's class are compared.  Pairs whose samples agree too rarely to
-   reach the threshold are ruled out; the others are verified by the weighted Jaccard similarity of whole texts.
+4. Within a bucket, candidates aren't paired with each other but with leaders.  The first leader is the member whose
+   bands are the most popular, which in a family of copies is what they have in common; then each bucket has
+   ``LEADERS`` - 1 others, with which only members of another first leader are compared.  Pairs whose samples agree too
+   rarely to reach the threshold are ruled out; the others are verified by the weighted Jaccard similarity of whole texts.
 5. Classes are the connected components of verified links.
 """
 
@@ -33,8 +33,8 @@ BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 #: A pair at the threshold agrees in fewer of its samples with probability below 1e-6.
 LEAST_AGREEMENT = 17
-#: Rounds of leaders a bucket has at most.
-ROUNDS = 5
+#: Leaders of a bucket: the most popular member, then this many less one by independent orders.
+LEADERS = 5
 FEATURE_BITS = 18
 FEATURES, BLOCKS = 1 << FEATURE_BITS, 64
 #: Shingles share that many rows of sampling parameters.
@@ -145,16 +145,17 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _agreeing(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose samples agree often enough for the threshold."""
+    """Distinct pairs (a, b) whose samples agree often enough for the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, SAMPLES) for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((left == right).sum(1) >= LEAST_AGREEMENT))
+            near = (left == right).sum(1) >= LEAST_AGREEMENT
+            yield batch.select([0, 1]).filter(pa.array(near))
 
-    return map_arrow(pairs.select("a", "b", "samples_a", "samples_b"), run, "a long, b long")
+    return map_arrow(pairs.select(F.least("rep", "leader.rep"), F.greatest("rep", "leader.rep"), "samples", "leader.samples").toDF("a", "b", "samples_a", "samples_b"), run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, idf) -> DataFrame:
@@ -178,60 +179,56 @@ def _verified(pairs: DataFrame, idf) -> DataFrame:
     return map_arrow(pairs.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
+def bucket_members(reps: DataFrame) -> DataFrame:
+    """Representatives that share a bucket: rep, samples, their shared buckets, and how popular those are in all."""
+    exploded = reps.select("rep", F.explode("bands").alias("bucket"))
+    shared = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    of_rep = exploded.join(shared, "bucket").groupBy("rep").agg(F.sum("n").alias("popular"), F.collect_list("bucket").alias("buckets"))  # at most BANDS buckets
+    return of_rep.join(reps.select("rep", "samples"), "rep")
+
+
+def candidates(members: DataFrame, orders: list) -> DataFrame:
+    """Pairs of a member and its bucket's leaders, one leader for each order; only of different labels."""
+    rows = members.select(F.explode("buckets").alias("bucket"), "rep", "samples", "label", *[F.struct(o.alias("o"), "rep").alias(f"o{k}") for k, o in enumerate(orders)])
+    who = F.struct("rep", "samples", "label")
+    leaders = rows.groupBy("bucket").agg(*[F.min_by(who, f"o{k}").alias(f"l{k}") for k in range(len(orders))])
+    leaders = leaders.select("bucket", F.explode(F.array(*[F.col(f"l{k}") for k in range(len(orders))])).alias("leader"))
+    return rows.select("bucket", "rep", "samples", "label").join(leaders, "bucket").where("rep <> leader.rep and label <> leader.label")
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """Class of every document.
 
     docs needs ``doc_id`` and ``text``; other columns are ignored.  Returns one row per input row: doc_id, class_id (the
-    smallest doc_id of its class) and kept (whether it is that document; of repeated rows of it, all are).  Rows that
-    share a doc_id are one document.  Equal texts are one class.  Null and empty texts, and rows without a doc_id, stand
-    alone (class_id = doc_id).  A text without any word is only like equal texts; one of fewer than five words is one
-    shingle.  No rows give no rows.
+    smallest doc_id of its class) and kept (whether it is that document; of repeated rows of it, all are).  Equal texts
+    are one class.  Null and empty texts, and rows without a doc_id, stand alone (class_id = doc_id).  A text without any
+    word is only like equal texts; one of fewer than five words is one shingle.  Rows that share a doc_id have the class
+    of their own text; where several such texts are the first of their class, they are compared by the greatest of
+    them.  No rows give no rows.
     """
     spark = docs.sparkSession
     given = docs.select("doc_id", "text")
     idf = spark.sparkContext.broadcast(inverse_frequencies(given.select("text")))
     rows = materialize(signatures(given, idf), "signatures")
-    known = rows.where("doc_id is not null")
-    first = known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    copies = materialize(known.select("doc_id", "digest").join(first, "digest").select("doc_id", "rep").distinct(), "copies")
-    owned = first.select(F.col("digest").alias("own_digest"), F.col("rep"))
-    reps = known.join(owned, (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("own_digest"))).where("bands is not null")
-    reps = reps.groupBy("rep").agg(F.min_by("samples", "own_digest").alias("samples"), F.min_by("bands", "own_digest").alias("bands"))
-    reps = materialize(reps, "representatives")
-    samples = reps.select("rep", "samples")
-    exploded = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(exploded.join(shared, "bucket"), "members")
-    popular = members.groupBy("rep").agg(F.sum("n").alias("popular"))
-    links = materialize(copies.where("doc_id <> rep").selectExpr("rep as a", "doc_id as b"), "links")
-    all_links = [links]
-    classes, tried, texts = None, None, None
-    for k in range(ROUNDS):
-        ordered = members.join(popular, "rep").withColumn("place", -F.col("popular").cast("double")) if k == 0 else members.withColumn("place", F.xxhash64("rep", F.lit(k)).cast("double"))
-        ordered = ordered.select("bucket", "rep", F.struct("place", "rep").alias("place"))
-        leaders = ordered.groupBy("bucket").agg(F.min("place").alias("least")).select("bucket", F.col("least.rep").alias("leader"))
-        pairs = members.join(leaders, "bucket").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-        if classes is not None:
-            of = classes.select(F.col("id"), F.col("component"))
-            pairs = pairs.join(of.withColumnsRenamed({"id": "a", "component": "class_a"}), "a", "left").join(of.withColumnsRenamed({"id": "b", "component": "class_b"}), "b", "left")
-            pairs = pairs.where("coalesce(class_a, a) <> coalesce(class_b, b)").select("a", "b")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = pairs.join(samples.withColumnsRenamed({"rep": "a", "samples": "samples_a"}), "a").join(samples.withColumnsRenamed({"rep": "b", "samples": "samples_b"}), "b")
-        pairs = materialize(_agreeing(pairs), "pairs")
-        if pairs.isEmpty():
-            continue
-        if texts is None:  # whole texts of all that share a bucket, moved once
-            wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-            texts = materialize(given.where("doc_id is not null").join(wanted, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
-        with_texts = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
-        found = materialize(_verified(with_texts, idf), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        all_links.append(found)
-        if k + 1 < ROUNDS:
-            classes = connected_components(functools.reduce(DataFrame.union, all_links))
-    classes = connected_components(functools.reduce(DataFrame.union, all_links))
-    out = rows.select("doc_id").join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+    first = rows.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("samples").alias("samples"), F.first("bands").alias("bands"))
+    first = materialize(first, "representatives")
+    members = materialize(bucket_members(first.where("bands is not null")), "members")
+    texts = materialize(given.where("doc_id is not null").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sides = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+        return materialize(_verified(sides, idf), "links")
+
+    # First the leader that the others have most in common with, then several others for what it didn't take in.
+    tried = materialize(_agreeing(candidates(members.withColumn("label", F.col("rep")), [-F.col("popular")])), "pairs")
+    links = verified(tried)
+    labels = links.selectExpr("a as rep", "a as l").union(links.selectExpr("b as rep", "a as l")).groupBy("rep").agg(F.min("l").alias("l"))
+    labelled = members.join(labels, "rep", "left").withColumn("label", F.coalesce("l", "rep"))
+    more = _agreeing(candidates(labelled, [F.xxhash64("rep", F.lit(k)) for k in range(1, LEADERS)])).join(tried, ["a", "b"], "left_anti")
+    classes = connected_components(links.union(verified(materialize(more, "pairs"))))
+    owned = first.select("digest", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
+    out = rows.select("doc_id", "digest").join(owned, "digest", "left")
+    out = out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
