@@ -81,7 +81,11 @@ def feature_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """ln(1 + N / df) of each feature, over all texts.  FEATURES numbers, whatever the corpus."""
+    """1 + ln(N / df) / ln(N) of each feature, over all texts: 2 for the rarest, 1 for one that all texts have.
+
+    FEATURES numbers, whatever the corpus.  The range is kept narrow so that what many documents share counts less, but
+    an altered copy of a document that holds such a passage still reaches the threshold.
+    """
     width = FEATURES // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +110,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     rows = map_arrow(map_arrow(texts, count, shape).repartition(BLOCKS // 4, "block"), add, shape).collect()
     out = np.zeros(FEATURES)
     for r in rows:
-        out[r["block"] * width : (r["block"] + 1) * width] = np.log1p(r["n"] / np.maximum(np.frombuffer(r["counts"], np.int64), 1))
+        out[r["block"] * width : (r["block"] + 1) * width] = 1 + np.maximum(0, np.log(max(2, r["n"]) / np.maximum(np.frombuffer(r["counts"], np.int64), 1)) / np.log(max(2, r["n"])))
     return out.astype(np.float32)
 
 
