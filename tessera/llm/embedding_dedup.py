@@ -205,3 +205,17 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     linked = points.join(rated, "x").select("vec_id", "n_links", "component_id")
     out = ids.join(linked, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+#: The same rows in DuckDB: every pair of vectors, and a recursive closure of the links.
+ORACLE_SQL = """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+n as (select vec_id, e, sqrt(list_inner_product(e, e)) as size from v where list_inner_product(e, e) > 0),
+l as (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id and list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.95),
+reach(id, c) as (select vec_id, vec_id from embeddings union select l.a, r.c from reach r join l on l.b = r.id),
+counts as (select a, count(*) as n from l group by a)
+select r.id as vec_id, coalesce(any_value(counts.n), 0) as n_links, min(r.c) as component_id, r.id = min(r.c) as kept
+from reach r left join counts on counts.a = r.id group by r.id
+"""

@@ -152,3 +152,16 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY) -> DataFrame:
     rows = best.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+#: The same rows in DuckDB: every query against every row.
+ORACLE_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+s as (
+  select q.vec_id as query_id, d.vec_id, cast(list_inner_product(q.e, d.e) as bigint) as score
+  from v q join v d on q.vec_id % 20 = 0 and d.vec_id <> q.vec_id)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20
+"""

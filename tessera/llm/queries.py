@@ -59,5 +59,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The preference format in SQL.  No entry where SQL cannot express the operator; the tests hold those against brute force."""
-    return {"op3_preference_format": preference_format.ORACLE_SQL}
+    """The operators that SQL can express; the tests hold the others against brute force."""
+    return {
+        "op2_knn_join": knn_join.ORACLE_SQL,
+        "op3_preference_format": preference_format.ORACLE_SQL,
+        "op4_secret_scan": secret_scan.ORACLE_SQL,
+        "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    }

@@ -148,3 +148,28 @@ def redact(docs: DataFrame) -> DataFrame:
     found = found.withColumn("_clean", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text")))
     changed = {"text": F.col("_clean"), "n_chars": F.when(F.size("_spans") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars"))}
     return found.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+
+
+#: The same rows in DuckDB, with each window's entropy from its own counts.
+ORACLE_SQL = r"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+h as (
+  select doc_id, 0 as kind, regexp_split_to_array(text, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?(?:[A-Za-z0-9+/_.=-]+)') as gaps, regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) as hits, regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) as vals, 6 as least from t
+  union all select doc_id, 1, regexp_split_to_array(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), 20 from t
+  union all select doc_id, 2, regexp_split_to_array(text, '[0-9a-f]{24,}'), regexp_extract_all(text, '[0-9a-f]{24,}'), regexp_extract_all(text, '[0-9a-f]{24,}'), 24 from t
+  union all select doc_id, 3, regexp_split_to_array(text, '[A-Za-z0-9+/_=-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9+/_=-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9+/_=-]{20,}'), 20 from t),
+u as (select doc_id, kind, least, unnest(hits) as hit, unnest(vals) as val, unnest(gaps[:len(hits)]) as gap, unnest(range(1, len(hits) + 1)) as i from h where len(hits) > 0),
+p as (select *, sum(length(gap) + length(hit)) over (partition by doc_id, kind order by i) as upto from u),
+s as (select doc_id, kind, hit, upto - length(hit) as a, upto as b from p where length(val) >= least),
+c as (select x.* from s x where x.kind = 3 and regexp_matches(hit, '[0-9]') and regexp_matches(hit, '[A-Za-z]')
+  and not regexp_matches(hit, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$') and not regexp_matches(hit, '^([A-Za-z]+|[0-9]+)([/_=+-]+([A-Za-z]+|[0-9]+))*[/_=+-]*$') and not regexp_matches(hit, 'EXAMPLE')
+  and not exists (select 1 from s y where y.doc_id = x.doc_id and y.kind < 3 and y.a < x.b and x.a < y.b)),
+w as (select doc_id, a, hit, case when regexp_matches(hit, '^[0-9a-fA-F]+$') then 3.0 when regexp_matches(hit, '^([0-9a-z]+|[0-9A-Z]+)$') then 3.6 else 3.75 end as bits, unnest(range(0, length(hit) - 19)) as k from c),
+e as (select doc_id, a, k, bits, (select sum(-(n / 20.0) * log2(n / 20.0)) from (select count(*)::double as n from (select unnest(string_split(substr(w.hit, k + 1, 20), '')) as ch) group by ch)) as entropy from w),
+hot as (select doc_id, 3 as kind, a + min(k) as a, a + max(k) + 20 as b from e where entropy >= bits - 1e-9 group by doc_id, a),
+every as (select doc_id, kind, a, b from s where kind < 3 union all select doc_id, kind, a, b from hot),
+named as (select *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || a::bigint || ':' || b::bigint as shown from every)
+select t.doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex,
+  sha256(coalesce(string_agg(shown, ',' order by a, kind) filter (where kind < 3), '')) as base_sha256, coalesce(string_agg(shown, ',' order by a, kind), '') as spans, count(*) filter (where kind = 3) as n_entropy
+from t left join named on t.doc_id = named.doc_id group by t.doc_id
+"""
