@@ -79,3 +79,21 @@ def append_cursor(existing: DataFrame) -> DataFrame:
 def batch_starts(batches: DataFrame, order: str, count: str) -> DataFrame:
     """First slot of each batch of an append: the counts of all batches before."""
     return running_total(batches, F.col(count), order, "start")
+
+
+def check_shards(stored_chunks: dict[str, int], wanted: dict[str, int]) -> None:
+    """A requested shard length must be the stored one in every dimension."""
+    if wrong := {d: (n, stored_chunks[d]) for d, n in sorted(wanted.items()) if d in stored_chunks and stored_chunks[d] != n}:
+        raise ValueError("; ".join(f"{d}: shards of {a}, stored {b}" for d, (a, b) in wrong.items()))
+
+
+def check_version(needed: str, own: str) -> None:
+    """A plugin's least engine version, as dotted numbers."""
+    parts = lambda v: tuple(int(x) for x in v.split(".")[:3])
+    if parts(own) < parts(needed):
+        raise ValueError(f"the plugin needs version {needed}, this is {own}")
+
+
+def missing_groups(asked: DataFrame, declared: DataFrame) -> DataFrame:
+    """Groups that are asked for but not declared."""
+    return asked.select("grp").distinct().join(declared.select("grp"), "grp", "left_anti")
