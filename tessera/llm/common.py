@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -37,8 +38,16 @@ def materialize(df: DataFrame, label: str, partition_by: Iterable[str] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` under one name, so that call sites read alike."""
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose Python workers find this package where the driver has it.
+
+    That is enough where driver and executors see the same installation; a cluster ships it with --py-files as usual.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    settings = df.sparkSession.sparkContext.environment
+    held = settings.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in held:
+        settings["PYTHONPATH"] = os.pathsep.join([root, *filter(None, held)])
     return df.mapInArrow(fn, schema)
 
 

@@ -185,4 +185,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                 rows = rows.set_column(names.index("lang"), "lang", pa.array(filled, pa.string()))
                 yield rows.filter(pa.array([p != UNKNOWN for p in langs]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
