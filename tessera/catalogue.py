@@ -191,7 +191,16 @@ def rect_mesh(spark, sf_dir):
     return binning.rectangular_mesh(lats, lons, data).select("y", "x", "lat", "lon", "value")
 
 
-@query(None)
+CELLS_SQL = """h1 as (select pos, value, lon, sin(radians(lat)) as z, cos(radians(lat)) as c, case when lon / 90e0 % 4 < 0 then lon / 90e0 % 4 + 4 else lon / 90e0 % 4 end as turn from samples),
+h2 as (select *, cast(least(floor(turn), 3) as bigint) as quarter, cast(floor(16 * (0.5 + turn) - 16 * (z * 0.75)) as bigint) as up, cast(floor(16 * (0.5 + turn) + 16 * (z * 0.75)) as bigint) as down, 16 * c * sqrt(3e0 / (1e0 + abs(z))) as reach from h1),
+h3 as (select *, cast(least(floor((turn - quarter) * reach), 15) as bigint) as p, cast(least(floor((1e0 - (turn - quarter)) * reach), 15) as bigint) as q, abs(z) <= 2e0 / 3e0 as belt from h2),
+h4 as (select pos, value,
+  case when not belt then quarter + case when z >= 0 then 0 else 8 end when up // 16 = down // 16 then (up // 16) % 4 + 4 when up // 16 < down // 16 then (up // 16) % 4 else (down // 16) % 4 + 8 end as face,
+  case when belt then down % 16 when z >= 0 then 15 - q else p end as x, case when belt then 15 - up % 16 when z >= 0 then 15 - p else q end as y from h3),
+celled as (select pos, value, face * 256 + list_sum(list_transform(range(0, 4), lambda k: ((x >> k) & 1) << (2 * k))) + 2 * list_sum(list_transform(range(0, 4), lambda k: ((y >> k) & 1) << (2 * k))) as cell from h4)"""
+
+
+@query(f"with {SAMPLES_SQL}, {CELLS_SQL} select cast(cell as bigint) as cell, round(avg(value), 6) as v, cast(bool_or(value <> 0) as int) as seen from celled group by 1")
 def healpix_mean(spark, sf_dir):
     """Mean of each nested cell at depth 4; the tests hold the cells against an independent implementation."""
     cells = healpix.with_cells(_samples(spark, sf_dir), 4)
