@@ -8,6 +8,7 @@ character and its two neighbours, apart from the English contractions, which are
 from __future__ import annotations
 
 import functools
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -147,18 +148,25 @@ def library_tokenizer(path: str):
     return found
 
 
+@functools.cache
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level models use for each byte: visible Latin-1 characters stand for themselves, the others
+    get the code points from 256 on, in order."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 def library_memo(path: str) -> Memo:
     """Little-endian 32-bit ids of each pre-token by the ``tokenizers`` library.
 
-    A pre-token's ids don't depend on its neighbours, so each distinct one is encoded once by the library, not once for
-    each time it stands in a text.
+    A pre-token's ids don't depend on its neighbours, so the library's model encodes each distinct one once, not once
+    for each time it stands in a text.
     """
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    encode = library_tokenizer(path).encode_batch_fast
+    encode, letters = library_tokenizer(path).model.tokenize, byte_letters()
 
     def compute(words: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in encode([w.decode("utf-8") for w in words], add_special_tokens=False)]
+        found = [[t.id for t in encode(w.decode("latin-1").translate(letters))] for w in words]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
     return Memo(compute)
