@@ -8,7 +8,9 @@
    bands are the most popular, which in a family of copies is what they have in common; then each bucket has
    ``LEADERS`` - 1 others, with which only members of another first leader are compared.  Pairs whose samples agree too
    rarely to reach the threshold are ruled out; the others are verified by the weighted Jaccard similarity of whole texts.
-5. Classes are the connected components of verified links.
+5. Leaders only save work.  What they leave apart in a bucket is compared too: all pairs of a small bucket, and in larger
+   ones those that share a shingle of their prefixes, without which no pair can reach the threshold.
+6. Classes are the connected components of verified links.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ SAMPLES = BANDS * ROWS
 LEAST_AGREEMENT = 17
 #: Leaders of a bucket: the most popular member, then this many less one by independent orders.
 LEADERS = 5
+#: Members that leaders left apart are paired directly in buckets up to this size, and by their prefixes in larger ones.
+SMALL_BUCKET = 32
+#: For rounding, in bounds.
+SLACK = 1e-6
 FEATURE_BITS = 18
 FEATURES, BLOCKS = 1 << FEATURE_BITS, 64
 #: Shingles share that many rows of sampling parameters.
@@ -193,13 +199,61 @@ def bucket_members(reps: DataFrame) -> DataFrame:
 
 def candidates(members: DataFrame, orders: list) -> DataFrame:
     """Pairs of a member and its bucket's leaders, one leader for each order; only of different labels."""
-    rows = members.select(F.explode("buckets").alias("bucket"), "rep", "samples", "label", *[F.struct(o.alias("o"), "rep").alias(f"o{k}") for k, o in enumerate(orders)])
+    rows = members.select(F.explode("buckets").alias("bucket"), "rep", "samples", "label", "popular")
+    rows = rows.select("bucket", "rep", "samples", "label", *[F.struct(o.alias("o"), "rep").alias(f"o{k}") for k, o in enumerate(orders)])
     who = F.struct("rep", "samples", "label")
     leaders = rows.groupBy("bucket").agg(*[F.min_by(who, f"o{k}").alias(f"l{k}") for k in range(len(orders))])
     leaders = leaders.select("bucket", F.explode(F.array(*[F.col(f"l{k}") for k in range(len(orders))])).alias("leader"))
     return rows.select("bucket", "rep", "samples", "label").join(leaders, "bucket").where("rep <> leader.rep and label <> leader.label")
 
 
+def _prefixes(texts: DataFrame, idf, rarity) -> DataFrame:
+    """The prefix of each text (rep, label, text): its rarest shingles, up to where less than the threshold's share is left.
+
+    rest is the weight from that shingle on, total that of the text.  The first shingle two texts share, in this order,
+    is in both prefixes if they reach the threshold.  Shingles that no other text can have are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps, labels = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for first, _, run, _, _ in text_runs(batch.column(2)):
+                owners, hashes, times = shingle_counts(run)
+                rare = rarity.value[feature_of(hashes)]
+                order = np.lexsort((hashes, -rare, owners))
+                owners, hashes, rare = owners[order], hashes[order], rare[order]
+                weights = times[order] * idf.value[feature_of(hashes)].astype(np.float64)
+                total = np.bincount(owners, weights, minlength=len(run))
+                before = np.cumsum(weights) - weights
+                begins = np.flatnonzero(np.diff(owners, prepend=-1))
+                rest = total[owners] - (before - np.repeat(before[begins], np.diff(begins, append=len(owners))))
+                at = np.flatnonzero((rest >= (THRESHOLD - SLACK) * total[owners]) & (rare < 2 - SLACK))
+                who = owners[at] + first
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(reps[who]), pa.array(labels[who]), pa.array(rest[at]), pa.array(total[owners[at]])], ["hash", "rep", "label", "rest", "total"])
+
+    return map_arrow(texts.select("rep", "label", "text"), run, "hash long, rep long, label long, rest double, total double")
+
+
+def left_apart(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """Distinct pairs (a, b) of different labels that share a bucket and can reach the threshold; none is left out.
+
+    A pair's overlap is at most what either has from their first common shingle on, which rules out those that mostly
+    share a passage of a crowd.
+    """
+    spark = members.sparkSession
+    rows = members.select(F.explode("buckets").alias("bucket"), "rep", "label")
+    mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low < high").select("bucket", "n")
+    rows = materialize(rows.join(mixed, "bucket"), "apart")
+    small = rows.where(F.col("n") <= SMALL_BUCKET)
+    pairs = small.alias("l").join(small.alias("r"), F.expr("l.bucket = r.bucket and l.rep < r.rep and l.label <> r.label")).selectExpr("l.rep as a", "r.rep as b")
+    crowd = materialize(rows.where(F.col("n") > SMALL_BUCKET).select("rep", "label").distinct().join(texts.withColumnRenamed("doc_id", "rep"), "rep"), "crowd")
+    rarity = spark.sparkContext.broadcast(inverse_frequencies(crowd.select("text")))
+    prefixes = materialize(_prefixes(crowd, idf, rarity), "prefixes")
+    reach = f"least(l.rest, r.rest) * {1 + THRESHOLD} >= {THRESHOLD - SLACK} * (l.total + r.total)"
+    met = prefixes.alias("l").join(prefixes.alias("r"), F.expr(f"l.hash = r.hash and l.rep < r.rep and l.label <> r.label and {reach}")).selectExpr("l.rep as a", "r.rep as b")
+    return pairs.union(met).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """Class of every document.
 
@@ -223,13 +277,20 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         sides = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
         return materialize(_verified(sides, idf), "links")
 
-    # First the leader that the others have most in common with, then several others for what it didn't take in.
+    # First the leader that the others have most in common with, then several others for what it didn't take in, then
+    # all that both left apart.
     tried = materialize(_agreeing(candidates(members.withColumn("label", F.col("rep")), [-F.col("popular")])), "pairs")
     links = verified(tried)
     labels = links.selectExpr("a as rep", "a as l").union(links.selectExpr("b as rep", "a as l")).groupBy("rep").agg(F.min("l").alias("l"))
     labelled = members.join(labels, "rep", "left").withColumn("label", F.coalesce("l", "rep"))
-    more = _agreeing(candidates(labelled, [F.xxhash64("rep", F.lit(k)) for k in range(1, LEADERS)])).join(tried, ["a", "b"], "left_anti")
-    classes = connected_components(links.union(verified(materialize(more, "pairs"))))
+    more = materialize(_agreeing(candidates(labelled, [F.xxhash64("bucket", "rep", F.lit(k)) for k in range(1, LEADERS)])).join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(verified(more))
+    found = materialize(connected_components(links).withColumnsRenamed({"id": "rep", "component": "l"}), "found")
+    labelled = members.join(found, "rep", "left").withColumn("label", F.coalesce("l", "rep")).drop("l")
+    apart = left_apart(labelled, texts, idf).join(tried.union(more), ["a", "b"], "left_anti")
+    side = members.select("rep", "samples")
+    apart = apart.join(side.withColumnRenamed("rep", "a"), "a").join(side.select(F.col("rep").alias("b"), F.struct("rep", "samples").alias("leader")), "b").withColumnRenamed("a", "rep")
+    classes = connected_components(links.union(verified(materialize(_agreeing(apart), "pairs"))))
     owned = first.select("digest", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     out = rows.select("doc_id", "digest").join(owned, "digest", "left")
     out = out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))

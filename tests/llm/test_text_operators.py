@@ -299,3 +299,14 @@ def test_samples_agree_as_often_as_the_weighted_similarity():
         got = near_dedup.weighted_samples(np.repeat([0, 1], [340, 340]), np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), 2)
         hits += (got[0] == got[1]).mean() - near_dedup.weighted_jaccard(a, b)
     assert abs(hits / n) < 0.05
+
+
+def test_small_families_in_a_crowd_that_shares_most_of_its_text_are_found(spark):
+    rng = random.Random(7)
+    words = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(n)]
+    common, texts = words(680), []
+    for _ in range(300):
+        own = words(60)
+        texts += [" ".join(common + own), " ".join(common + own[:30] + words(30))]
+    got = [r["class_id"] for r in near_dedup.near_duplicate_classes(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [i - i % 2 for i in range(len(texts))]
