@@ -15,7 +15,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -43,36 +42,50 @@ SMALL_BUCKET = 32
 SLACK = 1e-6
 FEATURE_BITS = 18
 FEATURES, BLOCKS = 1 << FEATURE_BITS, 64
-#: Shingles share that many rows of sampling parameters.
-TABLE_BITS = 14
 CHUNK_BYTES = 1 << 20
 
 
-@functools.cache
-def sampling_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r and ln c (Gamma(2, 1)) and beta (uniform) of improved consistent weighted sampling, for each row and sample."""
-    draw, shape = np.random.default_rng(20240), (1 << TABLE_BITS, SAMPLES)
-    r, c = draw.gamma(2.0, 1.0, shape), draw.gamma(2.0, 1.0, shape)
-    return np.maximum(r, 1e-3).astype(np.float32), np.log(c).astype(np.float32), draw.random(shape).astype(np.float32)
+def _uniforms(bits: np.ndarray, shift: int, width: int) -> np.ndarray:
+    """The middles of 2**width steps of (0, 1), by the bits from shift on."""
+    return ((bits >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-width)
+
+
+def _draws(hashes: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r and ln c (Gamma(2, 1)) and beta (uniform) of improved consistent weighted sampling, for each hash and salt."""
+    one = hashes[..., None] ^ salts
+    one *= np.uint64(0xBF58476D1CE4E5B9)
+    one ^= one >> np.uint64(32)
+    one *= np.uint64(0x94D049BB133111EB)
+    two = one ^ one >> np.uint64(29)
+    two *= np.uint64(0xD6E8FEB86659FD93)
+    two ^= two >> np.uint64(32)
+    # A sum of two exponentials is Gamma(2, 1); 23 bits keep the middles of steps exact in 32-bit floats.
+    c = -np.log(_uniforms(one, 41, 23)) - np.log(_uniforms(one, 18, 23))
+    r = -np.log(_uniforms(two, 44, 20) * _uniforms(two, 24, 20))
+    return np.maximum(r, np.float32(1e-3)), np.log(c), _uniforms(two, 1, 23)
 
 
 def weighted_samples(owners: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """SAMPLES values (as 32-bit patterns) of each of n texts.
+    """SAMPLES values of each of n texts: hashes of the pair of shingle and step with the least ln a.
 
-    ln a = ln c - r * (floor(ln w / r + beta) - beta + 1); the least ln a wins, and its value stands for the pair of
-    shingle and step that gave it.
+    ln a = ln c - r * (floor(ln w / r + beta) - beta + 1), drawn by the whole hash of the shingle and the sample's number.
     """
-    r_of, c_of, b_of = sampling_tables()
-    least = np.full((n, SAMPLES), np.inf, np.float32)
+    salts = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    least, found = np.full((n, SAMPLES), np.inf, np.float32), np.zeros((n, SAMPLES), np.uint64)
     log_w = np.log(weights).astype(np.float32)
-    for a in range(0, len(owners), 1 << 14):
-        rows = (hashes[a : a + (1 << 14)] & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
-        r, beta = r_of[rows], b_of[rows]
-        value = c_of[rows] - r * (np.floor(log_w[a : a + (1 << 14), None] / r + beta) - beta + np.float32(1))
-        who = owners[a : a + (1 << 14)]
+    for a in range(0, len(owners), 1 << 11):
+        r, log_c, beta = _draws(hashes[a : a + (1 << 11)], salts)
+        value = log_c - r * (np.floor(log_w[a : a + (1 << 11), None] / r + beta) - beta + np.float32(1))
+        who = owners[a : a + (1 << 11)]
         at = np.flatnonzero(np.diff(who, prepend=-1))
-        least[who[at]] = np.minimum(least[who[at]], np.minimum.reduceat(value, at, axis=0))
-    return least.view(np.uint32)
+        lows, held = np.minimum.reduceat(value, at, axis=0), least[who[at]]
+        lows[lows >= held] = -np.inf  # no row has that value
+        row, k = np.nonzero(value == np.repeat(lows, np.diff(at, append=len(who)), axis=0))
+        least[who[row], k] = value[row, k]
+        r, beta = r[row, k], beta[row, k]
+        step = np.floor(log_w[a + row] / r + beta).astype(np.int64).view(np.uint64)
+        found[who[row], k] = mix(hashes[a + row] ^ mix(step + np.uint64(1)))
+    return (found >> np.uint64(32)).astype(np.uint32)
 
 
 def text_runs(column: pa.Array) -> Iterator[tuple[int, int, list[str], memoryview, np.ndarray]]:

@@ -310,3 +310,10 @@ def test_small_families_in_a_crowd_that_shares_most_of_its_text_are_found(spark)
         texts += [" ".join(common + own), " ".join(common + own[:30] + words(30))]
     got = [r["class_id"] for r in near_dedup.near_duplicate_classes(docs(spark, texts)).orderBy("doc_id").collect()]
     assert got == [i - i % 2 for i in range(len(texts))]
+
+
+def test_samples_of_unrelated_long_texts_do_not_agree():
+    rng = np.random.default_rng(5)
+    keys = [np.sort(rng.integers(0, 2**63, 20000).astype(np.uint64) * np.uint64(2)) for _ in range(4)]
+    got = near_dedup.weighted_samples(np.repeat(range(4), 20000), np.concatenate(keys), np.full(80000, 1.7), 4)
+    assert max((got[i] == got[j]).sum() for i in range(4) for j in range(i)) <= 1
