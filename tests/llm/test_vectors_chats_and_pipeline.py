@@ -83,10 +83,27 @@ def test_knn_equals_brute_force_with_ties_and_own_exclusion(spark, monkeypatch):
 
 
 def test_bounds_skip_cells_that_cannot_matter():
-    pivots = np.array([[100.0, 0], [0, 100.0], [-100.0, 0]])
-    data = {0: (50, 5.0, 105.0), 1: (50, 5.0, 105.0), 2: (50, 5.0, 105.0)}
-    assert knn_join.needed_cells(pivots, data, {0: (3, 5.0, 105.0)}, 20) == [(0, 0)]
-    assert set(knn_join.needed_cells(pivots, data, {0: (3, 5.0, 105.0)}, 60)) == {(0, 0), (0, 1)}
+    pivots, radius = np.array([[100.0, 0], [0, 100.0], [-100.0, 0]]), np.array([5.0, 5.0, 5.0])
+    assert knn_join.reachable(np.array([[100.0, 5.0]]), np.array([9000.0]), pivots, radius).tolist() == [0]
+    assert knn_join.reachable(np.array([[100.0, 5.0]]), np.array([900.0]), pivots, radius).tolist() == [0, 1]
+    assert knn_join.reachable(np.array([[100.0, 5.0]]), np.array([-np.inf]), pivots, radius).tolist() == [0, 1, 2]
+
+
+def test_knn_of_clustered_repeated_and_huge_vectors(spark, monkeypatch):
+    for name, value in (("PER_CELL", 40), ("BLOCK", 20), ("QUERY_BLOCK", 3), ("CHUNK", 2)):
+        monkeypatch.setattr(knn_join, name, value)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(8, 6))[rng.integers(0, 8, 300)] * 3 + rng.normal(size=(300, 6)) * 0.1
+    x[40:60], x[100] = x[40], [1e9, 0, 0, -1e9, 0, 0]
+    x[120] = [3e38, 1, 1, 1, 1, 1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())], "vec_id long, embedding array<double>")
+    ints = [[int(np.floor(64 * v)) for v in row] for row in x]
+    most = 2**63 - 1
+    want = []
+    for q in range(0, 300, 20):
+        scores = [max(-most, min(most, sum(a * b for a, b in zip(ints[q], r, strict=True)))) for r in ints]
+        want += [(q, k + 1, j, scores[j]) for k, j in enumerate(sorted((j for j in range(300) if j != q), key=lambda j: (-scores[j], j))[:20])]
+    assert sorted(tuple(r) for r in knn_join.top_k(df).collect()) == want
 
 
 def test_components_of_chains_stars_and_cycles(spark):
@@ -118,12 +135,13 @@ def test_preferences_render_the_common_prefix_once(spark):
     assert preference_format.format_preferences(preference_format.by_neighbours(df.where("false"))).count() == 0
 
 
-def test_preferences_equal_their_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for path in glob.glob(f"{sf_dir}/*.parquet"):
         con.sql(f"create view {os.path.basename(path).removesuffix('.parquet')} as select * from '{path}'")
-    want = con.sql(queries.oracle_sql()["op3_preference_format"]).df()
-    got = queries.op3_preference_format(spark, sf_dir).toPandas()[list(want.columns)]
+    want = con.sql(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, sf_dir).toPandas()[list(want.columns)]
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
 
 
