@@ -13,15 +13,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import map_arrow, slices_by_bytes, unique_docs
 from tessera.llm.pretokens import LETTER, class_table, string_buffers
 
 UNKNOWN = "und"
 FEATURES = 1 << 13
-#: The classifiers are fitted on so many labelled texts a language at most, and so many in all: a bounded sample in the
-#: order of a hash of doc_id.  Everything else covers all rows.
-SAMPLE_PER_LANGUAGE, SAMPLE_IN_ALL = 400, 8000
+#: The classifiers are fitted on so many labelled texts a language at most, and so many in all (one each, where there are
+#: more languages): a bounded sample of the distinct rows in the order of a hash of doc_id and text.  Whole texts count, but
+#: only their features leave the executors: at most FEATURES values a text.  Everything else covers all rows.
+SAMPLE_PER_LANGUAGE, SAMPLE_IN_ALL = 400, 4000
 ROUNDS, RATE, SHRINK = 60, 2.0, 1e-4
 #: A score below this is flagged as ambiguous.
 AMBIGUOUS = 0.02
@@ -93,12 +95,16 @@ class Model:
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
+    """The model of labelled texts."""
+    return fit_features(np.concatenate([frequencies(texts[i : i + 256])[0] for i in range(0, max(1, len(texts)), 256)]), langs)
+
+
+def fit_features(x: np.ndarray, langs: list[str]) -> Model:
     """Logistic classifiers for all bits at once, by accelerated gradient descent with the languages weighed alike."""
     names = sorted(set(langs))
     code = codewords(len(names))
     if not names:
         return Model([], code, np.ones(1), np.zeros((FEATURES, 1), np.float32), np.zeros(1, np.float32))
-    x = np.concatenate([frequencies(texts[i : i + 256])[0] for i in range(0, len(texts), 256)])
     kind = np.array([names.index(v) for v in langs])
     target = code[kind].astype(np.float32)
     weigh = (1 / np.bincount(kind)[kind] / len(names)).astype(np.float32)[:, None]
@@ -120,24 +126,38 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+def sample(docs: DataFrame) -> DataFrame:
+    """The bounded sample of labelled rows that aren't held out: lang, place in the order, text.
+
+    A language's share of the hash range holds about twice the distinct rows wanted; the first of those are taken.  Rows
+    alike in doc_id and text are one, so neither null nor repeated doc_ids swell it.
+    """
+    labelled = unique_docs(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    labelled = labelled.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n")).collect()}  # a row for each language
+    most = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_IN_ALL // max(1, len(counts))))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, (2 * most + 50) / max(1, n))) for lang, n in counts.items()], "lang string, share double")
+    near = labelled.join(F.broadcast(shares), "lang").where(F.col("place") < F.col("share") * (1 << 40))
+    near = near.groupBy("lang", "place").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("place")  # about 2 * most rows each
+    return near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("lang", "place", "text")
+
+
 def train(docs: DataFrame) -> Model:
     """Fit on the bounded sample of rows with text and language that aren't held out."""
-    labelled = unique_docs(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    if not counts:
-        return fit([], [])
-    most = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_IN_ALL // len(counts)))
-    # A language's share of the hash range that holds about twice the rows wanted; then the first by hash.
-    shares = [(lang, min(1.0, (2 * most + 50) / n)) for lang, n in counts.items()]
-    place = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 40))
-    shared = docs.sparkSession.createDataFrame(shares, "lang string, share double")
-    rows = labelled.withColumn("place", place).join(F.broadcast(shared), "lang").where(F.col("place") < F.col("share") * (1 << 40)).select("lang", "place", "text").collect()
-    kept: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["place"], r["text"])):
-        if len(kept.setdefault(r["lang"], [])) < most:
-            kept[r["lang"]].append(r["text"])
-    pairs = [(t, lang) for lang in sorted(kept) for t in kept[lang]]
-    return fit([t for t, _ in pairs], [lang for _, lang in pairs])
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = frequencies(batch.column(2).slice(k, 1).to_pylist())[0][0]
+                at = np.flatnonzero(row)
+                yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).slice(k, 1).columns, pa.array([at.astype("<u2").tobytes()]), pa.array([row[at].astype("<f4").tobytes()])], ["lang", "place", "cells", "values"])
+
+    rows = sorted(map_arrow(sample(docs), featured, "lang string, place long, cells binary, values binary").collect(), key=lambda r: (r["lang"], r["place"]))
+    x = np.zeros((len(rows), FEATURES), np.float32)
+    for k, r in enumerate(rows):
+        x[k, np.frombuffer(r["cells"], "<u2")] = np.frombuffer(r["values"], "<f4")
+    return fit_features(x, [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
