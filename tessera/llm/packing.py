@@ -174,7 +174,8 @@ def pack_documents(docs: DataFrame, path: str, sequence: int = SEQUENCE, width:
         first += times
     runs.append((0, 0, int(histogram.get(0, 0)), 1, 0))
     places = spark.createDataFrame(runs, "class int, low long, high long, per long, first long")
-    ranked = pieces.join(F.broadcast(offsets), ["class", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # A row for each class and task: no broadcast by hint, as tasks grow with the corpus.
+    ranked = pieces.join(offsets, ["class", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
     placed = ranked.join(F.broadcast(places), ["class"]).where("rank >= low and rank < high")
     placed = placed.withColumn("sequence_id", F.expr("first + (rank - low) div per"))
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "task", "nth").rowsBetween(Window.unboundedPreceding, -1)
