@@ -6,11 +6,16 @@ row per shard.  A shard covers consecutive documents in ascending doc_id order:
     part, shard       the shard's place: part of the doc_id range, number within the part
     first_start       ids before the shard within its part
     n_ids             ids in the shard, each document's end id included
-    rules             uint32 pairs: rule k replaces its pair by the symbol ALPHABET + k; a rule only names earlier symbols
-    expansions        uint32: how many ids the symbol of each rule stands for
-    width, symbols    the replaced sequence, each symbol in ``width`` bits, least significant bit first
+    alphabet          ids are below this; rule k replaces its pair by the symbol alphabet + k
+    n_rules, rules    the pairs, two symbols a rule; a rule only names earlier symbols
+    reach, expansions how many ids the symbol of each rule stands for, in ``reach`` bits
+    n_symbols, symbols  the replaced sequence
+    width             bits of a symbol in ``rules`` and ``symbols``, least significant bit first
     doc_ids, doc_ids_null, doc_sizes    int64 ids (and a flag byte each), uint32 id counts of the documents
 
+Rules are made until no pair of symbols occurs twice in the shard.  They are made in rounds: each takes all pairs that
+repeat, from the most frequent on, except where a more frequent pair overlaps.
+
 To read document d, take the running sum of its symbols' expansions, find the first symbol that reaches into it and
 expand from there; nothing else is decoded.
 """
@@ -29,91 +34,114 @@ from tessera.llm.common import map_arrow, materialize, unique_docs
 from tessera.llm.pretokens import chunks, library_memo
 
 END_ID = 0
-#: Ids below this are terminals; a rule's symbol follows.
-ALPHABET = 1 << 16
 #: A shard is closed at so many ids; a longer document still forms one shard.
 SHARD_IDS = 1 << 20
-#: Rounds of replacement; in each, up to RULES_A_ROUND of the most frequent pairs that occur at least LEAST times.
-ROUNDS, RULES_A_ROUND, LEAST = 4, 1024, 16
-FILE = "part int, shard int, first_start long, n_ids long, rules binary, expansions binary, width int, symbols binary, doc_ids binary, doc_ids_null binary, doc_sizes binary"
+#: A pair gets a rule if it occurs so often.
+LEAST = 2
+FILE = "part int, shard int, first_start long, n_ids long, alphabet long, n_rules long, rules binary, reach int, expansions binary, width int, n_symbols long, symbols binary, doc_ids binary, doc_ids_null binary, doc_sizes binary"
+
+
+def _sorted_pairs(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All adjacent pairs (left << 32 | right) in order, and their places, ascending for each pair."""
+    n, bits = len(sequence) - 1, int(sequence.max()).bit_length()
+    place_bits = n.bit_length()
+    wide = sequence.astype(np.uint64)
+    if 2 * bits + place_bits <= 64:  # one sort of numbers that hold both
+        keys = wide[:-1] << np.uint64(bits + place_bits) | wide[1:] << np.uint64(place_bits) | np.arange(n, dtype=np.uint64)
+        keys.sort()
+        pairs, places = keys >> np.uint64(place_bits), (keys & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+        return pairs >> np.uint64(bits) << np.uint64(32) | pairs & np.uint64((1 << bits) - 1), places
+    pairs = wide[:-1] << np.uint64(32) | wide[1:]
+    places = np.argsort(pairs, kind="stable")
+    return pairs[places], places
+
+
+def _round(sequence: np.ndarray, first_symbol: int, least: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The pairs that get a rule in this round, and the sequence with them replaced; None where no pair occurs often enough."""
+    if len(sequence) < 2:
+        return None
+    pairs, places = _sorted_pairs(sequence)
+    starts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    times = np.diff(starts, append=len(pairs))
+    frequent = np.flatnonzero(times >= least)
+    order = frequent[np.argsort(-times[frequent], kind="stable")]
+    none = len(pairs) + 1
+    rank_of = np.full(len(starts), none, np.int64)
+    rank_of[order] = np.arange(len(order))
+    rank = np.full(len(pairs) + 1, none, np.int64)  # of the pair at each place
+    rank[places] = np.repeat(rank_of, times)
+    # Stretches of one rank (longer than 1 where a symbol repeats) win over both neighbours or wait for another round;
+    # within one, every second place is taken.
+    at = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
+    here, sizes = rank[at], np.diff(at, append=len(rank))
+    wins = (here < none) & (here < np.concatenate([[none], here[:-1]])) & (here < np.concatenate([here[1:], [none]]))
+    at, here, halves = at[wins], here[wins], (sizes[wins] + 1) // 2
+    taken = np.repeat(at, halves) + 2 * (np.arange(halves.sum()) - np.repeat(np.cumsum(halves) - halves, halves))
+    ranks = np.repeat(here, halves)
+    uses = np.bincount(ranks, minlength=len(order))
+    accepted = uses >= least
+    if not accepted.any():
+        # What overlaps kept every pair below: the most frequent pair that can be replaced often enough, if any, goes alone.
+        for k in order.tolist():
+            alone = places[starts[k] : starts[k] + times[k]]
+            if pairs[starts[k]] >> np.uint64(32) == pairs[starts[k]] & np.uint64(0xFFFFFFFF):
+                runs = np.flatnonzero(np.diff(alone, prepend=-2) > 1)
+                sizes = np.diff(runs, append=len(alone))
+                alone = alone[(np.arange(len(alone)) - np.repeat(runs, sizes)) % 2 == 0]
+            if len(alone) >= least:
+                return pairs[starts[[k]]], _replaced(sequence, alone, np.full(len(alone), first_symbol))
+        return None
+    symbols = first_symbol + np.cumsum(accepted) - 1
+    keep = accepted[ranks]
+    return pairs[starts[order[accepted]]], _replaced(sequence, taken[keep], symbols[ranks[keep]])
+
+
+def _replaced(sequence: np.ndarray, places: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The sequence with the pairs at the places replaced by the symbols."""
+    out, keep = sequence.copy(), np.ones(len(sequence), bool)
+    out[places], keep[places + 1] = symbols, False
+    return out[keep]
 
 
-def frequent_pairs(sequence: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent adjacent pairs (left << 32 | right), most frequent first, ties to the smaller pair.
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rules (pairs), expansion length of each rule's symbol, the replaced sequence, and the alphabet's size.
 
-    A hash table of counts finds the pairs that can be among them; only their places are counted exactly.
+    In the end no pair occurs ``least`` times without overlapping itself.
     """
-    left, right = sequence[:-1], sequence[1:]
-    slots = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(14)
-    counts = np.bincount(slots, minlength=1 << 18)
-    floor = max(least, int(np.partition(counts, -2 * most)[-2 * most]))
-    at = np.flatnonzero((counts >= floor)[slots])
-    keys = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-    pairs, times = np.unique(keys, return_counts=True)
-    order = np.lexsort((pairs, -times))[:most]
-    return pairs[order][times[order] >= least]
-
-
-def replace_pairs(sequence: np.ndarray, pairs: np.ndarray, first_symbol: int) -> np.ndarray:
-    """Replace each pair by its symbol, left to right without overlap."""
-    order = np.argsort(pairs)
-    ranked = pairs[order]
-    mark = np.zeros(1 << 16, bool)  # most places are ruled out by the low bits of their two symbols
-    mark[((ranked >> np.uint64(32)) * np.uint64(31) + ranked & np.uint64(0xFFFF)).astype(np.int64)] = True
-    left, right = sequence[:-1], sequence[1:]
-    at = np.flatnonzero(mark[(left * np.uint32(31) + right) & np.uint32(0xFFFF)])
-    keys = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-    found = np.minimum(np.searchsorted(ranked, keys), len(ranked) - 1)
-    hit = ranked[found] == keys
-    at, found = at[hit], found[hit]
-    if not len(at):
-        return sequence
-    # In a run of places one apart every second one is taken, from the run's start.
-    run_start = np.diff(at, prepend=-2) > 1
-    starts = np.flatnonzero(run_start)
-    taken = (np.arange(len(at)) - starts[np.cumsum(run_start) - 1]) % 2 == 0
-    out = sequence.copy()
-    out[at[taken]] = first_symbol + order[found[taken]]
-    keep = np.ones(len(out), bool)
-    keep[at[taken] + 1] = False
-    return out[keep]
-
-
-def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules (pairs), expansion length of each rule's symbol, and the replaced sequence."""
-    sequence, rules, expansions = ids.astype(np.uint32), [], np.array([], np.int64)
-    for _ in range(ROUNDS):
-        if len(sequence) < 2:
-            break
-        pairs = frequent_pairs(sequence, RULES_A_ROUND, LEAST)
-        if not len(pairs):
-            break
-        sequence = replace_pairs(sequence, pairs, ALPHABET + len(expansions))
+    sequence, rules = ids.astype(np.uint32), []
+    alphabet = int(ids.max(initial=0)) + 1
+    if alphabet + len(ids) > 1 << 32:
+        raise ValueError("ids and rules must fit 32 bits")
+    expansions = np.zeros(0, np.int64)
+    while found := _round(sequence, alphabet + len(expansions), least):
+        pairs, sequence = found
         sides = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.int64)
-        sizes = np.where(sides < ALPHABET, 1, np.append(expansions, 0)[np.minimum(np.maximum(sides - ALPHABET, 0), len(expansions))])
-        expansions = np.concatenate([expansions, sizes.sum(1)])
+        expansions = np.concatenate([expansions, _lengths(sides, expansions, alphabet).sum(1)])
         rules.append(sides)
-    return (np.concatenate(rules) if rules else np.zeros((0, 2))).astype(np.uint32), expansions.astype(np.uint32), sequence
+    return np.concatenate([np.zeros((0, 2), np.int64), *rules]).astype(np.uint32), expansions, sequence, alphabet
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """The ids of a sequence of symbols: all rules' symbols are replaced by their pairs until none is left."""
-    sequence = symbols.astype(np.int64)
-    pairs = rules.reshape(-1, 2).astype(np.int64)
-    while len(at := np.flatnonzero(sequence >= ALPHABET)):
-        grown = np.ones(len(sequence), np.int64)
-        grown[at] = 2
-        place = np.cumsum(grown) - grown
-        out = np.empty(int(grown.sum()), np.int64)
-        out[place] = sequence
-        rule = pairs[sequence[at] - ALPHABET]
-        out[place[at]], out[place[at] + 1] = rule[:, 0], rule[:, 1]
-        sequence = out
-    return sequence.astype(np.uint32)
+def _lengths(symbols: np.ndarray, expansions: np.ndarray, alphabet: int) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    return np.where(symbols < alphabet, 1, np.append(expansions, 1)[np.clip(symbols - alphabet, 0, len(expansions))])
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, expansions: np.ndarray, alphabet: int) -> np.ndarray:
+    """The ids of a sequence of symbols: each rule's symbol is taken apart at its place until only ids are left."""
+    symbols, rules = symbols.astype(np.int64), rules.astype(np.int64)
+    sizes = _lengths(symbols, expansions, alphabet)
+    out, places = np.empty(int(sizes.sum()), np.uint32), np.cumsum(sizes) - sizes
+    while len(symbols):
+        known = symbols < alphabet
+        out[places[known]] = symbols[known]
+        pairs, places = rules[symbols[~known] - alphabet], places[~known]
+        symbols = pairs.T.reshape(-1)
+        places = np.concatenate([places, places + _lengths(pairs[:, 0], expansions, alphabet)])
+    return out
 
 
 def pack_bits(values: np.ndarray, width: int) -> bytes:
-    """width (at most 24) bits each, groups of 8 values in ``width`` bytes."""
+    """width (at most 32) bits each, groups of 8 values in ``width`` bytes."""
     padded = np.zeros(-(-len(values) // 8) * 8, np.uint64)
     padded[: len(values)] = values
     groups, out = padded.reshape(-1, 8), np.zeros((len(padded) // 8, width + 8), np.uint8)
@@ -136,23 +164,31 @@ def unpack_bits(raw: bytes, width: int, n: int) -> np.ndarray:
     return out.reshape(-1)[:n].astype(np.uint32)
 
 
+def grammar(shard: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Symbols, rules, expansion lengths and alphabet of a shard row."""
+    rules = unpack_bits(shard["rules"], shard["width"], 2 * shard["n_rules"]).reshape(-1, 2)
+    expansions = unpack_bits(shard["expansions"], shard["reach"], shard["n_rules"]).astype(np.int64)
+    return unpack_bits(shard["symbols"], shard["width"], shard["n_symbols"]), rules, expansions, shard["alphabet"]
+
+
 def read_document(shard: dict, index: int) -> np.ndarray:
     """Random access: the ids (with the end id) of one document of a shard row, expanding only the symbols that cover it."""
     sizes = np.frombuffer(shard["doc_sizes"], np.uint32).astype(np.int64)
     first = int(sizes[:index].sum())
-    rules, lengths = np.frombuffer(shard["rules"], np.uint32), np.frombuffer(shard["expansions"], np.uint32).astype(np.int64)
-    symbols = unpack_bits(shard["symbols"], shard["width"], len(shard["symbols"]) * 8 // shard["width"]).astype(np.int64)
-    ends = np.cumsum(np.where(symbols < ALPHABET, 1, np.append(lengths, 0)[np.maximum(symbols - ALPHABET, 0)]))
+    symbols, rules, expansions, alphabet = grammar(shard)
+    ends = np.cumsum(_lengths(symbols.astype(np.int64), expansions, alphabet))
     a, b = np.searchsorted(ends, first, "right"), np.searchsorted(ends, first + sizes[index])
     skipped = first - (int(ends[a - 1]) if a else 0)
-    return expand(symbols[a : b + 1], rules)[skipped : skipped + sizes[index]]
+    return expand(symbols[a : b + 1], rules, expansions, alphabet)[skipped : skipped + sizes[index]]
 
 
 def write_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode all documents and write the shard table; returns it, read back.
 
-    docs needs ``doc_id`` and ``text``.  Documents are dealt by ranges of doc_id (null ids first) and sorted within a
-    task.  A null or empty text is the end id alone; repeated doc_ids stand one after the other.
+    docs needs ``doc_id`` and ``text``; other columns are ignored.  Documents are dealt by ranges of doc_id (null ids
+    first) and sorted within a task.  A null or empty text is the end id alone; rows that share a doc_id, or have none,
+    stand one after the other and may be dealt to several tasks.  Ids and rules together must fit 32 bits, or a ValueError is
+    raised.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,13 +203,14 @@ def write_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS) -> Data
         def close() -> pa.RecordBatch:
             nonlocal shard, first
             ids = np.frombuffer(b"".join(held), np.uint32)
-            rules, expansions, sequence = compress(ids)
-            width = max(1, int(sequence.max()).bit_length())
-            row = {"part": part, "shard": shard, "first_start": first, "n_ids": len(ids), "rules": rules.tobytes(), "expansions": expansions.tobytes(), "width": width, "symbols": pack_bits(sequence, width)}
+            rules, expansions, sequence, alphabet = compress(ids)
+            width, reach = (alphabet + len(rules)).bit_length(), max(1, int(expansions.max(initial=0)).bit_length())
+            row = {"part": part, "shard": shard, "first_start": first, "n_ids": len(ids), "alphabet": alphabet, "n_rules": len(rules), "rules": pack_bits(rules.reshape(-1), width), "reach": reach, "expansions": pack_bits(expansions, reach)}
+            row |= {"width": width, "n_symbols": len(sequence), "symbols": pack_bits(sequence, width)}
             row |= {"doc_ids": np.array([0 if d is None else d for d in doc_ids], np.int64).tobytes(), "doc_ids_null": bytes(d is None for d in doc_ids), "doc_sizes": np.array(sizes, np.uint32).tobytes()}
             shard, first = shard + 1, first + len(ids)
             held.clear(), doc_ids.clear(), sizes.clear()
-            kinds = {"part": pa.int32(), "shard": pa.int32(), "first_start": pa.int64(), "n_ids": pa.int64(), "width": pa.int32()}
+            kinds = {c: pa.int32() for c in ("part", "shard", "width", "reach")} | {c: pa.int64() for c in ("first_start", "n_ids", "alphabet", "n_rules", "n_symbols")}
             return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()], list(row))
 
         total = 0
@@ -193,7 +230,9 @@ def write_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS) -> Data
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = unique_docs(docs, "doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # A hot doc_id, null included, is split by its texts, and equal rows by where they were read.
+    keyed = unique_docs(docs, "doc_id", "text").withColumns({"hash": F.xxhash64("text"), "read": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(parts, "doc_id", "hash", "read").sortWithinPartitions("doc_id", "hash", "read").select("doc_id", "text")
     return materialize(map_arrow(ordered, run, FILE), "token-shards")
 
 
@@ -210,9 +249,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                sizes, rules = np.frombuffer(row["doc_sizes"], np.uint32).astype(np.int64), np.frombuffer(row["rules"], np.uint32)
-                symbols = unpack_bits(row["symbols"], row["width"], len(row["symbols"]) * 8 // row["width"])
-                ids = memoryview(expand(symbols, rules)[: row["n_ids"]].tobytes())
+                sizes = np.frombuffer(row["doc_sizes"], np.uint32).astype(np.int64)
+                ids = memoryview(expand(*grammar(row)).tobytes())
                 ends = np.cumsum(sizes)
                 crcs = [zlib.crc32(ids[4 * (b - n) : 4 * b]) for n, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
                 doc_ids = pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["doc_ids_null"], np.uint8) > 0)

@@ -139,14 +139,36 @@ def test_shards_give_back_all_ids_in_order(spark):
     assert repair_shards.encode_and_read_back(docs(spark, []), TOKENIZER).count() == 0
 
 
+def test_shards_of_null_and_repeated_ids(spark):
+    rows = [(None, "no id"), (None, "no id"), (None, None), (4, "four " * 9), (4, "four " * 9), (4, "other"), (2, "")] + [(7, f"hot {k % 5}") for k in range(200)]
+    got = repair_shards.encode_and_read_back(spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit(1)), TOKENIZER).orderBy("start").collect()
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in got] == [None] * 3 + [2] + [4] * 3 + [7] * 200
+    assert sorted((r["doc_id"] or -1, r["ids_crc32"]) for r in got) == sorted((d or -1, crc(reference_ids(t))) for d, t in rows)
+
+
 def test_repair_round_trip_and_bits():
     rng = np.random.default_rng(1)
-    for ids in (np.zeros(0, np.uint32), np.array([7], np.uint32), np.full(1001, 5, np.uint32), rng.integers(0, 4, 5000).astype(np.uint32)):
-        rules, expansions, symbols = repair_shards.compress(ids)
-        assert repair_shards.expand(symbols, rules).tolist() == ids.tolist()
-        assert sum(1 if s < repair_shards.ALPHABET else int(expansions[s - repair_shards.ALPHABET]) for s in symbols.tolist()) == len(ids)
+    words = [rng.integers(0, 50000, rng.integers(2, 9)) for _ in range(300)]
+    repeated = np.concatenate([words[k] for k in rng.integers(0, 300, 8000)]).astype(np.uint32)
+    for ids in (np.zeros(0, np.uint32), np.array([7], np.uint32), np.full(1001, 5, np.uint32), rng.integers(0, 4, 5000).astype(np.uint32), repeated, np.tile(repeated[:500], 40), np.array([2**32 - 99, 2**31, 70000] * 9, np.uint32)):
+        for least in (2, 5):
+            rules, expansions, symbols, alphabet = repair_shards.compress(ids, least)
+            assert repair_shards.expand(symbols, rules, expansions, alphabet).tolist() == ids.tolist()
+            flat, seen, last = symbols.tolist(), Counter(), {}
+            for k, pair in enumerate(zip(flat, flat[1:], strict=False)):  # occurrences that don't overlap
+                if last.get(pair, -2) < k - 1:
+                    seen[pair], last[pair] = seen[pair] + 1, k
+            assert max(seen.values(), default=0) < least
+            assert all(max(r) < alphabet + k for k, r in enumerate(rules.tolist()))
+    assert len(repair_shards.compress(np.tile(repeated[:500], 40))[2]) < 30
+    with pytest.raises(ValueError):
+        repair_shards.compress(np.array([2**32 - 1], np.uint32))
     for n in (0, 1, 7, 8, 9, 100):
-        for width in (1, 3, 16, 17, 24):
+        for width in (1, 3, 16, 17, 24, 31, 32):
             v = rng.integers(0, 1 << width, n).astype(np.uint32)
             assert repair_shards.unpack_bits(repair_shards.pack_bits(v, width), width, n).tolist() == v.tolist()
 
