@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -19,23 +20,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (local tests) a folder below the warehouse is used instead.
+    Where the session names none, a local master (one machine, as in tests) uses a folder below the warehouse; any other
+    master is refused, as a default folder there would be each machine's own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
+
+
 def materialize(df: DataFrame, label: str, partition_by: Iterable[str] = ()) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    The table survives lost executors, unlike a local checkpoint.  It is removed when the driver's JVM ends.
+    The table survives lost executors, unlike a local checkpoint.  It is removed by ``discard``, or when the driver's
+    JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    files, jvm_path = _file_system(spark, path)
+    files.deleteOnExit(jvm_path)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing unread depends on any more."""
+    for df in tables:
+        files, jvm_path = _file_system(df.sparkSession, df._written_to)
+        files.delete(jvm_path, True)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         small = large.join(lowest, "v").selectExpr("u as v", "m as u").union(lowest.selectExpr("v", "m as u")).where("v <> u")
         new = materialize(small.distinct(), "cc")
         mark = new.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).head()
+        discard(edges)
         edges, same, last = new, mark == last, mark
         if same:
             break

@@ -1,7 +1,9 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies of all shingles, hashed to ``FEATURES`` counters, over all documents (a fixed-size table).
-2. Each text: TF-IDF weights of its five-word shingles, and from them ``BANDS`` x ``ROWS`` consistent weighted samples.
+1. Document frequencies of all shingles over all documents, as shares of the documents, by a count-min sketch of fixed
+   size.  A shingle's weight is tf * (1 + ln(1 / share) / ln(1 / RARE)), the share being at least RARE: the weight
+   depends on shares only, so a text means the same in a small and in a large corpus.
+2. Each text: the weights of its five-word shingles, and from them ``BANDS`` x ``ROWS`` consistent weighted samples.
    Two texts share a sample with the probability of their weighted Jaccard similarity.
 3. Equal texts are one class from the start.  The samples are banded; texts that share a band are candidates.
 4. Within a bucket, candidates aren't paired with each other but with leaders.  The first leader is the member whose
@@ -15,7 +17,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,25 +24,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, materialize, slices_by_bytes
+from tessera.llm.common import discard, map_arrow, materialize, slices_by_bytes
 from tessera.llm.components import connected_components
 from tessera.llm.pretokens import string_buffers
 from tessera.llm.shingles import mix, shingle_counts
 
 THRESHOLD = 0.8
-#: With these a pair at the threshold shares a band with probability 0.9998.
-BANDS, ROWS = 12, 3
+#: With these a pair at the threshold shares a band with probability 0.9996, one at 0.4 with 0.19, one at 0.2 with 0.006.
+BANDS, ROWS = 20, 5
 SAMPLES = BANDS * ROWS
-#: A pair at the threshold agrees in fewer of its samples with probability below 1e-6.
-LEAST_AGREEMENT = 17
+#: A pair at the threshold agrees in fewer of its samples with probability 1.5e-7 (binomial).
+LEAST_AGREEMENT = 58
 #: Leaders of a bucket: the most popular member, then this many less one by independent orders.
 LEADERS = 5
 #: Members that leaders left apart are paired directly in buckets up to this size, and by their prefixes in larger ones.
 SMALL_BUCKET = 32
 #: For rounding, in bounds.
 SLACK = 1e-6
-FEATURE_BITS = 18
-FEATURES, BLOCKS = 1 << FEATURE_BITS, 64
+#: Shingles that fewer than this share of the documents have weigh alike.
+RARE = 1 / 256
+#: The sketch: independent rows of cells, sent about in blocks.
+SKETCH_ROWS, CELL_BITS, BLOCKS = 2, 18, 64
+CELLS = 1 << CELL_BITS
 CHUNK_BYTES = 1 << 20
 
 
@@ -66,17 +70,17 @@ def _draws(hashes: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def weighted_samples(owners: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """SAMPLES values of each of n texts: hashes of the pair of shingle and step with the least ln a.
+    """SAMPLES values of each of n texts: 16 bits of a hash of the pair of shingle and step with the least ln a.
 
     ln a = ln c - r * (floor(ln w / r + beta) - beta + 1), drawn by the whole hash of the shingle and the sample's number.
     """
     salts = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     least, found = np.full((n, SAMPLES), np.inf, np.float32), np.zeros((n, SAMPLES), np.uint64)
     log_w = np.log(weights).astype(np.float32)
-    for a in range(0, len(owners), 1 << 11):
-        r, log_c, beta = _draws(hashes[a : a + (1 << 11)], salts)
-        value = log_c - r * (np.floor(log_w[a : a + (1 << 11), None] / r + beta) - beta + np.float32(1))
-        who = owners[a : a + (1 << 11)]
+    for a in range(0, len(owners), 1 << 10):
+        r, log_c, beta = _draws(hashes[a : a + (1 << 10)], salts)
+        value = log_c - r * (np.floor(log_w[a : a + (1 << 10), None] / r + beta) - beta + np.float32(1))
+        who = owners[a : a + (1 << 10)]
         at = np.flatnonzero(np.diff(who, prepend=-1))
         lows, held = np.minimum.reduceat(value, at, axis=0), least[who[at]]
         lows[lows >= held] = -np.inf  # no row has that value
@@ -85,7 +89,7 @@ def weighted_samples(owners: np.ndarray, hashes: np.ndarray, weights: np.ndarray
         r, beta = r[row, k], beta[row, k]
         step = np.floor(log_w[a + row] / r + beta).astype(np.int64).view(np.uint64)
         found[who[row], k] = mix(hashes[a + row] ^ mix(step + np.uint64(1)))
-    return (found >> np.uint64(32)).astype(np.uint32)
+    return (found >> np.uint64(48)).astype(np.uint16)
 
 
 def text_runs(column: pa.Array) -> Iterator[tuple[int, int, list[str], memoryview, np.ndarray]]:
@@ -95,66 +99,78 @@ def text_runs(column: pa.Array) -> Iterator[tuple[int, int, list[str], memoryvie
         yield first, last, [str(view[offsets[i] : offsets[i + 1]], "utf-8") for i in range(first, last)], view, offsets
 
 
-def feature_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+class Weights:
+    """Weight of a shingle by the share of documents that have it, from the sketch of document frequencies.
 
+    cells: SKETCH_ROWS x CELLS sums of the document frequencies of the shingles of a cell; n: documents with a word.
+    From each sum the mean load of its row is taken, and the least of the rows counts.  With m distinct shingles a
+    document at the mean, a share is off by more than m / CELLS only where a shingle meets a frequent one in every row:
+    with f shingles of a share above m / CELLS, for (f / CELLS) ** SKETCH_ROWS of all shingles.
+    """
 
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """1 + ln(N / df) / ln(N) of each feature, over all texts: 2 for the rarest, 1 for one that all texts have.
+    def __init__(self, cells: np.ndarray, n: int):
+        share = (cells - cells.sum(1, keepdims=True) / CELLS) / max(n, 1)
+        self.table = (1 + np.log(np.clip(share, RARE, 1)) / np.log(RARE)).astype(np.float32)
 
-    FEATURES numbers, whatever the corpus.  The range is kept narrow so that what many documents share counts less, but
-    an altered copy of a document that holds such a passage still reaches the threshold.
-    """
-    width = FEATURES // BLOCKS
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return np.max([row[c] for row, c in zip(self.table, cells_of(hashes), strict=True)], axis=0)
+
+
+def cells_of(hashes: np.ndarray) -> list[np.ndarray]:
+    """A shingle's cell in each row of the sketch: separate bits of its hash."""
+    return [(hashes >> np.uint64(64 - (k + 1) * CELL_BITS) & np.uint64(CELLS - 1)).astype(np.int64) for k in range(SKETCH_ROWS)]
+
+
+def document_frequencies(texts: DataFrame) -> Weights:
+    """The sketch over all texts, by two levels of sums; it has SKETCH_ROWS x CELLS numbers, whatever the corpus."""
+    width, shape = SKETCH_ROWS * CELLS // BLOCKS, "block int, part int, n long, counts binary"
+
+    def record(sums: dict[tuple[int, int], tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([c.tobytes() for _, c in sums.values()], pa.binary())], ["block", "part", "n", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(FEATURES, np.int64), 0
+        from pyspark import TaskContext
+
+        total, n = np.zeros((SKETCH_ROWS, CELLS), np.int64), 0
         for batch in batches:
-            n += len(batch)
             for _, _, run, _, _ in text_runs(batch.column(0)):
-                total += np.bincount(feature_of(shingle_counts(run)[1]), minlength=FEATURES)
-        blocks = [total[k * width : (k + 1) * width].astype(np.uint32).tobytes() for k in range(BLOCKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([n] * BLOCKS, pa.int64()), pa.array(blocks, pa.binary())], ["block", "n", "counts"])
+                owners, hashes, _ = shingle_counts(run)
+                n += len(np.unique(owners))
+                for row, cells in zip(total, cells_of(hashes), strict=True):
+                    row += np.bincount(cells, minlength=CELLS)
+        if n:
+            yield record({(k, TaskContext.get().partitionId() % 32): (n, part) for k, part in enumerate(total.reshape(BLOCKS, width).astype(np.uint32))})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
+        sums: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        kind = np.uint32
         for batch in batches:
-            for k, n, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                held = sums.setdefault(k, [0, np.zeros(width, np.int64)])
-                held[0] += n
-                held[1] += np.frombuffer(counts, np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1].tobytes() for s in sums.values()], pa.binary())], ["block", "n", "counts"])
-
-    shape = "block int, n long, counts binary"
-    rows = map_arrow(map_arrow(texts, count, shape).repartition(BLOCKS // 4, "block"), add, shape).collect()
-    out = np.zeros(FEATURES)
+            for block, _, n, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                kind = np.uint32 if len(counts) == 4 * width else np.int64
+                held = sums.get((block, 0), (0, 0))
+                sums[block, 0] = held[0] + n, held[1] + np.frombuffer(counts, kind).astype(np.int64)
+        yield record(sums)
+
+    halfway = map_arrow(map_arrow(texts, count, shape).repartition(BLOCKS // 2, "block", "part"), add, shape)
+    rows = map_arrow(halfway.repartition(BLOCKS // 4, "block"), add, shape).collect()  # BLOCKS rows
+    cells = np.zeros((BLOCKS, width), np.int64)
     for r in rows:
-        out[r["block"] * width : (r["block"] + 1) * width] = 1 + np.maximum(0, np.log(max(2, r["n"]) / np.maximum(np.frombuffer(r["counts"], np.int64), 1)) / np.log(max(2, r["n"])))
-    return out.astype(np.float32)
+        cells[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    return Weights(cells.reshape(SKETCH_ROWS, CELLS), rows[0]["n"] if rows else 0)
 
 
-def signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, a digest of the text (null for no text), its samples and band keys (null where it has no word)."""
+def signatures(rows: DataFrame, weights) -> DataFrame:
+    """doc_id, digest and samples (null where the text has no word) of each row (doc_id, digest, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh = idf.value
-        salt = np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(56)
         for batch in batches:
-            for first, last, texts, view, offsets in text_runs(batch.column(1)):
+            for first, last, texts, _, _ in text_runs(batch.column(2)):
                 owners, hashes, times = shingle_counts(texts)
-                samples = weighted_samples(owners, hashes, times * weigh[feature_of(hashes)], len(texts))
+                samples = weighted_samples(owners, hashes, times * weights.value.of(hashes), len(texts))
                 has = np.bincount(owners, minlength=len(texts)) > 0
-                parts = samples.reshape(len(texts), BANDS, ROWS).astype(np.uint64)
-                keys = np.zeros((len(texts), BANDS), np.uint64) + salt
-                for k in range(ROWS):
-                    keys = mix(keys ^ parts[:, :, k] * np.uint64(0x9E3779B97F4A7C15))
-                digests = [hashlib.blake2b(view[offsets[i] : offsets[i + 1]], digest_size=16).digest() if offsets[i + 1] > offsets[i] else None for i in range(first, last)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(digests, pa.binary()), pa.array([s.tobytes() if ok else None for s, ok in zip(samples, has, strict=True)], pa.binary()), pa.array([k if ok else None for k, ok in zip(keys.view(np.int64), has, strict=True)], pa.list_(pa.int64()))],
-                    ["doc_id", "digest", "samples", "bands"],
-                )
+                yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).slice(first, last - first).columns, pa.array([s.tobytes() if ok else None for s, ok in zip(samples, has, strict=True)], pa.binary())], ["doc_id", "digest", "samples"])
 
-    return map_arrow(docs, run, "doc_id long, digest binary, samples binary, bands array<long>")
+    return map_arrow(rows.select("doc_id", "digest", "text"), run, "doc_id long, digest binary, samples binary")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -167,21 +183,20 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return shared / whole if whole else 0.0
 
 
-def _agreeing(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) whose samples agree often enough for the threshold."""
+def _agreeing(pairs: DataFrame, samples: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) whose samples agree often enough for the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, SAMPLES) for k in (2, 3))
-            near = (left == right).sum(1) >= LEAST_AGREEMENT
-            yield batch.select([0, 1]).filter(pa.array(near))
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SAMPLES) for k in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((left == right).sum(1) >= LEAST_AGREEMENT, pa.bool_()))
 
-    return map_arrow(pairs.select(F.least("rep", "leader.rep"), F.greatest("rep", "leader.rep"), "samples", "leader.samples").toDF("a", "b", "samples_a", "samples_b"), run, "a long, b long").distinct()
+    sides = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sides = sides.join(samples.toDF("a", "samples_a"), "a").join(samples.toDF("b", "samples_b"), "b")
+    return map_arrow(sides.select("a", "b", "samples_a", "samples_b"), run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, idf) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     """Pairs (a, b) whose whole texts reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,39 +207,40 @@ def _verified(pairs: DataFrame, idf) -> DataFrame:
                 if len(known) >= 256:
                     known.clear()
                 _, hashes, times = shingle_counts([text])
-                known[doc] = hashes, times * idf.value[feature_of(hashes)].astype(np.float64)
+                known[doc] = hashes, times * weights.value.of(hashes).astype(np.float64)
             return known[doc]
 
         for batch in batches:
             rows = [(a, b) for a, b, s, t in zip(*[c.to_pylist() for c in batch.columns], strict=True) if weighted_jaccard(vector(a, s), vector(b, t)) >= THRESHOLD]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return map_arrow(pairs.select("a", "b", "text_a", "text_b"), run, "a long, b long")
+    sides = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    return map_arrow(sides.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:
-    """Representatives that share a bucket: rep, samples, their shared buckets, and how popular those are in all."""
-    exploded = reps.select("rep", F.explode("bands").alias("bucket"))
+    """Representatives that share a bucket: rep, their shared buckets, and how popular those are in all."""
+    bucket = lambda k: F.xxhash64(F.substring("samples", k * ROWS * 2 + 1, ROWS * 2), F.lit(k))
+    exploded = reps.select("rep", F.explode(F.array(*[bucket(k) for k in range(BANDS)])).alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    of_rep = exploded.join(shared, "bucket").groupBy("rep").agg(F.sum("n").alias("popular"), F.collect_list("bucket").alias("buckets"))  # at most BANDS buckets
-    return of_rep.join(reps.select("rep", "samples"), "rep")
+    return exploded.join(shared, "bucket").groupBy("rep").agg(F.sum("n").alias("popular"), F.collect_list("bucket").alias("buckets"))  # at most BANDS buckets
 
 
 def candidates(members: DataFrame, orders: list) -> DataFrame:
-    """Pairs of a member and its bucket's leaders, one leader for each order; only of different labels."""
-    rows = members.select(F.explode("buckets").alias("bucket"), "rep", "samples", "label", "popular")
-    rows = rows.select("bucket", "rep", "samples", "label", *[F.struct(o.alias("o"), "rep").alias(f"o{k}") for k, o in enumerate(orders)])
-    who = F.struct("rep", "samples", "label")
-    leaders = rows.groupBy("bucket").agg(*[F.min_by(who, f"o{k}").alias(f"l{k}") for k in range(len(orders))])
-    leaders = leaders.select("bucket", F.explode(F.array(*[F.col(f"l{k}") for k in range(len(orders))])).alias("leader"))
-    return rows.select("bucket", "rep", "samples", "label").join(leaders, "bucket").where("rep <> leader.rep and label <> leader.label")
+    """Pairs (a, b) of a member and its bucket's leaders, one leader for each order; only of different labels."""
+    rows = members.select(F.explode("buckets").alias("bucket"), "rep", "label", "popular")
+    rows = rows.select("bucket", "rep", "label", *[o.alias(f"o{k}") for k, o in enumerate(orders)])
+    leaders = rows.groupBy("bucket").agg(*[F.min(F.struct(f"o{k}", "rep", "label")).alias(f"l{k}") for k in range(len(orders))])
+    leaders = leaders.select("bucket", F.explode(F.array_distinct(F.array(*[F.struct(f"l{k}.rep", f"l{k}.label") for k in range(len(orders))]))).alias("leader"))
+    met = rows.select("bucket", "rep", "label").join(leaders, "bucket").where("rep <> leader.rep and label <> leader.label")
+    return met.select(F.col("rep").alias("a"), F.col("leader.rep").alias("b"))
 
 
-def _prefixes(texts: DataFrame, idf, rarity) -> DataFrame:
+def _prefixes(texts: DataFrame, weights, rarity) -> DataFrame:
     """The prefix of each text (rep, label, text): its rarest shingles, up to where less than the threshold's share is left.
 
     rest is the weight from that shingle on, total that of the text.  The first shingle two texts share, in this order,
-    is in both prefixes if they reach the threshold.  Shingles that no other text can have are left out.
+    is in both prefixes if they reach the threshold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,85 +248,114 @@ def _prefixes(texts: DataFrame, idf, rarity) -> DataFrame:
             reps, labels = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for first, _, run, _, _ in text_runs(batch.column(2)):
                 owners, hashes, times = shingle_counts(run)
-                rare = rarity.value[feature_of(hashes)]
-                order = np.lexsort((hashes, -rare, owners))
-                owners, hashes, rare = owners[order], hashes[order], rare[order]
-                weights = times[order] * idf.value[feature_of(hashes)].astype(np.float64)
-                total = np.bincount(owners, weights, minlength=len(run))
-                before = np.cumsum(weights) - weights
+                order = np.lexsort((hashes, -rarity.value.of(hashes), owners))
+                owners, hashes = owners[order], hashes[order]
+                weighed = times[order] * weights.value.of(hashes).astype(np.float64)
+                total = np.bincount(owners, weighed, minlength=len(run))
+                before = np.cumsum(weighed) - weighed
                 begins = np.flatnonzero(np.diff(owners, prepend=-1))
                 rest = total[owners] - (before - np.repeat(before[begins], np.diff(begins, append=len(owners))))
-                at = np.flatnonzero((rest >= (THRESHOLD - SLACK) * total[owners]) & (rare < 2 - SLACK))
+                at = np.flatnonzero(rest >= (THRESHOLD - SLACK) * total[owners])
                 who = owners[at] + first
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(reps[who]), pa.array(labels[who]), pa.array(rest[at]), pa.array(total[owners[at]])], ["hash", "rep", "label", "rest", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(reps[who]), pa.array(labels[who]), pa.array(rest[at].astype(np.float32)), pa.array(total[owners[at]].astype(np.float32))], ["hash", "rep", "label", "rest", "total"])
 
-    return map_arrow(texts.select("rep", "label", "text"), run, "hash long, rep long, label long, rest double, total double")
+    return map_arrow(texts.select("rep", "label", "text"), run, "hash long, rep long, label long, rest float, total float")
 
 
-def left_apart(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
+def left_apart(members: DataFrame, texts: DataFrame, weights) -> DataFrame:
     """Distinct pairs (a, b) of different labels that share a bucket and can reach the threshold; none is left out.
 
     A pair's overlap is at most what either has from their first common shingle on, which rules out those that mostly
     share a passage of a crowd.
     """
-    spark = members.sparkSession
     rows = members.select(F.explode("buckets").alias("bucket"), "rep", "label")
     mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low < high").select("bucket", "n")
     rows = materialize(rows.join(mixed, "bucket"), "apart")
     small = rows.where(F.col("n") <= SMALL_BUCKET)
     pairs = small.alias("l").join(small.alias("r"), F.expr("l.bucket = r.bucket and l.rep < r.rep and l.label <> r.label")).selectExpr("l.rep as a", "r.rep as b")
-    crowd = materialize(rows.where(F.col("n") > SMALL_BUCKET).select("rep", "label").distinct().join(texts.withColumnRenamed("doc_id", "rep"), "rep"), "crowd")
-    rarity = spark.sparkContext.broadcast(inverse_frequencies(crowd.select("text")))
-    prefixes = materialize(_prefixes(crowd, idf, rarity), "prefixes")
-    reach = f"least(l.rest, r.rest) * {1 + THRESHOLD} >= {THRESHOLD - SLACK} * (l.total + r.total)"
+    crowd = materialize(rows.where(F.col("n") > SMALL_BUCKET).select("rep", "label").distinct().join(texts.toDF("rep", "text"), "rep"), "crowd")
+    rarity = members.sparkSession.sparkContext.broadcast(document_frequencies(crowd.select("text")))
+    prefixes = materialize(_prefixes(crowd, weights, rarity), "prefixes")
+    reach = f"least(l.rest, r.rest) * {1 + THRESHOLD} >= {THRESHOLD - 2 * SLACK} * (l.total + r.total)"
     met = prefixes.alias("l").join(prefixes.alias("r"), F.expr(f"l.hash = r.hash and l.rep < r.rep and l.label <> r.label and {reach}")).selectExpr("l.rep as a", "r.rep as b")
-    return pairs.union(met).distinct()
-
+    out = materialize(pairs.union(met).distinct(), "left")
+    discard(rows, crowd, prefixes)
+    return out
 
-def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """Class of every document.
 
-    docs needs ``doc_id`` and ``text``; other columns are ignored.  Returns one row per input row: doc_id, class_id (the
-    smallest doc_id of its class) and kept (whether it is that document; of repeated rows of it, all are).  Equal texts
-    are one class.  Null and empty texts, and rows without a doc_id, stand alone (class_id = doc_id).  A text without any
-    word is only like equal texts; one of fewer than five words is one shingle.  Rows that share a doc_id have the class
-    of their own text; where several such texts are the first of their class, they are compared by the greatest of
-    them.  No rows give no rows.
-    """
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest) of every row, and the class_id of the digests of texts that have a doc_id."""
     spark = docs.sparkSession
-    given = docs.select("doc_id", "text")
-    idf = spark.sparkContext.broadcast(inverse_frequencies(given.select("text")))
-    rows = materialize(signatures(given, idf), "signatures")
-    first = rows.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("samples").alias("samples"), F.first("bands").alias("bands"))
+    given = docs.select("doc_id", F.when(F.length("text") > 0, F.unhex(F.md5("text"))).alias("digest"), "text")
+    weights = spark.sparkContext.broadcast(document_frequencies(given.select("text")))
+    rows = materialize(signatures(given, weights), "signatures")
+    first = rows.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("samples").alias("samples"))
     first = materialize(first, "representatives")
-    members = materialize(bucket_members(first.where("bands is not null")), "members")
-    texts = materialize(given.where("doc_id is not null").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+    samples = first.where("samples is not null").groupBy("rep").agg(F.max_by("samples", "digest").alias("samples"))
+    members = materialize(bucket_members(samples), "members")
+    samples = materialize(samples.join(members.select("rep"), "rep", "left_semi"), "samples")
+    texts = materialize(given.where("doc_id is not null").join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", "digest").alias("text")), "texts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        sides = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
-        return materialize(_verified(sides, idf), "links")
+    def links(pairs: DataFrame) -> DataFrame:
+        close = materialize(_agreeing(pairs, samples), "pairs")
+        found = materialize(_verified(close, texts, weights), "links")
+        discard(close)
+        return found
 
     # First the leader that the others have most in common with, then several others for what it didn't take in, then
     # all that both left apart.
-    tried = materialize(_agreeing(candidates(members.withColumn("label", F.col("rep")), [-F.col("popular")])), "pairs")
-    links = verified(tried)
-    labels = links.selectExpr("a as rep", "a as l").union(links.selectExpr("b as rep", "a as l")).groupBy("rep").agg(F.min("l").alias("l"))
-    labelled = members.join(labels, "rep", "left").withColumn("label", F.coalesce("l", "rep"))
-    more = materialize(_agreeing(candidates(labelled, [F.xxhash64("bucket", "rep", F.lit(k)) for k in range(1, LEADERS)])).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(verified(more))
-    found = materialize(connected_components(links).withColumnsRenamed({"id": "rep", "component": "l"}), "found")
-    labelled = members.join(found, "rep", "left").withColumn("label", F.coalesce("l", "rep")).drop("l")
-    apart = left_apart(labelled, texts, idf).join(tried.union(more), ["a", "b"], "left_anti")
-    side = members.select("rep", "samples")
-    apart = apart.join(side.withColumnRenamed("rep", "a"), "a").join(side.select(F.col("rep").alias("b"), F.struct("rep", "samples").alias("leader")), "b").withColumnRenamed("a", "rep")
-    classes = connected_components(links.union(verified(materialize(_agreeing(apart), "pairs"))))
-    owned = first.select("digest", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
-    out = rows.select("doc_id", "digest").join(owned, "digest", "left")
-    out = out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    found = links(candidates(members.withColumn("label", F.col("rep")), [-F.col("popular")]))
+    for orders in ([F.xxhash64("bucket", "rep", F.lit(k)) for k in range(1, LEADERS)], None):
+        grouped = materialize(connected_components(found).toDF("rep", "label"), "found")
+        labelled = members.join(grouped, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        pairs = candidates(labelled, orders) if orders else left_apart(labelled, texts, weights)
+        more = links(pairs)
+        if not orders:
+            discard(pairs)
+        discard(grouped)
+        both = materialize(found.union(more), "links")
+        discard(found, more)
+        found = both
+    classes = connected_components(found).toDF("rep", "component")
+    owned = materialize(first.select("digest", "rep").join(classes, "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id")), "classes")
+    discard(first, members, samples, texts, found)
+    return rows.select("doc_id", "digest"), owned
+
+
+def near_duplicate_classes(docs: DataFrame) -> DataFrame:
+    """Class of every document.
+
+    docs needs ``doc_id`` and ``text``; other columns are ignored.  Returns one row per input row: doc_id, class_id (the
+    smallest doc_id of its class) and kept (whether it is that document; of repeated rows of it, all are).  Equal texts
+    are one class.  Null and empty texts stand alone (class_id = doc_id).  A row without a doc_id has the class of its
+    text where a row with a doc_id has that text, and else a null class_id; it is kept in the latter case only.  A text
+    without any word is only like equal texts; one of fewer than five words is one shingle.  Rows that share a doc_id
+    have the class of their own text; where several such texts are the first of their class, they are compared by the
+    one with the greatest digest.  No rows give no rows.
+    """
+    rows, owned = _classes(docs)
+    out = rows.join(owned, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without those that have a near duplicate with a smaller doc_id in their class; all columns stay."""
-    dropped = near_duplicate_classes(docs).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """One row of each class of near duplicates, that with the smallest doc_id; all columns stay, whatever their names.
+
+    Of the rows of a class that share this doc_id, one of those with the greatest digest of the text stays.  Rows
+    without a doc_id go if a row with one has their text, and else one of each text stays.  Null and empty texts are no
+    duplicates of one another and all stay.
+    """
+    rows, owned = _classes(docs)
+    placed = rows.where("digest is not null").join(owned, "digest", "left")
+    stay = placed.where("doc_id is null and class_id is null").select("doc_id", "digest")
+    firsts = placed.where("doc_id = class_id").groupBy("doc_id", "class_id").agg(F.max("digest").alias("digest")).select("doc_id", "digest")
+    stay = materialize(firsts.union(stay).groupBy("doc_id", "digest").agg(F.lit(True).alias("stay")), "kept")
+    times = rows.where("digest is not null").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = materialize(times.join(stay, [times.doc_id.eqNullSafe(stay.doc_id), times.digest == stay.digest], "left_semi").select("doc_id", "digest"), "repeated")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.when(F.length("text") > 0, F.unhex(F.md5("text"))).alias("key"))
+    same = lambda t: keyed.id.eqNullSafe(t.doc_id) & (keyed.key == t.digest)
+    kept = keyed.join(stay, same(stay), "left_semi").unionAll(keyed.where("key is null"))
+    if not repeated.isEmpty():
+        once = kept.join(repeated, kept.id.eqNullSafe(repeated.doc_id) & (kept.key == repeated.digest), "left_semi").groupBy("id", "key").agg(F.any_value("row").alias("row")).select("row", "id", "key")
+        kept = kept.join(repeated, kept.id.eqNullSafe(repeated.doc_id) & (kept.key == repeated.digest), "left_anti").unionAll(once)
+    return kept.select("row.*")
