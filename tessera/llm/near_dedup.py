@@ -51,7 +51,15 @@ CHUNK_BYTES = 1 << 20
 
 def _uniforms(bits: np.ndarray, shift: int, width: int) -> np.ndarray:
     """The middles of 2**width steps of (0, 1), by the bits from shift on."""
-    return ((bits >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-width)
+    out = (bits >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.float32)
+    out += np.float32(0.5)
+    out *= np.float32(2.0**-width)
+    return out
+
+
+def _minus_log(x: np.ndarray) -> np.ndarray:
+    np.log(x, out=x)
+    return np.negative(x, out=x)
 
 
 def _draws(hashes: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,9 +72,11 @@ def _draws(hashes: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     two *= np.uint64(0xD6E8FEB86659FD93)
     two ^= two >> np.uint64(32)
     # A sum of two exponentials is Gamma(2, 1); 23 bits keep the middles of steps exact in 32-bit floats.
-    c = -np.log(_uniforms(one, 41, 23)) - np.log(_uniforms(one, 18, 23))
-    r = -np.log(_uniforms(two, 44, 20) * _uniforms(two, 24, 20))
-    return np.maximum(r, np.float32(1e-3)), np.log(c), _uniforms(two, 1, 23)
+    c, r = _uniforms(one, 41, 23), _uniforms(two, 44, 20)
+    c *= _uniforms(one, 18, 23)
+    r *= _uniforms(two, 24, 20)
+    c, r = _minus_log(c), _minus_log(r)
+    return np.maximum(r, np.float32(1e-3), out=r), np.log(c, out=c), _uniforms(two, 1, 23)
 
 
 def weighted_samples(owners: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -79,16 +89,22 @@ def weighted_samples(owners: np.ndarray, hashes: np.ndarray, weights: np.ndarray
     log_w = np.log(weights).astype(np.float32)
     for a in range(0, len(owners), 1 << 10):
         r, log_c, beta = _draws(hashes[a : a + (1 << 10)], salts)
-        value = log_c - r * (np.floor(log_w[a : a + (1 << 10), None] / r + beta) - beta + np.float32(1))
+        value = log_w[a : a + (1 << 10), None] / r
+        value += beta
+        np.floor(value, out=value)
+        value -= beta
+        value += np.float32(1)
+        value *= r
+        np.subtract(log_c, value, out=value)
         who = owners[a : a + (1 << 10)]
         at = np.flatnonzero(np.diff(who, prepend=-1))
-        lows, held = np.minimum.reduceat(value, at, axis=0), least[who[at]]
-        lows[lows >= held] = -np.inf  # no row has that value
-        row, k = np.nonzero(value == np.repeat(lows, np.diff(at, append=len(who)), axis=0))
-        least[who[row], k] = value[row, k]
-        r, beta = r[row, k], beta[row, k]
-        step = np.floor(log_w[a + row] / r + beta).astype(np.int64).view(np.uint64)
-        found[who[row], k] = mix(hashes[a + row] ^ mix(step + np.uint64(1)))
+        lows = np.minimum.reduceat(value, at, axis=0)
+        for low, first, last in zip(lows, at.tolist(), [*at[1:].tolist(), len(who)], strict=True):
+            k = np.flatnonzero(low < least[who[first]])
+            row = first + value[first:last, k].argmin(0)
+            least[who[first], k] = low[k]
+            step = np.floor(log_w[a + row] / r[row, k] + beta[row, k]).astype(np.int64).view(np.uint64)
+            found[who[first], k] = mix(hashes[a + row] ^ mix(step + np.uint64(1)))
     return (found >> np.uint64(48)).astype(np.uint16)
 
 
@@ -294,7 +310,8 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     samples = first.where("samples is not null").groupBy("rep").agg(F.max_by("samples", "digest").alias("samples"))
     members = materialize(bucket_members(samples), "members")
     samples = materialize(samples.join(members.select("rep"), "rep", "left_semi"), "samples")
-    texts = materialize(given.where("doc_id is not null").join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", "digest").alias("text")), "texts")
+    # The same join at every size, so that figures of a small corpus tell those of a large one.
+    texts = materialize(given.where("doc_id is not null").join(members.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", "digest").alias("text")), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
         close = materialize(_agreeing(pairs, samples), "pairs")
