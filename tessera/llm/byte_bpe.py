@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,40 +23,66 @@ from tessera.llm.pretokens import Memo, chunks
 
 
 class RankQueue:
-    """Ranks that have positions waiting: buckets, and a three-level bitmap over them."""
+    """Ranks that have positions waiting: buckets, and a three-level bitmap over them.
+
+    A bucket is filled unordered until it is opened, which sorts it; what comes later goes to a heap beside it.  So every
+    position is put in order once, however often a bucket is left for a lower rank.
+    """
 
     def __init__(self, n_ranks: int):
         self.low, self.mid, self.top = [0] * (n_ranks // 64 + 1), [0] * (n_ranks // 4096 + 1), 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, Bucket] = {}
 
     def put(self, rank: int, positions: list[int]) -> None:
         held = self.buckets.get(rank)
-        if held:
-            held.extend(positions)
-            return
-        self.buckets[rank] = positions
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def take(self) -> tuple[int, list[int]]:
-        """The lowest rank with its positions in ascending order; the bucket is empty afterwards."""
+        if held is None:
+            self.buckets[rank] = Bucket(positions)
+            self.low[rank >> 6] |= 1 << (rank & 63)
+            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
+            self.top |= 1 << (rank >> 12)
+        elif held.late is None:
+            held.waiting.extend(positions)
+        else:
+            for p in positions:
+                heapq.heappush(held.late, p)
+
+    def lowest(self) -> int:
+        """The lowest rank of all buckets, by find-first-set."""
         a = (self.top & -self.top).bit_length() - 1
         b = (a << 6) + (self.mid[a] & -self.mid[a]).bit_length() - 1
-        rank = (b << 6) + (self.low[b] & -self.low[b]).bit_length() - 1
-        self.low[b] &= self.low[b] - 1
-        if not self.low[b]:
-            self.mid[a] &= self.mid[a] - 1
-            if not self.mid[a]:
-                self.top &= self.top - 1
-        positions = self.buckets.pop(rank)
-        positions.sort()
-        return rank, positions
+        return (b << 6) + (self.low[b] & -self.low[b]).bit_length() - 1
+
+    def drop(self, rank: int) -> None:
+        """Removes an empty bucket."""
+        del self.buckets[rank]
+        self.low[rank >> 6] &= ~(1 << (rank & 63))
+        if not self.low[rank >> 6]:
+            self.mid[rank >> 12] &= ~(1 << (rank >> 6 & 63))
+            if not self.mid[rank >> 12]:
+                self.top &= ~(1 << (rank >> 12))
 
     def __bool__(self) -> bool:
         return bool(self.top)
 
 
+class Bucket:
+    """Positions of one rank, taken in ascending order."""
+
+    __slots__ = ("waiting", "late")
+
+    def __init__(self, positions: list[int]):
+        self.waiting, self.late = positions, None
+
+    def take(self) -> int:
+        """The least position, or -1 where none is left."""
+        if self.late is None:
+            self.waiting.sort(reverse=True)
+            self.late = []
+        if self.late and (not self.waiting or self.late[0] < self.waiting[-1]):
+            return heapq.heappop(self.late)
+        return self.waiting.pop() if self.waiting else -1
+
+
 class ByteBpe:
     """Encoder and decoder for a rank file (lines of base64 token and rank)."""
 
@@ -103,7 +130,7 @@ class ByteBpe:
         order = np.argsort(ranks, kind="stable")
         first, ranks = first[order], ranks[order]
         queue, cuts = RankQueue(self.n), np.flatnonzero(np.diff(ranks, prepend=-1))
-        for rank, a, b in zip(ranks[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(ranks)], strict=True):
+        for rank, a, b in zip(ranks[cuts].tolist(), cuts.tolist(), np.append(cuts, len(ranks))[1:].tolist(), strict=True):
             queue.put(rank, first[a:b].tolist())
         ids = self.byte_id[data].tolist()
         following = np.arange(1, n + 1)
@@ -112,15 +139,18 @@ class ByteBpe:
         leading[(ends - lengths)[lengths > 0]] = -1
         after, before, joined = following.tolist(), leading.tolist(), self.joined.get
         while queue:
-            rank, positions = queue.take()
-            for k, at in enumerate(positions):
+            rank, lower = queue.lowest(), False
+            take = queue.buckets[rank].take
+            while not lower:
+                if (at := take()) < 0:
+                    queue.drop(rank)
+                    break
                 left = ids[at]
                 right_at = after[at]
                 if left < 0 or right_at < 0 or joined(left << 32 | ids[right_at]) != rank:
                     continue  # stale
                 ids[at], ids[right_at] = rank, -1
                 after[at] = beyond = after[right_at]
-                lower = False
                 if beyond >= 0:
                     before[beyond] = at
                     if (found := joined(rank << 32 | ids[beyond])) is not None:
@@ -129,9 +159,6 @@ class ByteBpe:
                 if (prior := before[at]) >= 0 and (found := joined(ids[prior] << 32 | rank)) is not None:
                     queue.put(found, [prior])
                     lower |= found < rank
-                if lower and k + 1 < len(positions):
-                    queue.put(rank, positions[k + 1 :])
-                    break
         kept = np.array(ids)
         counts = np.add.reduceat(kept >= 0, (ends - lengths)[lengths > 0]) if n else np.array([], int)
         flat, at, sizes = kept[kept >= 0].tolist(), 0, iter(counts.tolist())
