@@ -53,14 +53,50 @@ def test_bpe_ids_and_decoding_equal_the_library(spark, library):
     assert byte_bpe.encode_documents(docs(spark, []), RANKS).count() == 0
 
 
-def test_rank_queue_takes_ranks_in_order():
+def test_rank_queue_takes_ranks_and_positions_in_order():
     queue, ranks = byte_bpe.RankQueue(50000), [49999, 3, 3, 64, 4096, 63, 12288]
     for k, r in enumerate(ranks):
         queue.put(r, [100 - k])
     taken = []
     while queue:
-        taken.append(queue.take())
-    assert taken == [(3, [98, 99]), (63, [95]), (64, [97]), (4096, [96]), (12288, [94]), (49999, [100])]
+        rank = queue.lowest()
+        while (at := queue.buckets[rank].take()) >= 0:
+            taken.append((rank, at))
+            if (rank, at) == (63, 95):
+                queue.put(63, [7, 200, 5])
+                queue.put(2, [1])
+                break
+        else:
+            queue.drop(rank)
+    assert taken == [(3, 98), (3, 99), (63, 95), (2, 1), (63, 5), (63, 7), (63, 200), (64, 97), (4096, 96), (12288, 94), (49999, 100)]
+
+
+def test_bpe_of_a_long_pre_token_takes_linear_time_with_any_ranks(tmp_path):
+    # A merge that makes a lower rank each time: "abc" before "ab".
+    tokens = [bytes([b]) for b in range(256)] + [b"abc", b"ab"]
+    path = tmp_path / "made_up.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for k, t in enumerate(tokens)))
+    codec, started = byte_bpe.ByteBpe(str(path)), time.time()
+    assert codec.encode_words([b"abc" * 300_000])[0] == [256] * 300_000
+    assert time.time() - started < 20
+    library = bpe_by_hand({t: k for k, t in enumerate(tokens)})
+    rng = random.Random(3)
+    for _ in range(200):
+        word = "".join(rng.choices("abc", k=rng.randrange(1, 30))).encode()
+        assert codec.encode_words([word])[0] == library(word)
+
+
+def bpe_by_hand(rank):
+    def encode(word):
+        parts = [bytes([b]) for b in word]
+        while True:
+            pairs = [(rank[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in rank]
+            if not pairs or word in rank:
+                return [rank[word]] if word in rank else [rank[p] for p in parts]
+            k = min(pairs)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    return encode
 
 
 def test_library_memo_equals_whole_text_encoding(spark):
@@ -327,11 +363,75 @@ def test_prediction_does_not_depend_on_the_neighbours():
 
 
 def test_licenses_are_found_whole_and_altered(spark):
-    mit = license_scan.TEMPLATES["mit-text"]
-    texts = ["intro\nReleased under the MIT License. more", mit, mit.replace("without limitation", "with no limit"), "the license of the work", None, "", "Licensed under CC BY-NC 4.0. twice Licensed under CC BY-NC 4.0.", "word " * 30000 + license_scan.TEMPLATES["gpl-3.0"], "Released under the GNU"]
-    got = {r["doc_id"]: r for r in license_scan.scan(docs(spark, texts, coverage=1)).collect()}
-    assert [got[i]["licenses"] for i in range(9)] == ["mit", "mit-text", "mit-text", "", "", "", "cc-by-nc-4.0", "gpl-3.0", ""]
+    mit = license_scan.TEMPLATES["mit-permission"]
+    texts = ["intro\nReleased under the MIT License. more", mit, mit.replace("without limitation", "with no limit"), "the license of the work", None, "", "Licensed under CC BY-NC 4.0. twice Licensed under CC BY-NC 4.0.", "word " * 30000 + license_scan.TEMPLATES["gpl-3.0"], "Released under the GNU", "Licence is granted, free of charge," + mit.split("free of charge,")[1]]
+    df = docs(spark, texts, coverage=1)
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    assert [got[i]["licenses"] for i in range(10)] == ["mit", "mit-permission", "mit-permission", "", "", "", "cc-by-nc-4.0", "gpl-3.0", "", "mit-permission"]
     assert got[0]["spans"] == "mit:1:6:1.000" and got[6]["n_matches"] == 2 and 0.9 < got[2]["coverage"] < 1 and got[3]["best_license"] is None
+    assert license_scan.scan(df.where("false")).count() == 0 and license_scan.scan(df.union(df)).where("licenses = 'mit'").count() == 2
+
+
+def test_full_license_texts_are_found_in_files_and_altered(spark):
+    rng, names = random.Random(2), sorted(license_scan.TEXTS)
+    assert {"apache-2.0-text", "gpl-2.0-text", "gpl-3.0-text", "lgpl-2.1-text", "mpl-2.0-text", "bsd-3-clause-text", "mit-text", "isc-text"} <= set(names)
+    texts = []
+    for name in names:
+        words = license_scan.TEXTS[name].split()
+        altered = [w for w in words if rng.random() > 0.03]
+        for _ in range(len(words) // 40):
+            altered[rng.randrange(len(altered))] = "changed"
+        texts += ["Copyright 2020 The Authors of This Program\n\n" + license_scan.TEXTS[name] + "\nprint(1)\n" * 50, "the first words of a file and more " * 40 + " ".join(altered), " ".join(words[: len(words) // 2])]
+    got = [r["spans"] or "" for r in license_scan.scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    for k, name in enumerate(names):
+        whole, altered, half = ({s.split(":")[0]: s.split(":")[1:] for s in got[3 * k + j].split(",") if s} for j in range(3))
+        assert float(whole[name][2]) > 0.99 and int(whole[name][0]) <= 12
+        assert 0.85 < float(altered[name][2]) < 1 and int(altered[name][0]) >= 300
+        assert name not in half
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row, old = [0], row
+        for j, y in enumerate(b):
+            row.append(old[j] + 1 if x == y else max(row[-1], old[j + 1]))
+    return row[-1]
+
+
+def test_license_scan_equals_brute_force_on_short_templates(spark):
+    rng = random.Random(5)
+    templates = {"a": "one two three four five six seven", "b": "red green blue red yellow", "c": "alpha beta gamma delta epsilon zeta eta theta iota kappa"}
+    vocabulary, texts = [w for t in templates.values() for w in t.split()] + ["x", "y", "z"] * 4, []
+    for _ in range(150):
+        words = rng.choices(vocabulary, k=rng.randrange(1, 25))
+        part = rng.choice(list(templates.values())).split()
+        for _ in range(rng.randrange(0, 4)):
+            part[rng.randrange(len(part))] = rng.choice(vocabulary)
+        words[rng.randrange(len(words)) : 0] = part
+        texts.append(" ".join(words))
+    got = [set(filter(None, r["licenses"].split(","))) for r in license_scan.scan(docs(spark, texts), templates).orderBy("doc_id").collect()]
+    missed = total = 0
+    for text, found in zip(texts, got, strict=True):
+        words, want = text.split(), set()
+        for name, template in templates.items():
+            other = template.split()
+            reach = int(license_scan.STRETCH * len(other)) + 1
+            if any(longest_common(words[i : i + reach], other) >= license_scan.COVERAGE * len(other) for i in range(len(words))):
+                want.add(name)
+        assert found <= want  # an alignment is a common subsequence
+        missed, total = missed + len(want - found), total + len(want)
+    assert total > 60 and missed <= 0.1 * total  # patience alignment may be shorter than the longest
+
+
+def test_alignments_are_common_subsequences_and_longest_where_words_are_unique():
+    rng = random.Random(8)
+    for k in range(300):
+        n, letters = rng.randrange(1, 14), 40 if k % 2 else 5
+        a, b = (rng.sample(range(letters), n) if k % 2 else [rng.randrange(letters) for _ in range(n)] for _ in range(2))
+        pairs = license_scan.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+        assert len(pairs) <= longest_common(a, b) and (k % 2 == 0 or len(pairs) == longest_common(a, b))
 
 
 def test_patience_alignment_is_increasing_and_finds_a_common_subsequence():
