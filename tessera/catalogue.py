@@ -241,7 +241,7 @@ def pyramid_time(spark, sf_dir):
 
 # --- intervals, coverage, planning ----------------------------------------------------------------------------------
 
-RANGES_SQL = "ranges as (select event_type as grp, event_id as id, event_id * 13 % 5000 as start, event_id * 13 % 5000 + event_id % 9 as \"end\" from events where event_id % 5 = 0)"
+RANGES_SQL = "ranges as (select event_type as grp, event_id as id, event_id * 13 % 5000 as start, event_id * 13 % 5000 + event_id % 9 as \"end\" from events)"
 MERGED_SQL = f"{RANGES_SQL}, m1 as (select grp, start, \"end\", max(\"end\") over (partition by grp order by start, \"end\" rows between unbounded preceding and 1 preceding) as reach from ranges), m2 as (select *, sum(case when reach is null or start > reach then 1 else 0 end) over (partition by grp order by start, \"end\" rows unbounded preceding) as island from m1), merged as (select grp, min(start) as start, max(\"end\") as \"end\" from m2 group by grp, island)"
 TOTAL = 6000
 GAPS_SQL = f"{MERGED_SQL}, g1 as (select grp, greatest(start, 0) as start, least(\"end\", {TOTAL}) as \"end\" from merged where greatest(start, 0) < least(\"end\", {TOTAL}) union all select distinct grp, {TOTAL} as start, {TOTAL} as \"end\" from merged), g2 as (select grp, coalesce(max(\"end\") over (partition by grp order by start, \"end\" rows between unbounded preceding and 1 preceding), 0) as gap, start from g1), gaps as (select grp, gap as start, start as \"end\" from g2 where gap < start)"
@@ -249,7 +249,7 @@ ALIGNED_SQL = f"{GAPS_SQL}, al as (select grp, start, \"end\", cast(ceil(start /
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    e = _table(spark, sf_dir, "events")
     return e.select(F.col("event_type").alias("grp"), F.col("event_id").alias("id"), F.expr("event_id * 13 % 5000").alias("start"), F.expr("event_id * 13 % 5000 + event_id % 9").alias("end"))
 
 
@@ -293,10 +293,11 @@ def interval_chunk_ranges(spark, sf_dir):
     return intervals.chunk_ranges(_ranges(spark, sf_dir), 32, 5000)
 
 
-@query(f"with {RANGES_SQL} select l.grp, l.id as l_id, r.id as r_id, greatest(l.start, r.start) as start, least(l.\"end\", r.\"end\") as \"end\" from ranges l join ranges r on l.grp = r.grp and l.start < r.\"end\" and r.start < l.\"end\" where l.id % 10 = 0 and r.id % 10 = 5 and l.start < l.\"end\" and r.start < r.\"end\"")
+@query(f"with {RANGES_SQL} select l.grp, l.id as l_id, r.id as r_id, greatest(l.start, r.start) as start, least(l.\"end\", r.\"end\") as \"end\" from ranges l join ranges r on l.grp = r.grp and l.start < r.\"end\" and r.start < l.\"end\" and l.id < r.id where l.start < l.\"end\" and r.start < r.\"end\"")
 def interval_overlap_join(spark, sf_dir):
+    """Every pair of overlapping ranges once."""
     rows = _ranges(spark, sf_dir)
-    return intervals.overlap_join(rows.where("id % 10 = 0"), rows.where("id % 10 = 5"), 32)
+    return intervals.overlap_join(rows, rows, 32).where("l_id < r_id")
 
 
 @query(f"with {ALIGNED_SQL}, p as (select grp, \"end\" as last, unnest(range(start, \"end\", 20)) as start from parts where kind = 'aligned') select grp, 'planned' as kind, start, least(start + 20, last) as \"end\" from p union all select grp, kind, start, \"end\" from parts where kind = 'blocked'")
@@ -430,16 +431,16 @@ def topn_recent(spark, sf_dir):
 # --- append, resume, batches, tables --------------------------------------------------------------------------------
 
 
-@query(f"with {SAMPLES_SQL}, {SLOT_SQL} select distinct a.grp, a.slot from slotted a semi join (select grp, slot from slotted where pos % 3 = 0) b on a.grp = b.grp and a.slot = b.slot where a.pos % 3 = 1")
+@query(f"with {SAMPLES_SQL}, {SLOT_SQL} select distinct a.grp, a.slot from slotted a semi join (select grp, slot from slotted where pos % 3 = 0) b on a.grp = b.grp and a.slot = b.slot where a.pos % 3 <> 0")
 def overlap_reject_semi(spark, sf_dir):
     rows = _slotted(spark, sf_dir)
-    return resume.overlapping_times(rows.where("pos % 3 = 0"), rows.where("pos % 3 = 1"), ("grp", "slot"))
+    return resume.overlapping_times(rows.where("pos % 3 = 0"), rows.where("pos % 3 <> 0"), ("grp", "slot"))
 
 
-@query(f"with {SAMPLES_SQL}, {SLOT_SQL} select distinct a.grp, a.slot from slotted a anti join (select grp, slot from slotted where pos % 3 = 0) b on a.grp = b.grp and a.slot = b.slot where a.pos % 3 = 1")
+@query(f"with {SAMPLES_SQL}, {SLOT_SQL} select distinct a.grp, a.slot from slotted a anti join (select grp, slot from slotted where pos % 3 = 0) b on a.grp = b.grp and a.slot = b.slot where a.pos % 3 <> 0")
 def overlap_reject_anti(spark, sf_dir):
     rows = _slotted(spark, sf_dir)
-    return rows.where("pos % 3 = 1").select("grp", "slot").distinct().join(rows.where("pos % 3 = 0"), ["grp", "slot"], "left_anti")
+    return rows.where("pos % 3 <> 0").select("grp", "slot").distinct().join(rows.where("pos % 3 = 0"), ["grp", "slot"], "left_anti")
 
 
 @query(f"with {SAMPLES_SQL}, {SLOT_SQL} select grp, max(slot) + 1 as cursor from slotted group by grp")
@@ -453,10 +454,10 @@ def append_batch_starts(spark, sf_dir):
     return resume.batch_starts(rows, "o_orderkey", "n").select("o_orderkey", "start")
 
 
-@query(f"with {SAMPLES_SQL}, {SLOT_SQL}, e as (select distinct grp, slot as time, slot from slotted where slot < 100), n as (select distinct grp, slot as time from slotted where slot >= 90 and slot < 110), l as (select grp, max(slot) + 1 as length from e group by grp) select n.grp, n.time, e.slot from n join e on n.grp = e.grp and n.time = e.time union all select n.grp, n.time, coalesce(l.length, 0) + row_number() over (partition by n.grp order by n.time) - 1 as slot from n left join l on n.grp = l.grp anti join e on n.grp = e.grp and n.time = e.time")
+@query(f"with {SAMPLES_SQL}, {SLOT_SQL}, e as (select distinct grp, slot as time, slot from slotted where slot < 100), n as (select distinct grp, slot as time from slotted where slot >= 90), l as (select grp, max(slot) + 1 as length from e group by grp) select n.grp, n.time, e.slot from n join e on n.grp = e.grp and n.time = e.time union all select n.grp, n.time, coalesce(l.length, 0) + row_number() over (partition by n.grp order by n.time) - 1 as slot from n left join l on n.grp = l.grp anti join e on n.grp = e.grp and n.time = e.time")
 def resolve_slots(spark, sf_dir):
     rows = _slotted(spark, sf_dir).select("grp", F.col("slot").alias("time"), "slot").distinct()
-    return tabular.resolve_slots(rows.where("slot < 100"), rows.where("slot >= 90 and slot < 110").select("grp", "time"))
+    return tabular.resolve_slots(rows.where("slot < 100"), rows.where("slot >= 90").select("grp", "time"))
 
 
 @query("select event_id, 'batch_' || lpad(((row_number() over (order by event_id) - 1) // 64)::varchar, 4, '0') as batch_id from events")

@@ -28,13 +28,33 @@ def overlaps_inclusive(a_start: Column, a_last: Column, b_start: Column, b_end:
     return (a_start < b_end) & (b_start <= a_last)
 
 
+#: Slots a part of a group's order.  Windows run within a part, and once over the parts' results, so no task holds all
+#: ranges of a group: at most this many (one for each start), or as many parts.
+PART = 4096
+
+
+def _reach(rows: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
+    """Adds the greatest ``value`` of all rows of the group with a lesser start (null for none).
+
+    rows have one row for each start of a group.
+    """
+    parted = rows.withColumn("_part", F.floor(F.col("start") / PART))
+    tops = parted.groupBy(*group, "_part").agg(F.max(value).alias("_top"))
+    earlier = F.max("_top").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.select(*group, "_part", earlier.alias("_before"))
+    within = F.max(value).over(Window.partitionBy(*group, "_part").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    both = parted.withColumn("_within", within).join(tops, [*group, "_part"])
+    return both.withColumn(out, F.greatest("_within", "_before")).drop("_part", "_within", "_before")
+
+
 def merge(rows: DataFrame, group: Sequence[str] = ("grp",)) -> DataFrame:
     """Union of ranges: overlapping and touching ones become one."""
-    order = Window.partitionBy(*group).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.select(*group, "start", "end").withColumn("fresh", (reach.isNull() | (F.col("start") > reach)).cast("int"))
-    marked = marked.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*group, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    longest = rows.groupBy(*group, "start").agg(F.max("end").alias("end"))
+    marked = _reach(longest, group, "end", "reach")
+    fresh = F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), F.col("start"))
+    marked = _reach(marked.withColumn("fresh", fresh), group, "fresh", "last")
+    # An island is named by the start that opened it.
+    return marked.groupBy(*group, F.coalesce("fresh", "last").alias("island")).agg(F.max("end").alias("end")).select(*group, F.col("island").alias("start"), "end")
 
 
 def complement(covered: DataFrame, totals: DataFrame, group: Sequence[str] = ("grp",)) -> DataFrame:
@@ -42,9 +62,9 @@ def complement(covered: DataFrame, totals: DataFrame, group: Sequence[str] = ("g
     names = list(group)
     inside = covered.join(totals, names).select(*names, F.greatest("start", F.lit(0)).alias("start"), F.least("end", "total").alias("end")).where("start < end")
     # A sentinel at each group's end closes the last gap; groups without ranges are one gap.
-    edged = inside.union(totals.select(*names, F.col("total").alias("start"), F.col("total").alias("end")))
-    before = F.coalesce(F.max("end").over(Window.partitionBy(*names).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return edged.withColumn("gap", before).where("gap < start").select(*names, F.col("gap").alias("start"), F.col("start").alias("end"))
+    edged = inside.union(totals.select(*names, F.col("total").alias("start"), F.col("total").alias("end"))).groupBy(*names, "start").agg(F.max("end").alias("end"))
+    gaps = _reach(edged, names, "end", "gap").withColumn("gap", F.coalesce("gap", F.lit(0).cast("long")))
+    return gaps.where("gap < start").select(*names, F.col("gap").alias("start"), F.col("start").alias("end"))
 
 
 def partition(rows: DataFrame, size: int | str) -> DataFrame:
@@ -92,10 +112,14 @@ def overlap_join(left: DataFrame, right: DataFrame, bucket: int, group: Sequence
 
 
 def islands(rows: DataFrame, group: Sequence[str] = ("grp",), slot: str = "slot") -> DataFrame:
-    """Distinct slots as inclusive runs of consecutive slots, with their lengths."""
-    distinct = rows.where(F.col(slot).isNotNull()).select(*group, slot).distinct()
-    lane = F.col(slot) - F.row_number().over(Window.partitionBy(*group).orderBy(slot))
-    return distinct.withColumn("lane", lane).groupBy(*group, "lane").agg(F.min(slot).alias("start"), F.max(slot).alias("end"), F.count("*").alias("n")).drop("lane")
+    """Distinct slots as inclusive runs of consecutive slots, with their lengths.
+
+    Runs are found within parts of a group's slots, and those that touch are merged.
+    """
+    distinct = rows.where(F.col(slot).isNotNull()).select(*group, slot).distinct().withColumn("_part", F.floor(F.col(slot) / PART))
+    lane = F.col(slot) - F.row_number().over(Window.partitionBy(*group, "_part").orderBy(slot))
+    short = distinct.withColumn("lane", lane).groupBy(*group, "_part", "lane").agg(F.min(slot).alias("start"), (F.max(slot) + 1).alias("end"))
+    return merge(short.select(*group, "start", "end"), group).select(*group, "start", (F.col("end") - 1).alias("end"), (F.col("end") - F.col("start")).alias("n"))
 
 
 def slots_in(ranges: Column) -> Column:

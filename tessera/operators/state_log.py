@@ -1,7 +1,7 @@
 """Current state, history and queries over the append-only event log.
 
-``events`` and ``runs`` have the schemas of ``model``.  Projection is two aggregations by key (last upsert, last
-replacement) and a join of their results, so a key's whole history is never gathered.
+``events`` and ``runs`` have the schemas of ``model``.  Projection reads each record once and is one aggregation by key
+(last upsert, last replacement) that combines on the map side, so a key's whole history is never gathered.
 """
 
 from __future__ import annotations
@@ -31,27 +31,30 @@ def in_replay_order(events: DataFrame, runs: DataFrame) -> DataFrame:
     return decoded(events.join(done, ["product", "run_id"])).withColumn("place", F.struct("completed_at", "run_id", "part", "idx"))
 
 
-def project(events: DataFrame, runs: DataFrame, snapshot: DataFrame | None = None, completed_before: float | None = None) -> DataFrame:
-    """Current record of each (product, key).
+def project(events: DataFrame, runs: DataFrame, snapshot: DataFrame | None = None, completed_before: float | None = None, pattern: str | None = None) -> DataFrame:
+    """Current record of each (product, key); with a pattern only of the keys that match it.
 
     Later upserts win.  A committed replacement marks the keys it lists that exist at that point of the replay; a later
     upsert of the key clears the mark.  With a snapshot only runs completed at or after its cut-off are replayed on it.
     """
     if snapshot is not None and completed_before is not None:
         runs = runs.where(F.col("completed_at") >= completed_before)
-    replay = in_replay_order(events, runs)
-    upserts = replay.where(~F.col("event_type").isin(STARTED, COMMITTED) & (F.coalesce("r.key", F.lit("")) != ""))
+    replay = in_replay_order(events.where(F.col("event_type") != STARTED), runs)
+    commits = F.col("event_type") == COMMITTED
     value = F.struct(*[(F.coalesce(F.col(f"r.{f}"), F.col("timestamp")) if f == "timestamp" else F.coalesce(F.col(f"r.{f}"), F.col("run_id")) if f == "run_id" else F.col(f"r.{f}")).alias(f) for f in FIELDS if f != "key"], F.col("meta").alias("meta"))
-    rows = upserts.select("product", F.col("r.key").alias("key"), "place", value.alias("value"))
+    mark = F.struct(F.col("r.replacing_run_id").alias("by"), F.coalesce("r.timestamp", "timestamp").alias("at"))
+    rows = replay.select("product", F.explode(F.when(commits, F.col("r.replaced_span_keys")).otherwise(F.array("r.key"))).alias("key"), "place", F.when(~commits, value).alias("value"), F.when(commits, mark).alias("mark"))
+    rows = rows.where(F.coalesce("key", F.lit("")) != "")
     if snapshot is not None:
         first = F.struct(F.lit(float("-inf")).alias("completed_at"), F.lit("").alias("run_id"), F.lit(0).alias("part"), F.lit(0).alias("idx"))
-        rows = rows.unionByName(snapshot.select("product", "key", first.alias("place"), F.struct(*[F.col(f) for f in FIELDS if f != "key"], "meta").alias("value")))
-    last = rows.groupBy("product", "key").agg(F.max_by("value", "place").alias("value"), F.max("place").alias("place"))
-    marks = replay.where(F.col("event_type") == COMMITTED).select("product", F.explode("r.replaced_span_keys").alias("key"), F.col("place").alias("mark"), F.struct(F.col("r.replacing_run_id").alias("by"), F.coalesce("r.timestamp", "timestamp").alias("at")).alias("mark_value"))
-    marks = marks.groupBy("product", "key").agg(F.max_by("mark_value", "mark").alias("mark_value"), F.max("mark").alias("mark"))
-    joined = last.join(marks, ["product", "key"], "left").withColumn("hit", F.coalesce(F.col("mark") > F.col("place"), F.lit(False)))
-    chosen = {"status": F.when(F.col("hit"), "replaced").otherwise(F.col("value.status")), "replaced_by": F.when(F.col("hit"), F.col("mark_value.by")).otherwise(F.col("value.replaced_by")), "replaced_at": F.when(F.col("hit"), F.col("mark_value.at")).otherwise(F.col("value.replaced_at"))}
-    return joined.select("product", "key", *[chosen.get(f, F.col(f"value.{f}")).alias(f) for f in FIELDS if f != "key"], F.col("value.meta").alias("meta"))
+        rows = rows.unionByName(snapshot.select("product", "key", first.alias("place"), F.struct(*[F.col(f) for f in FIELDS if f != "key"], "meta").alias("value")), allowMissingColumns=True)
+    if pattern is not None:
+        rows = rows.where(key_matches(F.col("key"), pattern))
+    at, marked = F.when(F.col("value").isNotNull(), F.col("place")), F.when(F.col("mark").isNotNull(), F.col("place"))
+    last = rows.groupBy("product", "key").agg(F.max_by("value", at).alias("value"), F.max(at).alias("at"), F.max_by("mark", marked).alias("mark"), F.max(marked).alias("marked"))
+    last = last.where("value is not null").withColumn("hit", F.coalesce(F.col("marked") > F.col("at"), F.lit(False)))
+    chosen = {"status": F.when(F.col("hit"), "replaced").otherwise(F.col("value.status")), "replaced_by": F.when(F.col("hit"), F.col("mark.by")).otherwise(F.col("value.replaced_by")), "replaced_at": F.when(F.col("hit"), F.col("mark.at")).otherwise(F.col("value.replaced_at"))}
+    return last.select("product", "key", *[chosen.get(f, F.col(f"value.{f}")).alias(f) for f in FIELDS if f != "key"], F.col("value.meta").alias("meta"))
 
 
 def history(events: DataFrame) -> DataFrame:
@@ -67,19 +70,21 @@ def _time(text) -> Column:
 def list_records(
     events: DataFrame, runs: DataFrame, *, pattern: str | None = None, product: str | None = None, before: float | None = None, after: float | None = None, kind: str | None = None, status: str | None = None,
     include_replaced: bool = False, meta: dict | None = None, time_min_after: str | None = None, time_max_before: str | None = None, time_overlaps: tuple[str, str] | None = None, predicate: Column | None = None, dedupe: bool = True,
+    snapshot: DataFrame | None = None, completed_before: float | None = None,
 ) -> DataFrame:
     """Records by filters, newest first.
 
     With include_replaced or a status the history is searched, otherwise the current state's active records.  Records of
     type ``run`` only appear where that type is asked for.  before and after are strict; times that can't be read match
-    no time filter; the overlap is closed at both ends.
+    no time filter; the overlap is closed at both ends.  Filters on what a key's events all share (product, key) come
+    before the projection; the others depend on its last record.
     """
     past = include_replaced or status is not None
     if product is not None:
         events, runs = events.where(F.col("product") == product), runs.where(F.col("product") == product)
-    rows = history(events) if past else project(events, runs)
+    rows = history(events) if past else project(events, runs, snapshot, completed_before, pattern)
     tests = [F.col("type") == kind if kind else F.coalesce(F.col("type") != "run", F.lit(True))]
-    tests += [key_matches(F.col("key"), pattern)] if pattern else []
+    tests += [key_matches(F.col("key"), pattern)] if pattern and past else []
     tests += [meta_equals(F.col("meta"), k, v) for k, v in (meta or {}).items()]
     tests += [_time(F.col("time_min")) >= _time(time_min_after)] if time_min_after else []
     tests += [_time(F.col("time_max")) <= _time(time_max_before)] if time_max_before else []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,17 @@ def check_columns(rows: DataFrame, expected: Sequence[str]) -> bool:
 PART_ROWS, MOST_PARTS, SAMPLED = 500_000, 4096, 20
 
 
+def _place(value: Column, cuts: list) -> Column:
+    """How many of the ascending cuts are at most the value, found in two steps of about the root of their number."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    at_most = lambda among: F.size(F.filter(among, lambda c: c <= value))
+    blocks = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    full = F.greatest(at_most(F.array(*[F.lit(b[0]) for b in blocks])) - 1, F.lit(0))  # the last block that begins at or below it
+    return full * step + at_most(F.get(F.array(*[F.array(*[F.lit(c) for c in b]) for b in blocks]), full))
+
+
 def running_total(rows: DataFrame, value: Column, order: str, out: str) -> DataFrame:
     """Adds the sum of ``value`` over all rows before, in the order of one unique column (nulls first).
 
@@ -43,7 +55,7 @@ def running_total(rows: DataFrame, value: Column, order: str, out: str) -> DataF
     keep = max(1, n // (parts * SAMPLED))
     sample = [] if parts == 1 else sorted(r[0] for r in rows.where(F.col(order).isNotNull() & (F.pmod(F.xxhash64(order), F.lit(keep)) == 0)).select(order).collect())
     cuts = [sample[len(sample) * k // parts] for k in range(1, parts)] if sample else []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    part = _place(F.col(order), cuts)
     dealt = rows.withColumn("_part", F.coalesce(part, F.lit(0))).withColumn("_value", value)
     sums = dealt.groupBy("_part").agg(F.sum("_value").alias("_sum"))
     before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # at most MOST_PARTS rows
@@ -118,10 +130,17 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> Data
 
 
 def resolve_slots(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Slot of each incoming time of a group: the existing slot of an equal time, else the next free ones in time order."""
+    """Slot of each incoming time of a group: the existing slot of an equal time, else the next free ones in time order.
+
+    New times are counted in parts of a group (days of a timestamp, as many units of a number), and the parts before are
+    added up, so no task holds all new times of a group.
+    """
     length = existing.groupBy("grp").agg((F.max("slot") + 1).alias("length"))
     asked = incoming.select("grp", "time").where("time is not null").distinct()
     known = asked.join(existing.select("grp", "time", "slot"), ["grp", "time"])
-    new = asked.join(existing, ["grp", "time"], "left_anti").join(length, "grp", "left")
-    place = F.coalesce("length", F.lit(0)) + F.row_number().over(Window.partitionBy("grp").orderBy("time")) - 1
-    return known.unionByName(new.select("grp", "time", place.cast("long").alias("slot")))
+    new = asked.join(existing, ["grp", "time"], "left_anti").withColumn("_part", F.floor(F.col("time").cast("double") / 86400))
+    sizes = new.groupBy("grp", "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("grp").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    new = new.withColumn("_nth", F.row_number().over(Window.partitionBy("grp", "_part").orderBy("time")) - 1)
+    placed = new.join(sizes.select("grp", "_part", before.alias("_before")), ["grp", "_part"]).join(length, "grp", "left")
+    return known.unionByName(placed.select("grp", "time", (F.coalesce("length", F.lit(0)) + F.col("_before") + F.col("_nth")).cast("long").alias("slot")))

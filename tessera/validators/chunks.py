@@ -44,11 +44,14 @@ def dimension_report(files: DataFrame, dims: Sequence[str], shape: Sequence[int]
 
 
 def missing_chunks(files: DataFrame, shape: Sequence[int], chunks: Sequence[int]) -> DataFrame:
-    """Cells of the full grid without a chunk (a stricter check than the marginal one)."""
-    grid = files.sparkSession.range(1).select()
-    for k, n in enumerate(expected_counts(shape, chunks)):
-        grid = grid.withColumn(f"i{k}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    wanted = grid.select(F.array(*[F.col(c) for c in grid.columns]).alias("indices"))
+    """Cells of the full grid without a chunk (a stricter check than the marginal one).
+
+    Cells are numbered and their indices follow from the number, so the grid is made in as many tasks as it needs.
+    """
+    counts = expected_counts(shape, chunks)
+    steps = [math.prod(counts[k + 1 :]) for k in range(len(counts))]
+    cell = [F.expr(f"id div {max(1, n)}") % c if c else F.lit(0) for n, c in zip(steps, counts, strict=True)]
+    wanted = files.sparkSession.range(math.prod(counts)).select(F.array(*cell).cast("array<bigint>").alias("indices"))
     return wanted.join(with_indices(files), "indices", "left_anti")
 
 
