@@ -1,11 +1,13 @@
 """Exact cosine threshold pairs of embeddings by dual traversal of cover trees.
 
 Equal vectors are one node from the start.  The others go to the nearest of a bounded set of centres, and each centre's
-vectors to bounded blocks.  A block's cover tree has nested levels of centres with halving radii; every node knows the
-radius that covers all below it.  Two blocks are compared from the roots down: a pair of nodes is dropped when their
-centres are farther apart than both radii and the threshold distance allow, and only what is left at the lowest level is
-compared by the exact cosine.  A pair of blocks gives each vector's number of links and a spanning forest of the links,
-so its output is bounded by its vectors, while no link is lost.
+vectors to a block, or to several where they are too many.  A block's cover tree has nested levels of centres with
+halving radii; every node knows the radius that covers all below it.  Neighbouring centres form groups, and two groups
+meet in one task if any two of their centres are near enough for a link, so that a block is sent once for a group and not
+once for a block.  Two blocks are compared from the roots down: a pair of nodes is dropped when their centres are farther
+apart than both radii and the threshold distance allow, and only what is left at the lowest level is compared by the
+exact cosine.  A task gives each vector's number of links and a spanning forest of the links, so its output is bounded by
+its vectors, while no link is lost.
 """
 
 from __future__ import annotations
@@ -18,16 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, materialize
+from tessera.llm.common import discard, map_arrow, materialize
 from tessera.llm.components import connected_components
 from tessera.llm.vectors import binary_rows, finite_rows, matrix_of
 
 THRESHOLD = 0.95
-#: Vectors a cell at the mean, centres at most, vectors a block.
-PER_CELL, MOST_CENTRES, BLOCK = 8192, 256, 2048
+#: Vectors a cell at the mean, centres at most, vectors a block, cells (and blocks of a cell) a group.
+PER_CELL, MOST_CENTRES, BLOCK, GROUP = 1024, 4096, 2048, 4
 #: The lowest level has about this radius.
 FINEST = 0.05
-SLACK = 1e-9
+#: A distance sqrt(2 - 2 cosine) of double precision can be off by the root of a rounding error, about 2e-8.
+SLACK = 1e-7
 
 
 class CoverTree:
@@ -115,13 +118,25 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def neighbours(centres: np.ndarray) -> np.ndarray:
+    """A group for each centre: one that is free yet, with the nearest other free ones."""
+    group, k = np.full(len(centres), -1), 0
+    for c in range(len(centres)):
+        if group[c] < 0:
+            group[c] = k
+            free = np.flatnonzero(group < 0)
+            group[free[np.argsort(-(centres[free] @ centres[c]), kind="stable")[: GROUP - 1]]] = k
+            k += 1
+    return group
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links of every vector with the others by cosine.
 
     vectors needs ``vec_id`` and ``embedding``; other columns are ignored.  Null, empty and zero vectors, and those with
-    null or non-finite components, link with nothing, nor do rows without a vec_id.  Rows that share a vec_id are one
-    vector (the first in the order of their bytes).  Returns one row per vec_id (and per row without one): vec_id,
-    n_links, component_id, kept.
+    null or non-finite components, link with nothing, nor do rows without a vec_id.  Shorter vectors count as filled up
+    with zeros.  Rows that share a vec_id are one vector (the first in the order of their bytes) and all have its result.
+    Returns one row per row: vec_id, n_links, component_id, kept.
     """
     spark = vectors.sparkSession
     given = vectors.select("vec_id", "embedding")
@@ -137,11 +152,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     points = materialize(points, "points")
     nodes = materialize(points.groupBy("x").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).select("node", "copies", "x"), "nodes")
     n = nodes.count()
-    ids = given.select("vec_id").where("vec_id is not null").distinct().union(given.select("vec_id").where("vec_id is null"))
+    ids = given.select("vec_id")
     if not n:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     centres = np.stack([np.frombuffer(r["x"]) for r in nodes.orderBy(F.xxhash64("node"), "node").limit(max(1, min(MOST_CENTRES, round(n / PER_CELL)))).collect()])
     centres = centres / np.sqrt((centres**2).sum(1, keepdims=True))
+    group = neighbours(centres)
 
     def to_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,10 +168,18 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(gap)], ["node", "copies", "x", "cell", "gap"])
 
     celled = materialize(map_arrow(nodes, to_cell, "node long, copies long, x binary, cell int, gap double"), "cells")
-    summary = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()  # a row for each centre
+    summary = sorted((r["cell"], r["n"], r["radius"]) for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect())  # a row for each centre
+    used, radius = np.array([r[0] for r in summary]), np.array([r[2] for r in summary])
     reach = float(np.sqrt(2 - 2 * threshold)) + SLACK
-    near_cells = [(s["cell"], t["cell"]) for s in summary for t in summary if np.linalg.norm(centres[s["cell"]] - centres[t["cell"]]) <= s["radius"] + t["radius"] + reach]
-    sizes = spark.createDataFrame([(s["cell"], -(-s["n"] // BLOCK)) for s in summary], "cell int, blocks int")
+    sizes = spark.createDataFrame([(c, int(group[c]), -(-m // BLOCK)) for c, m, _ in summary], "cell int, grp int, blocks int")
+
+    def near_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in batch.column(0).to_pylist():
+                gaps = np.sqrt(np.maximum(2 - 2 * centres[used] @ centres[c], 0))
+                others = np.unique(group[used[gaps <= radius + radius[np.searchsorted(used, c)] + reach]])
+                others = others[others >= group[c]]
+                yield pa.RecordBatch.from_arrays([pa.array([int(group[c])] * len(others), pa.int32()), pa.array(others, pa.int32())], ["grp_a", "grp_b"])
 
     def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(batches)
@@ -166,15 +190,18 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         x = x[order]
         tree = CoverTree(x / np.sqrt((x * x).sum(1, keepdims=True)))
         body = pickle.dumps((own[order], copies[order], x.astype(np.float32) if (x.astype(np.float32) == x).all() else x, tree.levels, tree.owner), protocol=5)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([body], pa.binary())], ["cell", "block", "body"])
+        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([body], pa.binary())], ["grp", "cell", "block", "body"])
 
-    dealt = celled.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("cell", "block", "node", "copies", "x")
-    blocks = materialize(dealt.groupBy("cell", "block").applyInArrow(pack, "cell int, block int, body binary"), "blocks")
-    places = blocks.select(F.struct("cell", "block").alias("id"), "cell")
-    pairs = places.withColumnsRenamed({"id": "id_a", "cell": "cell_a"}).join(F.broadcast(spark.createDataFrame(near_cells, "cell_a int, cell_b int")), "cell_a").join(places.withColumnsRenamed({"id": "id_b", "cell": "cell_b"}), "cell_b").where("id_a <= id_b").select("id_a", "id_b")
-    bodies = blocks.select(F.struct("cell", "block").alias("id"), "body")
-    met = pairs.join(bodies.withColumnsRenamed({"id": "id_a", "body": "body_a"}), "id_a").join(bodies.withColumnsRenamed({"id": "id_b", "body": "body_b"}), "id_b")
-    met = met.select((F.col("id_a") == F.col("id_b")).alias("same"), "body_a", "body_b").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 24))
+    dealt = celled.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("grp", "cell", "block", "node", "copies", "x")
+    blocks = materialize(dealt.groupBy("grp", "cell", "block").applyInArrow(pack, "grp int, cell int, block int, body binary"), "blocks")
+    placed = blocks.select(F.struct("grp", F.floor(F.col("block") / GROUP).alias("part")).alias("at"), F.struct("cell", "block").alias("id"), "body")
+    places = placed.select("at").distinct()
+    near = map_arrow(sizes.select("cell"), near_groups, "grp_a int, grp_b int").distinct()
+    tasks = near.join(places.withColumnRenamed("at", "a"), F.col("a.grp") == F.col("grp_a")).join(places.withColumnRenamed("at", "b"), F.col("b.grp") == F.col("grp_b")).where("a <= b").select("a", "b")
+    tasks = materialize(tasks, "tasks")
+    sides = tasks.join(placed.withColumnRenamed("at", "a"), "a").select("a", "b", F.lit(0).alias("side"), "id", "body")
+    sides = sides.union(tasks.where("a <> b").join(placed.withColumnRenamed("at", "b"), "b").select("a", "b", F.lit(1).alias("side"), "id", "body"))
+    sides = sides.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 24), "a", "b")
 
     def opened(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, CoverTree]:
         own, copies, x, levels, owner = pickle.loads(body)
@@ -182,22 +209,31 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         tree.levels, tree.owner = levels, owner
         return own, copies, x.astype(float), tree
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                own_a, copies_a, a, tree_a = opened(row["body_a"])
-                own_b, copies_b, b, tree_b = (own_a, copies_a, a, tree_a) if row["same"] else opened(row["body_b"])
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """At most GROUP squared blocks a side."""
+        rows = sorted(((r["side"], tuple(r["id"].values()), r["body"]) for b in batches for r in b.to_pylist()), key=lambda r: r[:2])
+        held = [(side, *opened(body)) for side, _, body in rows]
+        alone = not any(side for side, *_ in held)
+        counts, links = [np.zeros(len(h[1]), np.int64) for h in held], []
+        for p, (side_a, own_a, copies_a, a, tree_a) in enumerate(held):
+            for q, (side_b, own_b, copies_b, b, tree_b) in enumerate(held[p:], p):
+                if not alone and side_a == side_b:
+                    continue
                 i, j = linked_pairs(a, tree_a, b, tree_b, threshold)
-                if row["same"]:
+                if p == q:
                     i, j = i[i != j], j[i != j]
-                counts = [(own_a, np.bincount(i, copies_b[j], len(own_a)))] + ([] if row["same"] else [(own_b, np.bincount(j, copies_a[i], len(own_b)))])
-                tree = forest(own_a[i], own_b[j])
-                for own, count in counts:
-                    at = np.flatnonzero(count)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.nulls(len(at), pa.int64()), pa.array(count[at].astype(np.int64))], ["a", "b", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in tree], pa.int64()), pa.array([t[1] for t in tree], pa.int64()), pa.array([0] * len(tree), pa.int64())], ["a", "b", "n"])
-
-    found = materialize(map_arrow(met, compare, "a long, b long, n long"), "links")
+                counts[p] += np.bincount(i, copies_b[j], len(own_a)).astype(np.int64)
+                if p != q:
+                    counts[q] += np.bincount(j, copies_a[i], len(own_b)).astype(np.int64)
+                links += forest(own_a[i], own_b[j])
+        for (_, own, *_), count in zip(held, counts, strict=True):
+            at = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.nulls(len(at), pa.int64()), pa.array(count[at])], ["a", "b", "n"])
+        tree = forest(np.array([t[0] for t in links], np.int64), np.array([t[1] for t in links], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in tree], pa.int64()), pa.array([t[1] for t in tree], pa.int64()), pa.array([0] * len(tree), pa.int64())], ["a", "b", "n"])
+
+    found = materialize(sides.groupBy("a", "b").applyInArrow(compare, "a long, b long, n long"), "links")
+    discard(celled, blocks, tasks)
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
     groups = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "node")
     rated = nodes.select("node", "copies", "x").join(counts, "node", "left").join(groups, "node", "left")

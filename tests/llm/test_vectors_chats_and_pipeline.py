@@ -27,8 +27,8 @@ ODD = [(9001, None, 1), (9002, [float("nan")] + [0.1] * 15, 1), (9003, [0.0] * 1
 
 
 def test_cosine_links_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 100)
-    monkeypatch.setattr(embedding_dedup, "PER_CELL", 150)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    monkeypatch.setattr(embedding_dedup, "PER_CELL", 50)
     x = planted(0, 600)
     df = vectors(spark, [(3 * i + 1, v.tolist(), 0) for i, v in enumerate(x)] + ODD).withColumn("node", F.lit(1))
     got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(df).collect()}
@@ -49,6 +49,16 @@ def test_cosine_links_equal_brute_force(spark, monkeypatch):
     for i in (9001, 9002, 9003, 9004, 9005, 9006):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert got[None]["component_id"] is None and not embedding_dedup.near_vectors(vectors(spark, [])).collect()
+    twice = embedding_dedup.near_vectors(vectors(spark, [(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (2, [2.0, 4.0], 0), (3, [-1.0, 5.0], 0), (3, None, 0)]))
+    assert sorted(tuple(r) for r in twice.collect()) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (3, 0, 3, True)]
+
+
+def test_clustered_vectors_meet_few_groups():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 8))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    group = embedding_dedup.neighbours(centres)
+    assert np.bincount(group).max() <= embedding_dedup.GROUP and len(set(group)) == 10
 
 
 def test_cover_tree_levels_cover_and_nest():
