@@ -46,10 +46,14 @@ def query(sql: str | None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tessera import catalogue_io, catalogue_rules  # noqa: F401  (registers more queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera import catalogue_io, catalogue_rules  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -207,7 +211,11 @@ def healpix_mean(spark, sf_dir):
     return _r6(binning.aggregate_cells(cells, ["cell"], {"v": ("value", "mean"), "seen": ("value", "any")}), "v")
 
 
-@query(None)
+BOX_SQL = """box as (select least(-10e0 + i * step, 20e0) as lon, least(30e0 + j * step, 50e0) as lat, 0e0 as value, 0 as pos from (select degrees(sqrt(4 * pi() / (12 * 4 ** 5))) / 2 as step), (select unnest(range(60)) as i), (select unnest(range(60)) as j) where i < floor(30e0 / step) + 2 and j < floor(20e0 / step) + 2)"""
+BOX_CELLS_SQL = CELLS_SQL.replace("from samples", "from box").replace("16 *", "32 *").replace("// 16", "// 32").replace("% 16", "% 32").replace("15)", "31)").replace("15 -", "31 -").replace("face * 256", "face * 1024").replace("range(0, 4)", "range(0, 5)")
+
+
+@query(f"with {BOX_SQL}, {BOX_CELLS_SQL} select distinct cast(cell as bigint) as cell from celled")
 def healpix_cells_in_box(spark, sf_dir):
     return healpix.cells_in_box(spark, -10.0, 30.0, 20.0, 50.0, 5)
 
@@ -502,12 +510,6 @@ def dedup_stats(spark, sf_dir):
     return tabular.dedup_stats(_table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"])
 
 
-@query("select event_id, event_type, value from events where event_id % 2 = 0 union all select event_id, event_type, value from events where event_id % 2 = 1")
-def consolidate_union(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    return e.where("event_id % 2 = 0").unionByName(e.where("event_id % 2 = 1"))
-
-
 @query("select vec_id as slot, 'embedding' as \"array\", 'all' as grp, cast(2 + (i - 1) // 8 as bigint) as y, cast((i - 1) % 8 as bigint) as x, cast(embedding[i] as double) as value from embeddings, (select unnest(range(1, 65)) as i)")
 def region_explode(spark, sf_dir):
     lines = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, F.lit(8)))

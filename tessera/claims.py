@@ -1,4 +1,4 @@
-"""Leases on parts of a product: files that are created atomically, with heartbeats and a stale threshold.
+"""Leases on parts of a product: files that a store creates for one owner only, with heartbeats and a stale threshold.
 
 This is driver-side coordination, not a Spark operation.
 """
@@ -7,10 +7,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import time
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+
+from tessera.storage import Store
+
 
 class ClaimConflictError(RuntimeError):
     """Someone else holds the lease."""
@@ -18,46 +22,56 @@ class ClaimConflictError(RuntimeError):
 
 @dataclass
 class Claims:
+    spark: SparkSession
     root: str
     threshold_s: float = 900.0
 
+    @property
+    def store(self) -> Store:
+        return Store(self.spark)
+
     def path(self, product: str, category: str, name: str) -> str:
-        return os.path.join(self.root, hashlib.sha256(f"{product}:{category}:{name}".encode()).hexdigest() + ".json")
+        return f"{self.root}/{hashlib.sha256(f'{product}:{category}:{name}'.encode()).hexdigest()}.json"
 
     def acquire(self, product: str, category: str, name: str, owner: str, now: float | None = None) -> str:
         """Creates the lease or raises; a lease is never taken over silently, stale or not."""
-        os.makedirs(self.root, exist_ok=True)
         path = self.path(product, category, name)
         body = {"product": product, "category": category, "name": name, "owner": owner, "heartbeat": time.time() if now is None else now}
         try:
-            with os.fdopen(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as f:
-                json.dump(body, f)
+            self.store.write(path, json.dumps(body).encode(), overwrite=False)
         except FileExistsError:
             raise ClaimConflictError(f"{category} {name} of {product} is claimed") from None
         return path
 
+    def _body(self, path: str) -> dict:
+        return json.loads(self.store.read(path))
+
     def beat(self, path: str, now: float | None = None) -> None:
-        with open(path) as f:
-            body = json.load(f)
-        body["heartbeat"] = time.time() if now is None else now
-        with open(f"{path}.new", "w") as f:
-            json.dump(body, f)
-        os.replace(f"{path}.new", path)
+        body = self._body(path) | {"heartbeat": time.time() if now is None else now}
+        self.store.write(f"{path}.new", json.dumps(body).encode())
+        self.store.replace(f"{path}.new", path)
 
     def release(self, path: str, owner: str) -> None:
-        with open(path) as f:
-            if json.load(f)["owner"] != owner:
-                raise ClaimConflictError("the lease belongs to someone else")
-        os.remove(path)
+        if self._body(path)["owner"] != owner:
+            raise ClaimConflictError("the lease belongs to someone else")
+        self.store.delete(path)
+
+    @contextmanager
+    def held(self, product: str, category: str, name: str, owner: str):
+        """The lease for the time of a block."""
+        path = self.acquire(product, category, name, owner)
+        try:
+            yield path
+        finally:
+            self.release(path, owner)
 
     def list(self, now: float | None = None) -> list[dict]:
         """All leases by (product, category, name), each with whether it is stale."""
         now, out = time.time() if now is None else now, []
-        for name in os.listdir(self.root) if os.path.isdir(self.root) else []:
+        for name, _ in self.store.files(self.root, recursive=False):
             if name.endswith(".json"):
-                with open(os.path.join(self.root, name)) as f:
-                    body = json.load(f)
-                out.append(body | {"stale": now - body["heartbeat"] > self.threshold_s, "path": os.path.join(self.root, name)})
+                body = self._body(f"{self.root}/{name}")
+                out.append(body | {"stale": now - body["heartbeat"] > self.threshold_s, "path": f"{self.root}/{name}"})
         return sorted(out, key=lambda c: (c["product"], c["category"], c["name"]))
 
     def clear_stale(self, now: float | None = None, dry_run: bool = True) -> list[str]:
@@ -66,5 +80,5 @@ class Claims:
         if not dry_run:
             for path in found:
                 if any(c["path"] == path and c["stale"] for c in self.list(now)):
-                    os.remove(path)
+                    self.store.delete(path)
         return found

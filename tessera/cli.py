@@ -7,9 +7,10 @@ import json
 import sys
 import time
 
+
 from pyspark.sql import functions as F
 
-from tessera import ingest, plugins
+from tessera import deletion, ingest, plugins
 from tessera.claims import Claims
 from tessera.functions.scalars import parse_meta_filters
 from tessera.operators import pyramid, state_log
@@ -42,16 +43,16 @@ def parser() -> argparse.ArgumentParser:
 
     product, yes = ("root", {}), {"action": "store_true"}
     command("ingest", ("plugin", {}), ("source", {}), product, ("--option", {"action": "append", "default": []}), ("--slot-start", {"type": int}), ("--slot-end", {"type": int}), ("--group", {}), ("--resume", yes), ("--force", yes), ("--chunk", {"type": int, "default": 100}))
-    command("slots", product, ("--total", {"type": int, "required": True}), ("--size", {"type": int, "required": True}), ("--groups", {"nargs": "+", "required": True}))
+    command("slots", product, ("--total", {"type": int, "required": True}), ("--size", {"type": int, "required": True}), ("--groups", {"nargs": "+", "required": True}), ("--limit", {"type": int, "default": 10000}))
     command("validate", ("array", {}))
     command("multires", ("cube", {}), ("output", {}), ("--variables", {"nargs": "+", "required": True}), ("--factor", {"type": int, "default": 2}))
     command("preallocate", ("output", {}), ("--size", {"type": int, "required": True}), ("--groups", {"nargs": "+", "required": True}))
     command("parquet-validate", product)
     command("parquet-consolidate", product, ("output", {}), ("--codec", {"default": "zstd"}))
     command("chunks-list", product, ("--pattern", {}), ("--type", {}), ("--status", {}), ("--meta", {"action": "append", "default": []}), ("--before", {"type": float}), ("--after", {"type": float}), ("--time-range", {"nargs": 2}), ("--include-replaced", yes), ("--limit", {"type": int, "default": 100}))
-    command("chunks-delete", product, ("--pattern", {"required": True}), ("--yes", yes))
+    command("chunks-delete", product, ("--pattern", {"required": True}), ("--chunk", {"type": int, "default": 100}), ("--yes", yes))
     command("chunks-delete-span", product, ("--run-id", {"required": True}), ("--group", {}), ("--chunk", {"type": int, "default": 100}), ("--yes", yes))
-    command("runs-list", product, ("--status", {}))
+    command("runs-list", product, ("--status", {}), ("--limit", {"type": int, "default": 1000}))
     command("runs-abandon", product, ("--run-id", {}), ("--all-stale", yes), ("--reason", {"default": "abandoned by command"}), ("--yes", yes))
     command("claims-list", product)
     command("claims-clear", product, ("--yes", yes))
@@ -79,7 +80,7 @@ def main(argv: list[str] | None = None) -> int:
         _show(found if a.command != "plugins-explain" else found[a.option], a.format)
         return 0
     if a.command.startswith("claims-"):
-        claims = Claims(f"{a.root}/_control/claims")
+        claims = Claims(local_session(), f"{a.root}/_control/claims")
         _show(claims.list() if a.command == "claims-list" else claims.clear_stale(dry_run=not a.yes), a.format)
         return 0
     if a.command == "advise-batch-size":
@@ -89,14 +90,14 @@ def main(argv: list[str] | None = None) -> int:
     product = ingest.Product(a.root.rstrip("/").rsplit("/", 1)[-1], a.root.rstrip("/")) if "root" in a else None
     if a.command == "ingest":
         plugins.discover_entry_points()
-        plugin = plugins.configure(plugins.get(a.plugin), dict(o.split("=", 1) for o in a.option))
+        plugin = plugins.configure(plugins.get(a.plugin), {"chunk": a.chunk} | dict(o.split("=", 1) for o in a.option))
         slots = (a.slot_start, a.slot_end) if a.slot_start is not None and a.slot_end is not None else None
-        _show(ingest.run(spark, plugin, product, a.source, chunk=a.chunk, slots=slots, group=a.group, resume_existing=a.resume, force=a.force), a.format)
+        _show(ingest.run(spark, plugin, product, a.source, slots=slots, group=a.group, resume_existing=a.resume, force=a.force, **vars(plugin.engine)), a.format)
     elif a.command == "slots":
         groups = spark.createDataFrame([(g, a.total, a.size) for g in a.groups], "grp string, total long, size long")
-        plan = planner.plan_slots(planner.covered_ranges(product.state(spark)), groups).orderBy("grp", "start").collect()
-        _show(plan, a.format)
-        return 1 if any(r["kind"] == "blocked" for r in plan) else 0
+        plan = planner.plan_slots(planner.covered_ranges(product.state(spark)), groups)
+        _show(plan.orderBy("grp", "start").limit(a.limit).collect(), a.format)
+        return 0 if plan.where("kind = 'blocked'").isEmpty() else 1
     elif a.command == "validate":
         meta = chunked.array_meta(a.array)
         listing = files.listing(spark, a.array)
@@ -118,30 +119,21 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "parquet-consolidate":
         _show({"files": cube.consolidate(spark, a.root, a.output, a.codec)}, a.format)
     elif a.command == "chunks-list":
-        rows = state_log.list_records(product.events(spark), product.runs(spark), pattern=a.pattern, kind=a.type, status=a.status, meta=parse_meta_filters(a.meta), before=a.before, after=a.after, time_overlaps=tuple(a.time_range) if a.time_range else None, include_replaced=a.include_replaced)
+        rows = state_log.list_records(product.events(spark), product.runs(spark), **dict(zip(("snapshot", "completed_before"), product.snapshot(spark), strict=True)), pattern=a.pattern, kind=a.type, status=a.status, meta=parse_meta_filters(a.meta), before=a.before, after=a.after, time_overlaps=tuple(a.time_range) if a.time_range else None, include_replaced=a.include_replaced)
         _show(rows.limit(a.limit).collect(), a.format)
     elif a.command in ("chunks-delete", "chunks-delete-span"):
         rows = state_log.list_records(product.events(spark), product.runs(spark), pattern=getattr(a, "pattern", None), dedupe=False)
         if a.command == "chunks-delete-span":
             rows = rows.where(F.col("run_id") == a.run_id)
             rows = rows.where(F.col("grp") == a.group) if a.group else rows
-        plan = state_log.deletion_plan(rows).head().asDict()
-        if a.command == "chunks-delete-span":
-            plan["chunks"] = state_log.span_chunks(rows, a.chunk).count()
-        if a.yes and plan["n"]:
-            started, run_id = time.time(), ingest.new_run_id("maintenance")
-            marked = state_log.replaced_events(rows, rows.select("key"), run_id, started)
-            marked.write.mode("append").parquet(f"{product.root}/_control/events")
-            product.put_run(spark, run_id, "complete", started)
-        _show(plan | {"deleted": bool(a.yes)}, a.format)
+        counted = {"chunks": state_log.span_chunks(rows, a.chunk).count()} if a.command == "chunks-delete-span" else {}
+        _show(deletion.execute(spark, product, rows, ingest.new_run_id("maintenance"), a.chunk, dry_run=not a.yes) | counted, a.format)
     elif a.command == "runs-list":
-        _show(state_log.list_runs(product.runs(spark), a.status).orderBy("run_id").collect(), a.format)
+        _show(state_log.list_runs(product.runs(spark), a.status).orderBy("run_id").limit(a.limit).collect(), a.format)
     elif a.command == "runs-abandon":
         _show(product.abandon_stale(spark, a.reason, time.time(), dry_run=not a.yes) if a.all_stale else {"abandoned": product.abandon(spark, a.run_id, a.reason)}, a.format)
     elif a.command == "snapshot":
-        cut = product.runs(spark).agg(F.max("completed_at")).head()[0] or 0.0
-        cube.save_snapshot(product.state(spark), f"{product.root}/_control/snapshot", cut)
-        _show({"completed_before": cut}, a.format)
+        _show({"completed_before": product.save_snapshot(spark)}, a.format)
     elif a.command == "snapshot-status":
         row = spark.read.parquet(f"{product.root}/_control/snapshot").agg(F.count("*").alias("records"), F.max("completed_before").alias("completed_before")).head()
         _show(row.asDict() | {"age_s": round(time.time() - (row["completed_before"] or 0), 1)}, a.format)
@@ -149,7 +141,10 @@ def main(argv: list[str] | None = None) -> int:
         control = cube.serialise_control(product.state(spark), product.runs(spark))
         _show(cube.create_archive(spark.read.parquet(product.data), a.archive, groups=a.groups, variables=a.variables, start=a.start, end=a.end, codec=a.codec, control=control), a.format)
     elif a.command == "archive-restore":
-        _show({"rows": cube.restore_archive(spark, a.archive, a.target, a.chunk, a.overwrite)}, a.format)
+        rows = cube.restore_archive(spark, a.archive, f"{a.target}/data", a.chunk, a.overwrite)
+        if cube.exists(spark, f"{a.archive}/control/spans"):
+            ingest.Product(a.target.rstrip("/").rsplit("/", 1)[-1], a.target.rstrip("/")).restore_control(spark, a.archive)
+        _show({"rows": rows}, a.format)
     elif a.command in ("archive-info", "archive-list"):
         info = cube.archive_info(spark, a.archive)
         _show(info if a.command == "archive-info" else info["groups"], a.format)
@@ -159,7 +154,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0 if good else 1
     elif a.command == "advise-compliance":
         found = conventions.report(*[spark.read.parquet(p) for p in (a.attributes, a.variables, a.values)])
-        _show(found.orderBy("code", "location").collect(), a.format)
+        _show(found.orderBy("code", "location").limit(1000).collect(), a.format)
         return conventions.exit_code(found, a.strict)
     elif a.command == "catalog":
         groups = [r["folder"].rsplit("/", 1)[-1] for r in files.catalogue_groups(spark, a.root).collect()]

@@ -56,13 +56,17 @@ def label_text(value: Column) -> Column:
     return F.coalesce(F.substring(value.cast("string"), 1, 128), F.lit(""))
 
 
+#: A list with a longer item is no label.
+LABEL_ITEM = 64
+
+
 def label_value(value) -> str:
     """Driver-side label: long lists, lists of long items and mappings are empty."""
     if value is None or isinstance(value, dict):
         return ""
     if isinstance(value, (list, tuple, set)):
         items = [str(v) for v in value]
-        return "" if len(items) > 5 or any(len(v) > 32 for v in items) else ",".join(items)[:128]
+        return "" if len(items) > 5 or any(len(v) > LABEL_ITEM for v in items) else ",".join(items)
     return str(value)[:128]
 
 
@@ -183,22 +187,23 @@ def normalise_codec(entry) -> dict:
     return {"configuration": dict(sorted(config.items())), "name": entry["name"]}
 
 
-#: Codecs that turn arrays to bytes, and those that compress bytes; any other filters arrays.
+#: Codecs that turn arrays to bytes, that compress bytes, and that change arrays.
 SERIALIZERS = ("bytes", "sharding_indexed", "vlen-utf8", "vlen-bytes")
 COMPRESSORS = ("blosc", "crc32c", "gzip", "zstd")
+FILTERS = ("transpose", "scale_offset", "cast_value")
 
 
 def split_codecs(codecs: list) -> tuple[list, dict | None, list]:
-    """Filters, serializer, compressors of a flat list."""
-    filters, serializer, compressors = [], None, []
+    """Filters, serializer, compressors of a flat list; an unknown codec and a second serializer are errors."""
+    found: dict[str, list] = {"filter": [], "serializer": [], "compressor": []}
     for entry in map(normalise_codec, codecs):
-        if entry["name"] in SERIALIZERS:
-            serializer = entry
-        elif entry["name"] in COMPRESSORS:
-            compressors.append(entry)
-        else:
-            filters.append(entry)
-    return filters, serializer, compressors
+        kind = next((k for k, names in (("serializer", SERIALIZERS), ("compressor", COMPRESSORS), ("filter", FILTERS)) if entry["name"] in names), None)
+        if kind is None:
+            raise ValueError(f"unknown codec {entry['name']!r}")
+        found[kind].append(entry)
+    if len(found["serializer"]) > 1:
+        raise ValueError("more than one codec turns the array to bytes")
+    return found["filter"], next(iter(found["serializer"]), None), found["compressor"]
 
 
 def compare_codecs(declared: list, stored: list) -> list[str]:

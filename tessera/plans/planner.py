@@ -37,7 +37,7 @@ def plan_slots(covered: DataFrame, groups: DataFrame) -> DataFrame:
     A blocked range can't be brought onto chunk boundaries; callers treat any as a refusal of the plan.
     """
     gaps = intervals.complement(intervals.merge(covered), groups.select("grp", "total"))
-    parts = intervals.align(gaps.join(F.broadcast(groups), "grp"), "size")
+    parts = intervals.align(gaps.join(groups, "grp"), "size")
     planned = intervals.partition(parts.where("kind = 'aligned'"), "size").select("grp", F.lit("planned").alias("kind"), "start", "end")
     return planned.unionByName(parts.where("kind = 'blocked'").select("grp", "kind", "start", "end"))
 

@@ -22,6 +22,17 @@ class Ingestor(Protocol):
     def build(self, items: DataFrame) -> DataFrame: ...
 
 
+@dataclasses.dataclass(frozen=True)
+class ArraySpec:
+    """Declared layout of an array that is written directly: the first dimension is the slot."""
+
+    dims: tuple[str, ...]
+    shape: tuple[int, ...]
+    chunks: tuple[int, ...]
+    dtype: str = "float64"
+    attrs: dict[str, Any] = dataclasses.field(default_factory=dict)
+
+
 @dataclasses.dataclass
 class Hooks:
     """Optional parts of a plugin, taken from its attributes; all have a neutral default."""
@@ -30,11 +41,38 @@ class Hooks:
     coordinate: Callable[[DataFrame], Column] | None = None
     keep: Callable[[DataFrame], Column] | None = None
     slice_meta: dict[str, Any] = dataclasses.field(default_factory=dict)
+    #: Groups of each item (an array); items are then built once for each, with the group in ``grp``.
+    groups: Callable[[DataFrame], Column] | None = None
+    #: Bytes of each item, for the batches' metrics.
+    item_size: Callable[[DataFrame], Column] | None = None
+    #: Before and after each batch, also a failed one, with the batch's id.
+    prepare_batch: Callable[[str], None] | None = None
+    cleanup_batch: Callable[[str], None] | None = None
+    #: Run metrics from the batches' metrics; by default sums, lists in order and first values.
+    aggregate: Callable[[DataFrame], DataFrame] | None = None
+    #: Tables and views that the build needs.
+    prepare_tables: Callable[[SparkSession], None] | None = None
+    #: Direct arrays: the declared layout by name, and items as write intents (grp, array, slot, y0, payload).
+    array_schema: dict[str, ArraySpec] = dataclasses.field(default_factory=dict)
+    write_intents: Callable[[DataFrame], DataFrame] | None = None
+    #: What the data catalogue says of a group; None hides it.
+    catalog_info: Callable[[str], dict | None] | None = None
     on_start: Callable[[], None] | None = None
     on_success: Callable[[int], None] | None = None
     on_failure: Callable[[Exception], None] | None = None
 
 
+@dataclasses.dataclass
+class Engine:
+    """Options of a run that belong to the engine."""
+
+    chunk: int = 100
+    batch_items: int = 0
+    workers: int = 1
+    keep_going: bool = False
+    output: str = "cube"
+
+
 _REGISTRY: dict[str, type] = {}
 
 
@@ -80,15 +118,26 @@ def option_schema(cls: type) -> dict[str, dict]:
     return {f.name: {"type": getattr(hints[f.name], "__name__", str(hints[f.name])), "required": f.default is missing and f.default_factory is missing, "default": None if f.default is missing else f.default} for f in dataclasses.fields(options)}
 
 
-def configure(cls: type, given: dict[str, str]) -> Any:
-    """The plugin with its options coerced; unknown keys are refused, those that start with x_ are ignored."""
-    options = getattr(cls, "Options", None)
-    if options is None:
-        return cls()
-    hints = typing.get_type_hints(options)
-    unknown = [k for k in given if k not in hints and not k.startswith("x_")]
+def _coerced(hints: dict[str, Any], given: dict[str, Any]) -> dict[str, Any]:
+    return {k: coerce_option(v, hints[k]) if isinstance(v, str) else v for k, v in given.items()}
+
+
+def split_tiers(cls: type, given: dict[str, Any]) -> tuple[Engine, dict[str, Any], dict[str, Any]]:
+    """Options by who takes them: the engine, the plugin, and experimental ones (x_); any other key is refused."""
+    hints = typing.get_type_hints(getattr(cls, "Options", None) or Engine)
+    engine = typing.get_type_hints(Engine)
+    own = set(hints) if getattr(cls, "Options", None) else set()
+    unknown = sorted(k for k in given if k not in own and k not in engine and not k.startswith("x_"))
     if unknown:
-        raise ValueError(f"unknown options: {', '.join(sorted(unknown))}")
+        raise ValueError(f"unknown options: {', '.join(unknown)}")
+    mine = {k: v for k, v in given.items() if k in own}
+    return Engine(**_coerced(engine, {k: v for k, v in given.items() if k in engine and k not in own})), mine, {k: v for k, v in given.items() if k.startswith("x_")}
+
+
+def configure(cls: type, given: dict[str, Any]) -> Any:
+    """The plugin with its options coerced, the engine's in ``engine`` and experimental ones in ``experimental``."""
     plugin = cls()
-    plugin.options = options(**{k: coerce_option(v, hints[k]) if isinstance(v, str) else v for k, v in given.items() if k in hints})
+    plugin.engine, mine, plugin.experimental = split_tiers(cls, given)
+    if getattr(cls, "Options", None):
+        plugin.options = cls.Options(**_coerced(typing.get_type_hints(cls.Options), mine))
     return plugin

@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tessera import model
 from tessera.functions.scalars import identity_hash
 from tessera.operators.tabular import upsert
 from tessera.plans.resume import refuse_overlap
+from tessera.storage import Store
+
+
+#: Slots made from one row.
+SLOT_RUN = 1 << 16
 
 
 class SchemaDriftError(ValueError):
@@ -19,19 +27,7 @@ class SchemaDriftError(ValueError):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def _replace(spark: SparkSession, new: str, path: str) -> None:
-    """Puts a finished directory in the place of another."""
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = jvm(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = jvm(f"{path}._old")
-    if fs.exists(jvm(path)):
-        fs.rename(jvm(path), old)
-    fs.rename(jvm(new), jvm(path))
-    fs.delete(old, True)
+    return Store(spark).exists(path)
 
 
 def schema_hash(df: DataFrame) -> str:
@@ -54,19 +50,41 @@ def append(df: DataFrame, path: str, chunk: int, resume: bool = True, slot: str
     df.withColumn("chunk", F.floor(F.col(slot) / chunk)).repartition("grp", "chunk").write.mode("append").partitionBy("grp", "chunk").parquet(path)
 
 
+def replace_partitions(rows: DataFrame, path: str) -> None:
+    """Puts rows (grp, chunk, ...) in the place of the partitions they belong to; they may be read from the same table."""
+    spark, staged = rows.sparkSession, f"{path}._staged"
+    rows.repartition("grp", "chunk").write.mode("overwrite").partitionBy("grp", "chunk").parquet(staged)
+    spark.read.schema(rows.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("grp", "chunk").parquet(path)
+    Store(spark).delete(staged)
+
+
 def write_regions(df: DataFrame, path: str, keys: Sequence[str], chunk: int, slot: str = "slot") -> None:
     """Overwrites cells by key (grp, slot, ...): only the partitions that hold incoming cells are rewritten."""
     spark = df.sparkSession
     incoming = df.withColumn("chunk", F.floor(F.col(slot) / chunk))
     if exists(spark, path):
         touched = incoming.select("grp", "chunk").distinct()
-        stored = spark.read.parquet(path).join(F.broadcast(touched), ["grp", "chunk"], "left_semi").select(*incoming.columns)
+        stored = spark.read.parquet(path).join(touched, ["grp", "chunk"], "left_semi").select(*incoming.columns)
         incoming = upsert(stored, incoming, list(keys))
-    staged = f"{path}._staged"
-    incoming.repartition("grp", "chunk").write.mode("overwrite").partitionBy("grp", "chunk").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("grp", "chunk").parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    replace_partitions(incoming, path)
+
+
+def delete_slots(spark: SparkSession, path: str, doomed: DataFrame, chunk: int) -> int:
+    """Removes slots (grp, slot) from a cube; returns how many partitions are gone as a whole.
+
+    Partitions that keep other slots are rewritten, empty ones are deleted.
+    """
+    doomed = doomed.select("grp", "slot").distinct()
+    touched = doomed.select("grp", F.floor(F.col("slot") / chunk).alias("chunk")).distinct()
+    stored = spark.read.parquet(path)
+    touched = touched.join(stored.select("grp", "chunk").distinct(), ["grp", "chunk"], "left_semi")
+    kept = stored.join(touched, ["grp", "chunk"], "left_semi").join(doomed, ["grp", "slot"], "left_anti").select(*stored.columns)
+    gone = [(r["grp"], r["chunk"]) for r in touched.join(kept.select("grp", "chunk").distinct(), ["grp", "chunk"], "left_anti").toLocalIterator()]
+    if not kept.isEmpty():
+        replace_partitions(kept, path)
+    for grp, part in gone:
+        Store(spark).delete(f"{path}/grp={quote(grp, safe=' ')}/chunk={part}")
+    return len(gone)
 
 
 def write_static(df: DataFrame, path: str) -> bool:
@@ -83,7 +101,9 @@ def write_static(df: DataFrame, path: str) -> bool:
 
 def preallocate(spark: SparkSession, axes: DataFrame) -> DataFrame:
     """Every slot of every group's full extent, state unknown."""
-    return axes.where("size > 0").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("slot"), F.lit(0).cast("tinyint").alias("state"))
+    runs = axes.where("size > 0").select("grp", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(SLOT_RUN).cast("long"))).alias("first"))
+    runs = runs.repartition("grp", "first")  # a long axis is made by many tasks, a run at a time
+    return runs.select("grp", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + SLOT_RUN, F.col("size")) - 1)).alias("slot"), F.lit(0).cast("tinyint").alias("state"))
 
 
 def write_parts(df: DataFrame, path: str) -> None:
@@ -94,27 +114,16 @@ def write_parts(df: DataFrame, path: str) -> None:
 def consolidate(spark: SparkSession, root: str, output: str, codec: str = "zstd", target_bytes: int = 1 << 30) -> int:
     """Part files of one level (subdirectories stay out) as few files of about target_bytes; returns their number."""
     rows = spark.read.option("recursiveFileLookup", "false").option("pathGlobFilter", "*.parquet").parquet(root)
-    size = sum(f.size for f in _files(spark, root))
+    size = sum(n for _, n in Store(spark).files(root, recursive=False))
     n = max(1, -(-size // target_bytes))
     rows.coalesce(n).write.mode("overwrite").option("compression", codec).parquet(output)
     return n
 
 
-class _File:
-    def __init__(self, name: str, size: int):
-        self.name, self.size = name, size
-
-
-def _files(spark: SparkSession, root: str) -> list[_File]:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [_File(s.getPath().getName(), s.getLen()) for s in fs.listStatus(path) if s.isFile()]
-
-
 def save_snapshot(current: DataFrame, path: str, completed_before: float) -> None:
     """Projected state with its cut-off; the finished table takes the old one's place."""
     current.withColumn("completed_before", F.lit(completed_before)).write.mode("overwrite").parquet(f"{path}._new")
-    _replace(current.sparkSession, f"{path}._new", path)
+    Store(current.sparkSession).replace(f"{path}._new", path)
 
 
 def create_archive(cube: DataFrame, path: str, *, groups: Sequence[str] = (), variables: Sequence[str] = (), start: str | None = None, end: str | None = None, codec: str = "zstd", allow_nan: bool = True, control: dict[str, DataFrame] | None = None) -> dict:
@@ -179,7 +188,27 @@ def serialise_control(spans: DataFrame, runs: DataFrame, group: str | None = Non
     return {"spans": kept, "runs": runs if kept.isEmpty() else runs.join(kept, "run_id", "left_semi")}
 
 
-def catalogue_entries(name: str, description: str, uri: str, groups: Sequence[str], driver: str = "parquet", options: dict | None = None) -> dict:
-    """A data catalogue: one source per group; secrets stay ${ENV} placeholders."""
+def restore_control(spark: SparkSession, archive: str) -> tuple[DataFrame, DataFrame]:
+    """Events and runs that give an archive's spans and runs again: an upsert of each span, by run and key.
+
+    Spans of a run that the archive doesn't hold come with a complete run of that name.
+    """
+    spans = spark.read.schema(model.SPANS).json(f"{archive}/control/spans")
+    runs = spark.read.schema(model.RUNS).json(f"{archive}/control/runs")
+    order = F.row_number().over(Window.partitionBy("product", "run_id").orderBy("key")) - 1
+    record = F.to_json(F.struct(*[F.col(c) for c in spans.columns if c not in ("product", "meta")], F.lit(model.SCHEMA_VERSION).alias("schema_version")))
+    events = spans.select("product", "run_id", F.lit(0).alias("part"), order.cast("int").alias("idx"), F.sha2(F.concat_ws(":", "run_id", "key"), 256).alias("event_id"), F.lit("span_restored").alias("event_type"), "timestamp", record.alias("record"), "meta")
+    known = runs.select("product", "run_id")
+    lost = spans.join(known, ["product", "run_id"], "left_anti").groupBy("product", "run_id").agg(F.max("timestamp").alias("completed_at")).withColumns({"status": F.lit("complete"), "updated_at": F.col("completed_at")})
+    return events, runs.unionByName(lost, allowMissingColumns=True)
+
+
+def catalogue_entries(name: str, description: str, uri: str, groups: Sequence[str], driver: str = "parquet", options: dict | None = None, about: Callable[[str], dict | None] | None = None) -> dict:
+    """A data catalogue: one source per group; secrets stay ${ENV} placeholders.
+
+    about gives what to add to a group's source; a group for which it gives None is hidden.
+    """
+    notes = {g: about(g) if about else {} for g in groups}
+    groups = [g for g in groups if notes[g] is not None]
     source = lambda g: {"driver": driver, "description": f"{description} ({g})", "args": {"urlpath": f"{uri.rstrip('/')}/{g}"} | ({"storage_options": options} if options else {})}
-    return {"metadata": {"name": name, "description": description, "version": 1}, "sources": {g.replace("/", "_"): source(g) for g in sorted(groups)}}
+    return {"metadata": {"name": name, "description": description, "version": 1}, "sources": {g.replace("/", "_"): source(g) | notes[g] for g in sorted(groups)}}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions.scalars import glob_to_regex
+from tessera.storage import arrow_file
 
 HDF5_MAGIC = bytes([0x89]) + b"HDF\r\n\x1a\n"
 
@@ -33,16 +34,37 @@ def matches_any(patterns: Sequence[str], root: str) -> Column:
     return out
 
 
+def ends_of(files: DataFrame, head: int, tail: int = 0) -> DataFrame:
+    """The first and last bytes of each file (path, ...); nothing else of a file is read."""
+    shape = files.select("path").schema.add("head", "binary").add("tail", "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, tails = [], []
+            for path in batch.column(0).to_pylist():
+                fs, target = arrow_file(path)
+                with fs.open_input_file(target) as f:
+                    heads.append(f.read(head))
+                    f.seek(max(0, f.size() - tail))
+                    tails.append(f.read(tail))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary()), pa.array(tails, pa.binary())], ["path", "head", "tail"])
+
+    return files.select("path").mapInArrow(run, shape)
+
+
 def discover(spark: SparkSession, root: str, suffixes: Sequence[str] = (".zip", ".h5", ".nc"), include: Sequence[str] = (), exclude: Sequence[str] = (), recursive: bool = True, sniff: bool = True) -> DataFrame:
-    """Input files in the order of their names: by suffix, further globs or the magic bytes; exclusions come first."""
+    """Input files in the order of their names: by suffix, further globs or the magic bytes; exclusions come first.
+
+    Only files that nothing else selects are sniffed, and only their first bytes are read.
+    """
     files = listing(spark, root, recursive)
     files = files.where(~matches_any(exclude, root)) if exclude else files
     wanted = F.col("suffix").isin(*suffixes) | (matches_any(include, root) if include else F.lit(False))
+    found = files.where(wanted)
     if sniff:
-        heads = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).where(F.substring("content", 1, 8) == F.lit(HDF5_MAGIC)).select("path", F.lit(True).alias("hdf5"))
-        files = files.join(heads, "path", "left")
-        wanted = wanted | F.coalesce("hdf5", F.lit(False))
-    return files.where(wanted).select("path", "name", "suffix", "length", "modificationTime").dropDuplicates(["path"]).orderBy("name", "path")
+        others = files.where(~wanted)
+        found = found.unionByName(others.join(ends_of(others, len(HDF5_MAGIC)).where(F.col("head") == F.lit(HDF5_MAGIC)).select("path"), "path", "left_semi"))
+    return found.select("path", "name", "suffix", "length", "modificationTime").dropDuplicates(["path"]).orderBy("name", "path")
 
 
 def archive_members(spark: SparkSession, root: str, pattern: str = "*.zip", member: str = r"\.h5$|hdf5") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.tabular import upsert
+from tessera.storage import Store
 
 
 def arriving(spark: SparkSession, folder: str, schema: str, per_trigger: int = 1000) -> DataFrame:
@@ -28,16 +29,45 @@ def first_of_each(samples: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return samples.withWatermark("time", watermark).dropDuplicatesWithinWatermark(["grp", "time"])
 
 
-def upsert_stream(rows: DataFrame, table: str, keys: list[str], checkpoint: str, on_batch: Callable[[int, int], None] | None = None) -> StreamingQuery:
-    """Upserts each micro-batch into a Parquet table by key; a repeated batch gives the same table."""
+def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
+    """The table that upsert_stream keeps: of each bucket the version of the last micro-batch that touched it."""
+    paths = _versions(Store(spark), table, before)
+    if not paths:
+        return None
+    return spark.read.option("basePath", table).parquet(*[f"{table}/epoch={e}/bucket={b}" for b, e in sorted(paths.items())]).drop("epoch")
+
+
+def _versions(store: Store, table: str, before: int | None = None) -> dict[int, int]:
+    """Newest finished epoch of each bucket."""
+    found: dict[int, int] = {}
+    for epoch in sorted(int(f.split("=")[1]) for f in store.folders(table) if f.startswith("epoch=")):
+        if (before is None or epoch < before) and store.exists(f"{table}/epoch={epoch}/_SUCCESS"):
+            found |= {int(b.split("=")[1]): epoch for b in store.folders(f"{table}/epoch={epoch}") if b.startswith("bucket=")}
+    return found
+
+
+def upsert_stream(rows: DataFrame, table: str, keys: list[str], checkpoint: str, on_batch: Callable[[int, int], None] | None = None, buckets: int = 64) -> StreamingQuery:
+    """Upserts each micro-batch into a Parquet table by key; a repeated batch gives the same table.
+
+    Rows lie in buckets by a hash of their key.  A micro-batch writes new versions of the buckets that it touches, and
+    only those; versions that are out of date go once it is done.
+    """
     spark = rows.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
-        incoming = batch.dropDuplicates(keys)
-        old = [p for p in (f"{table}/v{epoch - 1}",) if epoch > 0]
-        merged = upsert(spark.read.parquet(old[0]), incoming, keys) if old else incoming
-        merged.write.mode("overwrite").parquet(f"{table}/v{epoch}")
+        store = Store(spark)
+        incoming = batch.dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        stored = current(spark, table, epoch)
+        if stored is not None:
+            touched = incoming.select("bucket").distinct()
+            incoming = upsert(stored.join(touched, "bucket", "left_semi").select(*incoming.columns), incoming, keys)
+        incoming.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{table}/epoch={epoch}")
+        newest = _versions(store, table)
+        for old in {e for e in (int(f.split("=")[1]) for f in store.folders(table) if f.startswith("epoch="))}:
+            for bucket in store.folders(f"{table}/epoch={old}"):
+                if bucket.startswith("bucket=") and newest.get(int(bucket.split("=")[1]), old) > old:
+                    store.delete(f"{table}/epoch={old}/{bucket}")
         if on_batch:
-            on_batch(epoch, spark.read.parquet(f"{table}/v{epoch}").count())
+            on_batch(epoch, current(spark, table).count())
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAGIC, LEAST_BYTES, REPORTED = "PAR1", 8, 20
+from tessera.sources.files import ends_of, listing
+
+MAGIC, LEAST_BYTES, REPORTED = b"PAR1", 8, 20
+
+
+def checked_files(spark: SparkSession, root: str) -> DataFrame:
+    """Every Parquet file below root with what is wrong: too short, or without the magic at an end; null for nothing."""
+    files = listing(spark, root).where("suffix = '.parquet'").select("path", "length")
+    ends = ends_of(files, len(MAGIC), len(MAGIC))
+    reason = F.when(F.col("length") < LEAST_BYTES, "short").when(F.col("head") != F.lit(MAGIC), "head").when(F.col("tail") != F.lit(MAGIC), "tail")
+    return files.join(ends, "path").select("path", "length", reason.alias("reason"))
 
 
 def bad_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files below root that are too short or lack the magic at either end, with the reason."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
-    reason = F.when(F.col("length") < LEAST_BYTES, "short").when(F.substring("content", 1, 4) != F.lit(MAGIC.encode()), "head").when(F.substring("content", -4, 4) != F.lit(MAGIC.encode()), "tail")
-    return files.select("path", "length", reason.alias("reason")).where("reason is not null")
+    return checked_files(spark, root).where("reason is not null")
 
 
 def validate(spark: SparkSession, root: str) -> dict:
-    """Files, bad ones, and the first of those."""
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root).select("path")
-    bad = bad_files(spark, root)
-    first = [r.asDict() for r in bad.orderBy("path").limit(REPORTED).collect()]
-    return {"files": names.count(), "bad": bad.count(), "first_bad": first}
+    """Files, bad ones, and the first of those, in one pass."""
+    bad = F.col("reason").isNotNull()
+    row = checked_files(spark, root).agg(F.count("*").alias("files"), F.count_if(bad).alias("bad")).head()
+    first = [r.asDict() for r in bad_files(spark, root).orderBy("path").limit(REPORTED).collect()] if row["bad"] else []
+    return {"files": row["files"], "bad": row["bad"], "first_bad": first}

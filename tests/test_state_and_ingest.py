@@ -110,6 +110,15 @@ def test_chunked_arrays_round_trip_and_reports(spark, tmp_path):
     got = {(r["time"], r["x"]): r["value"] for r in chunked.read_array(spark, path).collect()}
     assert len(got) == 35 and got[3, 3] is None and all(got[k] == values[k] for k in got if k != (3, 3))
     assert chunked.read_array(spark, path, (2, 4)).count() == 10
+    assert chunked.read_array(spark, path, bounds={"time": [2, 5], "x": [1, 3]}).count() == 6
+    update = spark.createDataFrame([(3, 3, 9.0), (8, 0, 7.0)], "time long, x long, value double")
+    assert chunked.write_array(update, f"{path}2", ["time", "x"], [7, 5], [3, 2]) == 2
+    assert chunked.write_array(update, path, ["time", "x"], [9, 5], [3, 2], update=True) == 2 and chunked.array_meta(path)["shape"] == [9, 5]
+    again = {(r["time"], r["x"]): r["value"] for r in chunked.read_array(spark, path).collect()}
+    assert again[3, 3] == 9.0 and again[8, 0] == 7.0 and all(again[k] == values[k] for k in got if k != (3, 3))
+    with pytest.raises(ValueError, match="another layout"):
+        chunked.create_array(path, ["time", "x"], [9, 6], [3, 2])
+    (tmp_path / "store/g/v/zarr.json").write_text((tmp_path / "store/g/v/zarr.json").read_text().replace("[9, 5]", "[7, 5]"))
     listing = files.listing(spark, path)
     assert [(r["dim"], r["expected"], r["max_index"], r["missing"]) for r in chunks.dimension_report(listing, ["time", "x"], [7, 5], [3, 2]).orderBy("dim").collect()] == [("time", 3, 2, []), ("x", 3, 2, [])]
     os.remove(f"{path}/c/0/1")  # a hole that no single dimension shows
@@ -121,6 +130,32 @@ def test_chunked_arrays_round_trip_and_reports(spark, tmp_path):
     assert chunked.discover_groups(str(tmp_path / "store")) == []
 
 
+def test_sharded_and_transposed_arrays_are_read(spark, tmp_path):
+    import zstandard
+
+    values, folder = np.arange(48, dtype=np.float32).reshape(8, 6), tmp_path / "v"
+    inner = [{"name": "transpose", "configuration": {"order": [1, 0]}}, {"name": "bytes", "configuration": {"endian": "little"}}, {"name": "zstd", "configuration": {"level": 1}}]
+    shard = {"name": "sharding_indexed", "configuration": {"chunk_shape": [2, 3], "codecs": inner, "index_codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "crc32c"}], "index_location": "end"}}
+    meta = {"zarr_format": 3, "node_type": "array", "shape": [8, 6], "data_type": "float32", "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [4, 6]}}, "fill_value": "NaN", "codecs": [shard], "dimension_names": ["time", "x"]}
+    for i in range(2):
+        body, index = b"", []
+        for a in range(2):
+            for b in range(2):
+                if (i, a, b) == (1, 1, 0):
+                    index += [2**64 - 1, 2**64 - 1]  # an inner chunk that isn't stored
+                    continue
+                block = values[4 * i + 2 * a : 4 * i + 2 * a + 2, 3 * b : 3 * b + 3]
+                raw = zstandard.ZstdCompressor().compress(np.ascontiguousarray(block.T).tobytes())
+                index += [len(body), len(raw)]
+                body += raw
+        (folder / "c" / str(i)).mkdir(parents=True)
+        (folder / "c" / str(i) / "0").write_bytes(body + np.array(index, "<u8").tobytes() + b"crc!")
+    (folder / "zarr.json").write_text(json.dumps(meta))
+    got = {(r["time"], r["x"]): r["value"] for r in chunked.read_array(spark, f"file://{folder}").collect()}
+    assert got == {(t, x): values[t, x] for t in range(8) for x in range(6) if not (t >= 6 and x < 3)}
+    assert chunked.array_meta(str(folder))["shards"] == [4, 6] and chunked.read_array(spark, str(folder), bounds={"time": [3, 5], "x": [4, 6]}).count() == 4
+
+
 def test_conventions_report(spark):
     attributes = [(None, "Conventions", "CF-1.8"), (None, "title", "t"), ("time", "units", "days since 2000-01-01"), ("time", "calendar", "standard"), ("time", "axis", "T"), ("lat", "units", "degrees_north"), ("lon", "units", "degrees_east"), ("v", "units", "K"), ("v", "long_name", "v"), ("v", "coordinates", "lat nowhere"), ("lat", "bounds", "lat_b")]
     variables = [("time", True, ["time"], [3], False), ("lat", True, ["lat"], [4], False), ("lon", True, ["lon"], [5], False), ("v", False, ["time", "lat", "lon"], [3, 4, 5], False), ("lat_b", False, ["lat"], [4], True)]
@@ -159,8 +194,8 @@ def test_torn_tail_of_a_segment(spark, tmp_path):
         files.event_segments(spark, str(tmp_path)).collect()
 
 
-def test_claims(tmp_path):
-    claims = Claims(str(tmp_path), threshold_s=10)
+def test_claims(spark, tmp_path):
+    claims = Claims(spark, str(tmp_path / "claims"), threshold_s=10)
     path = claims.acquire("p", "group", "g", "me", now=0.0)
     with pytest.raises(ClaimConflictError):
         claims.acquire("p", "group", "g", "you", now=100.0)
@@ -207,4 +242,10 @@ def test_streaming_slots(spark, tmp_path):
     assert sorted((r["n"], r["total"]) for r in spark.table("slots").collect()) == [(1, 4.0), (2, 3.0)]
     q = slots.upsert_stream(slots.arriving(spark, str(tmp_path / "in"), "grp string, time timestamp, value double"), str(tmp_path / "t"), ["grp", "time"], str(tmp_path / "cp"))
     q.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "t/v0")).count() == 3
+    assert slots.current(spark, str(tmp_path / "t")).count() == 3
+    rows.where("value = 2").withColumn("value", F.lit(9.0)).write.mode("append").parquet(str(tmp_path / "in"))
+    counts = []
+    q = slots.upsert_stream(slots.arriving(spark, str(tmp_path / "in"), "grp string, time timestamp, value double"), str(tmp_path / "t"), ["grp", "time"], str(tmp_path / "cp"), lambda epoch, n: counts.append((epoch, n)))
+    q.awaitTermination(60)
+    assert sorted(r["value"] for r in slots.current(spark, str(tmp_path / "t")).collect()) == [1.0, 4.0, 9.0] and counts == [(1, 3)]
+    assert len(list((tmp_path / "t").glob("epoch=*/bucket=*"))) == len({p.name for p in (tmp_path / "t").glob("epoch=*/bucket=*")})
