@@ -41,66 +41,131 @@ LEAST = 2
 FILE = "part int, shard int, first_start long, n_ids long, alphabet long, n_rules long, rules binary, reach int, expansions binary, width int, n_symbols long, symbols binary, doc_ids binary, doc_ids_null binary, doc_sizes binary"
 
 
-def _sorted_pairs(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All adjacent pairs (left << 32 | right) in order, and their places, ascending for each pair."""
-    n, bits = len(sequence) - 1, int(sequence.max()).bit_length()
-    place_bits = n.bit_length()
-    wide = sequence.astype(np.uint64)
-    if 2 * bits + place_bits <= 64:  # one sort of numbers that hold both
-        keys = wide[:-1] << np.uint64(bits + place_bits) | wide[1:] << np.uint64(place_bits) | np.arange(n, dtype=np.uint64)
+def _sorted_pairs(left: np.ndarray, right: np.ndarray, places: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (left << 32 | right) in order, how often each occurs, and all places by pair and place.
+
+    places come ascending; all symbols are below ``symbols``.
+    """
+    bits, place_bits = np.uint64(max(1, (symbols - 1).bit_length())), np.uint64(int(places[-1]).bit_length())
+    keys = left.astype(np.uint64)
+    if 2 * int(bits) + int(place_bits) <= 64:  # one sort of numbers that hold both
+        keys <<= bits
+        keys |= right
+        keys <<= place_bits
+        keys |= places.view(np.uint64)
         keys.sort()
-        pairs, places = keys >> np.uint64(place_bits), (keys & np.uint64((1 << place_bits) - 1)).astype(np.int64)
-        return pairs >> np.uint64(bits) << np.uint64(32) | pairs & np.uint64((1 << bits) - 1), places
-    pairs = wide[:-1] << np.uint64(32) | wide[1:]
-    places = np.argsort(pairs, kind="stable")
-    return pairs[places], places
-
-
-def _round(sequence: np.ndarray, first_symbol: int, least: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """The pairs that get a rule in this round, and the sequence with them replaced; None where no pair occurs often enough."""
-    if len(sequence) < 2:
-        return None
-    pairs, places = _sorted_pairs(sequence)
-    starts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-    times = np.diff(starts, append=len(pairs))
-    frequent = np.flatnonzero(times >= least)
-    order = frequent[np.argsort(-times[frequent], kind="stable")]
-    none = len(pairs) + 1
-    rank_of = np.full(len(starts), none, np.int64)
-    rank_of[order] = np.arange(len(order))
-    rank = np.full(len(pairs) + 1, none, np.int64)  # of the pair at each place
-    rank[places] = np.repeat(rank_of, times)
-    # Stretches of one rank (longer than 1 where a symbol repeats) win over both neighbours or wait for another round;
-    # within one, every second place is taken.
-    at = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
-    here, sizes = rank[at], np.diff(at, append=len(rank))
-    wins = (here < none) & (here < np.concatenate([[none], here[:-1]])) & (here < np.concatenate([here[1:], [none]]))
-    at, here, halves = at[wins], here[wins], (sizes[wins] + 1) // 2
-    taken = np.repeat(at, halves) + 2 * (np.arange(halves.sum()) - np.repeat(np.cumsum(halves) - halves, halves))
-    ranks = np.repeat(here, halves)
-    uses = np.bincount(ranks, minlength=len(order))
-    accepted = uses >= least
-    if not accepted.any():
-        # What overlaps kept every pair below: the most frequent pair that can be replaced often enough, if any, goes alone.
-        for k in order.tolist():
-            alone = places[starts[k] : starts[k] + times[k]]
-            if pairs[starts[k]] >> np.uint64(32) == pairs[starts[k]] & np.uint64(0xFFFFFFFF):
-                runs = np.flatnonzero(np.diff(alone, prepend=-2) > 1)
-                sizes = np.diff(runs, append=len(alone))
-                alone = alone[(np.arange(len(alone)) - np.repeat(runs, sizes)) % 2 == 0]
-            if len(alone) >= least:
-                return pairs[starts[[k]]], _replaced(sequence, alone, np.full(len(alone), first_symbol))
-        return None
-    symbols = first_symbol + np.cumsum(accepted) - 1
-    keep = accepted[ranks]
-    return pairs[starts[order[accepted]]], _replaced(sequence, taken[keep], symbols[ranks[keep]])
-
-
-def _replaced(sequence: np.ndarray, places: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The sequence with the pairs at the places replaced by the symbols."""
-    out, keep = sequence.copy(), np.ones(len(sequence), bool)
-    out[places], keep[places + 1] = symbols, False
-    return out[keep]
+        starts = np.flatnonzero((keys[1:] ^ keys[:-1]) >> place_bits) + 1
+        first = keys[np.append(0, starts)] >> place_bits
+        pairs, places = first >> bits << np.uint64(32) | first & ((np.uint64(1) << bits) - np.uint64(1)), (keys & ((np.uint64(1) << place_bits) - np.uint64(1))).view(np.int64)
+    else:
+        keys = keys << np.uint64(32) | right
+        order = np.argsort(keys, kind="stable")
+        keys, places = keys[order], places[order]
+        starts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        pairs = keys[np.append(0, starts)]
+    return pairs, np.diff(np.append(0, starts), append=len(keys)), places
+
+
+class _Sequence:
+    """The symbols as a linked list, so that a round only touches places whose pair may repeat.
+
+    A pair of symbols that exist already never becomes more frequent; so beside the pairs that repeat, only those with a
+    new symbol are looked at again.
+    """
+
+    def __init__(self, ids: np.ndarray):
+        n = len(ids)
+        self.symbols = np.append(ids, 0).astype(np.uint32)  # the last place stands for the end
+        self.after, self.before = np.arange(1, n + 2), np.arange(-1, n)
+        self.before[0], self.after[n] = n, n
+        self.alive, self.end = np.ones(n + 1, bool), n
+        self.rank = np.full(n + 1, n + 1, np.int32)
+        self.open = np.arange(max(0, n - 1))
+
+    def round(self, first_symbol: int, least: int) -> np.ndarray:
+        """Replaces pairs that occur often enough, the more frequent first; returns those that got a symbol."""
+        if not len(self.open):
+            return np.zeros(0, np.uint64)
+        none = self.end + 1
+        pairs, times, places = _sorted_pairs(self.symbols[self.open], self.symbols[self.after[self.open]], self.open, first_symbol)
+        frequent = np.flatnonzero(times >= least)
+        order = frequent[np.argsort(-times[frequent], kind="stable")]
+        rank_of = np.full(len(pairs), none, np.int32)
+        rank_of[order] = np.arange(len(order))
+        ranks = np.repeat(rank_of, times)
+        some = np.flatnonzero(ranks < none)
+        places = places[some]
+        self.rank[places] = ranks[some]
+        self.open = self._ascending(places)
+        taken, ranks = self._winners(self.open, self.rank[self.open])
+        accepted = np.bincount(ranks, minlength=len(order)) >= least
+        if not accepted.any():
+            # What overlaps kept every pair below: the most frequent pair that can be replaced often enough goes alone.
+            for k in range(len(order)):
+                alone = self._every_second(self.open[self.rank[self.open] == k])
+                if len(alone) >= least:
+                    taken, ranks = alone, np.full(len(alone), k)
+                    accepted[k] = True
+                    break
+        self.rank[self.open] = none
+        if not accepted.any():
+            self.open = self.open[:0]
+            return np.zeros(0, np.uint64)
+        keep = np.flatnonzero(accepted[ranks])
+        self._replace(taken[keep], (first_symbol + np.cumsum(accepted) - 1)[ranks[keep]])
+        return pairs[order[accepted]]
+
+    def _ascending(self, *places: np.ndarray, without: np.ndarray | None = None) -> np.ndarray:
+        """Distinct places in order, without some."""
+        mark = np.zeros(self.end + 1, bool)
+        for p in places:
+            mark[p] = True
+        if without is not None:
+            mark[without] = False
+        return np.flatnonzero(mark)
+
+    def _runs(self, places: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of neighbouring places of one rank begin, and their lengths: longer than 1 where a symbol repeats."""
+        fresh = np.concatenate([[True], (self.after[places[:-1]] != places[1:]) | (ranks[1:] != ranks[:-1])])[: len(places)]
+        begins = np.flatnonzero(fresh)
+        return begins, np.diff(begins, append=len(places))
+
+    def _winners(self, places: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places that win over the pairs on both sides, with their ranks.
+
+        Of a run of places of one rank that wins, every second one is taken.
+        """
+        before, after = self.rank[self.before[places]], self.rank[self.after[places]]
+        won = np.flatnonzero((ranks < before) & (ranks < after))
+        tied = np.flatnonzero((ranks == before) | (ranks == after))
+        if not len(tied):
+            return places[won], ranks[won]
+        mine = places[tied]
+        begins, sizes = self._runs(mine, ranks[tied])
+        wins = (ranks[tied[begins]] < before[tied[begins]]) & (ranks[tied[begins]] < after[tied[begins + sizes - 1]])
+        begins, halves = begins[wins], (sizes[wins] + 1) // 2
+        at = tied[np.repeat(begins, halves) + 2 * (np.arange(halves.sum()) - np.repeat(np.cumsum(halves) - halves, halves))]
+        both = np.concatenate([won, at])
+        return places[both], ranks[both]
+
+    def _every_second(self, places: np.ndarray) -> np.ndarray:
+        begins, sizes = self._runs(places, np.zeros(len(places)))
+        return places[(np.arange(len(places)) - np.repeat(begins, sizes)) % 2 == 0]
+
+    def _replace(self, places: np.ndarray, symbols: np.ndarray) -> None:
+        gone = self.after[places]
+        beyond = self.after[gone]
+        self.symbols[places] = symbols
+        self.alive[gone] = False
+        self.after[places] = beyond
+        self.before[beyond] = places
+        self.before[0], self.after[self.end] = self.end, self.end
+        self.open = self._ascending(self.open, places, self.before[places], without=np.append(gone, self.end))
+        if len(self.open) and self.after[self.open[-1]] == self.end:
+            self.open = self.open[:-1]
+
+    def left(self) -> np.ndarray:
+        return self.symbols[: self.end][self.alive[: self.end]]
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -108,17 +173,16 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
 
     In the end no pair occurs ``least`` times without overlapping itself.
     """
-    sequence, rules = ids.astype(np.uint32), []
+    rules, expansions = [], np.zeros(0, np.int64)
     alphabet = int(ids.max(initial=0)) + 1
     if alphabet + len(ids) > 1 << 32:
         raise ValueError("ids and rules must fit 32 bits")
-    expansions = np.zeros(0, np.int64)
-    while found := _round(sequence, alphabet + len(expansions), least):
-        pairs, sequence = found
+    sequence = _Sequence(ids)
+    while len(pairs := sequence.round(alphabet + len(expansions), least)):
         sides = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.int64)
         expansions = np.concatenate([expansions, _lengths(sides, expansions, alphabet).sum(1)])
         rules.append(sides)
-    return np.concatenate([np.zeros((0, 2), np.int64), *rules]).astype(np.uint32), expansions, sequence, alphabet
+    return np.concatenate([np.zeros((0, 2), np.int64), *rules]).astype(np.uint32), expansions, sequence.left(), alphabet
 
 
 def _lengths(symbols: np.ndarray, expansions: np.ndarray, alphabet: int) -> np.ndarray:
@@ -128,15 +192,17 @@ def _lengths(symbols: np.ndarray, expansions: np.ndarray, alphabet: int) -> np.n
 
 def expand(symbols: np.ndarray, rules: np.ndarray, expansions: np.ndarray, alphabet: int) -> np.ndarray:
     """The ids of a sequence of symbols: each rule's symbol is taken apart at its place until only ids are left."""
-    symbols, rules = symbols.astype(np.int64), rules.astype(np.int64)
-    sizes = _lengths(symbols, expansions, alphabet)
+    sizes = _lengths(symbols.astype(np.int64), expansions, alphabet)
     out, places = np.empty(int(sizes.sum()), np.uint32), np.cumsum(sizes) - sizes
+    left, right = np.ascontiguousarray(rules[:, 0]), np.ascontiguousarray(rules[:, 1])
+    skip = _lengths(left.astype(np.int64), expansions, alphabet)
     while len(symbols):
         known = symbols < alphabet
-        out[places[known]] = symbols[known]
-        pairs, places = rules[symbols[~known] - alphabet], places[~known]
-        symbols = pairs.T.reshape(-1)
-        places = np.concatenate([places, places + _lengths(pairs[:, 0], expansions, alphabet)])
+        at = np.flatnonzero(known)
+        out[places[at]] = symbols[at]
+        at = np.flatnonzero(~known)
+        rule, first = symbols[at].astype(np.int64) - alphabet, places[at]
+        symbols, places = np.concatenate([left[rule], right[rule]]), np.concatenate([first, first + skip[rule]])
     return out
 
 
