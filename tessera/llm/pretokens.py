@@ -7,8 +7,8 @@ character and its two neighbours, apart from the English contractions, which are
 
 from __future__ import annotations
 
+import codecs
 import functools
-import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 from tessera.llm.common import slices_by_bytes
 
 OTHER, LETTER, NUMBER, BLANK, SPACE, NONE = 0, 1, 2, 3, 4, 9
-#: Bytes of text that are split at a time.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that are split at a time; the more, the fewer words are looked up again.
+CHUNK_BYTES = 8 << 20
 #: A memo is emptied beyond so many words or bytes of words and values.
 MEMO_WORDS, MEMO_BYTES = 600_000, 96 << 20
 
@@ -121,21 +121,24 @@ def chunks(column: pa.Array) -> Iterator[Chunk]:
 
 
 class Memo:
-    """Values of words already met in this worker; bounded, emptied when full."""
+    """Values of words met lately in this worker, bounded: when the newer half is full it becomes the older one, from
+    which words that come again are taken over."""
 
     def __init__(self, compute: Callable[[list[bytes]], list]):
-        self.compute, self.known, self.size = compute, {}, 0
+        self.compute, self.newer, self.older, self.size = compute, {}, {}, 0
 
     def values(self, words: list[bytes]) -> list:
-        known = self.known
-        if len(known) > MEMO_WORDS or self.size > MEMO_BYTES:
-            known.clear()
-            self.size = 0
-        new = [w for w in words if w not in known]
-        if new:
-            known.update(zip(new, self.compute(new), strict=True))
-            self.size += 6 * sum(map(len, new))
-        return [known[w] for w in words]
+        if len(self.newer) > MEMO_WORDS // 2 or self.size > MEMO_BYTES // 2:
+            self.newer, self.older, self.size = {}, self.newer, 0
+        newer, older = self.newer, self.older
+        missing = [w for w in words if w not in newer]
+        if missing:
+            again = [w for w in missing if w in older]
+            newer.update(zip(again, map(older.__getitem__, again), strict=True))
+            new = [w for w in missing if w not in newer]
+            newer.update(zip(new, self.compute(new), strict=True))
+            self.size += 6 * sum(map(len, missing))
+        return list(map(newer.__getitem__, words))
 
 
 @functools.cache
@@ -164,9 +167,16 @@ def library_memo(path: str) -> Memo:
     for each time it stands in a text.
     """
     encode, letters = library_tokenizer(path).model.tokenize, byte_letters()
+    table = "".join(letters[b] for b in range(256))
 
     def compute(words: list[bytes]) -> list[bytes]:
-        found = [[t.id for t in encode(w.decode("latin-1").translate(letters))] for w in words]
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+        text, at, ids, ends = codecs.charmap_decode(b"".join(words), "strict", table)[0], 0, [], [0]
+        for w in words:
+            end = at + len(w)
+            ids += [t.id for t in encode(text[at:end])]
+            ends.append(len(ids))
+            at = end
+        raw = np.array(ids, "<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)]
 
     return Memo(compute)
