@@ -104,19 +104,24 @@ class Templates:
         self.holds = np.zeros((len(hashed), len(self.vocabulary)), bool)
         for k, codes in enumerate(self.codes):
             self.holds[k, codes] = True
+        self.kinds = self.holds.sum(1)
+        self.need = COVERAGE * np.array([len(codes) for codes in self.codes])
 
     def matches(self, places: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, int, str, float]]:
         """(first word, end word, license, coverage) in one text; places and codes: its words that any template has.
 
-        A part of the text is aligned if it has enough words of the template.  Short templates are tried from every word
+        Most templates are ruled out by how many of their words the whole text has.  A part of the text is aligned if it
+        has enough words of the template.  Short templates are tried from every word
         on, which must be an aligned one; long ones at steps of an eighth of their length, and the part reaches as much
         farther.
         """
-        for name, template, holds in zip(self.names, self.codes, self.holds, strict=True):
-            mine = holds[codes]
+        possible = (self.holds[:, np.unique(codes)].sum(1) >= 0.5 * self.kinds) & (self.need <= len(codes))
+        for k in np.flatnonzero(possible).tolist():
+            name, template, need, kinds = self.names[k], self.codes[k], self.need[k], self.kinds[k]
+            mine = self.holds[k, codes]
             at, word = places[mine], codes[mine]
             step = len(template) // 8 if len(template) >= LONG else 1
-            need, reach, kinds = COVERAGE * len(template), int(STRETCH * len(template)) + step, len(set(template))
+            reach = int(STRETCH * len(template)) + step
             ends = np.searchsorted(at, at + reach)
             start = 0
             for i in np.flatnonzero(ends - np.arange(len(at)) >= need).tolist():

