@@ -8,8 +8,12 @@ from __future__ import annotations
 import contextlib
 import io
 import json
+import sys
+import tempfile
+import types
 import uuid
 import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +35,16 @@ def _folder(spark: SparkSession, name: str) -> str:
     """A new folder that goes when the driver's JVM ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    _passing(spark, path)
+    return path
+
+
+def _passing(spark: SparkSession, path: str) -> None:
+    """A directory that goes when the driver's JVM ends."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(target)
     fs.deleteOnExit(target)
-    return path
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> list[tuple[int, str, int]]:
@@ -374,6 +383,7 @@ def table_lifecycle(spark, sf_dir):
     tables.truncate_table(spark, name)
     assert spark.table(name).isEmpty()
     tables.ensure_table_schema(spark, name, "c_nationkey int, c_custkey int")
+    _passing(spark, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}")
     steps.append(str(len(spark.table(name).columns)))
     _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("int"), F.col("c_custkey").cast("int")).write.insertInto(name)
     out = spark.sql(f"select c_nationkey, count(*) as n from {tables.quote_name(name)} group by c_nationkey")
@@ -785,3 +795,35 @@ def cf_time_units(spark, sf_dir):
 def _cf(spark: SparkSession, attributes: list, variables: list) -> DataFrame:
     found = conventions.report(spark.createDataFrame(attributes, "var string, attr string, value string"), spark.createDataFrame(variables, "var string, is_coord boolean, dims array<string>, shape array<bigint>, internal boolean"), spark.createDataFrame([], "var string, pos int, value double"))
     return found.select("code", "location", "detail")
+
+
+@query("select 'Fires' as cls, 'cube' as kind, true as usable union all select 'HotSpots', 'arrays', true")
+def command_plugin_project(spark, sf_dir):
+    """Projects written for two kinds of plugin, loaded from their files."""
+    rows, held = [], dict(plugins._REGISTRY)
+    with tempfile.TemporaryDirectory() as folder:  # a developer's tool: on the driver only
+        for name, kind in (("fires", "cube"), ("hot_spots", "arrays")):
+            made = _command(spark, "plugins-create", name, folder, "--kind", kind)
+            code = Path(folder, f"tessera-{name.replace('_', '-')}", f"tessera_{name}", "plugin.py").read_text()
+            scope: dict = {"__name__": f"tessera_{name}.plugin"}
+            sys.modules[scope["__name__"]] = types.ModuleType(scope["__name__"])
+            try:
+                exec(compile(code, name, "exec"), scope)  # noqa: S102
+            finally:
+                del sys.modules[scope["__name__"]]
+            cls = plugins.get(name)
+            rows.append((cls.__name__, "arrays" if cls().__class__.__dict__.get("array_schema") else "cube", isinstance(cls(), plugins.Ingestor) and len(made) == 4))
+    plugins._REGISTRY.clear()
+    plugins._REGISTRY.update(held)
+    return spark.createDataFrame(rows, "cls string, kind string, usable boolean")
+
+
+@query("select 'commands' as kind, true as known union all select 'options', true")
+def command_completion(spark, sf_dir):
+    """The completion script knows every command, and the options of one."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        cli.main(["completion"])
+    text = out.getvalue()
+    commands = all(f"    {c})" in text for c in ("ingest", "chunks-list", "archive-create", "plugins-create"))
+    return spark.createDataFrame([("commands", commands), ("options", "--slot-start" in text)], "kind string, known boolean")

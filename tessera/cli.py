@@ -10,7 +10,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tessera import deletion, ingest, plugins
+from tessera import deletion, ingest, plugins, scaffold
 from tessera.claims import Claims
 from tessera.functions.scalars import parse_meta_filters
 from tessera.operators import pyramid, state_log
@@ -69,11 +69,33 @@ def parser() -> argparse.ArgumentParser:
     command("plugins-list")
     command("plugins-describe", ("plugin", {}))
     command("plugins-explain", ("plugin", {}), ("option", {}))
+    command("plugins-create", ("name", {}), ("folder", {}), ("--kind", {"choices": sorted(scaffold.BODY), "default": "cube"}))
+    command("completion")
     return top
 
 
+def completion() -> str:
+    """A script for bash that completes commands and their options."""
+    commands = next(a for a in parser()._actions if isinstance(a, argparse._SubParsersAction)).choices
+    cases = "\n".join(f'    {name}) words="{" ".join(sorted(o for a in p._actions for o in a.option_strings))}" ;;' for name, p in sorted(commands.items()))
+    return f"""_tessera() {{
+  local words="{' '.join(sorted(commands))}"
+  case "${{COMP_WORDS[1]}}" in
+{cases}
+  esac
+  COMPREPLY=($(compgen -W "$words" -- "${{COMP_WORDS[COMP_CWORD]}}"))
+}}
+complete -F _tessera tessera"""
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    if a.command == "completion":
+        print(completion())
+        return 0
+    if a.command == "plugins-create":
+        _show(scaffold.create_plugin(a.name, a.folder, a.kind), a.format)
+        return 0
     if a.command.startswith("plugins-"):
         names = plugins.discover_entry_points()
         found = names if a.command == "plugins-list" else plugins.option_schema(plugins.get(a.plugin))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -75,20 +74,20 @@ def archive_members(spark: SparkSession, root: str, pattern: str = "*.zip", memb
         import re
 
         for batch in batches:
-            for path, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for path in batch.column(0).to_pylist():
                 name = data = error = None
+                fs, target = arrow_file(path)
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    with fs.open_input_file(target) as file, zipfile.ZipFile(file) as archive:  # only the directory and the member are read
                         names = [n for n in archive.namelist() if re.search(member, n, re.I)]
                         name = next((n for n in names if n.lower().endswith(".h5")), names[0] if names else None)
                         data = archive.read(name) if name else None
                         error = None if name else "no such member"
-                except (zipfile.BadZipFile, OSError) as problem:
+                except (zipfile.BadZipFile, OSError, pa.ArrowInvalid) as problem:
                     error = str(problem)
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name], pa.string()), pa.array([data], pa.binary()), pa.array([error], pa.string())], ["path", "member", "content", "error"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return files.select("path", "content").mapInArrow(run, "path string, member string, content binary, error string")
+    return listing(spark, root).where(F.col("name").rlike(glob_to_regex(pattern))).select("path").mapInArrow(run, "path string, member string, content binary, error string")
 
 
 def detections(spark: SparkSession, path: str, day: str = "day", time: str = "time") -> DataFrame:
