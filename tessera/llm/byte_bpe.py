@@ -73,14 +73,12 @@ class Bucket:
     def __init__(self, positions: list[int]):
         self.waiting, self.late = positions, None
 
-    def take(self) -> int:
-        """The least position, or -1 where none is left."""
+    def open(self) -> tuple[list[int], list[int]]:
+        """What waits, from the last to be taken to the first, and the heap of what came later; the lesser goes first."""
         if self.late is None:
             self.waiting.sort(reverse=True)
             self.late = []
-        if self.late and (not self.waiting or self.late[0] < self.waiting[-1]):
-            return heapq.heappop(self.late)
-        return self.waiting.pop() if self.waiting else -1
+        return self.waiting, self.late
 
 
 class ByteBpe:
@@ -140,9 +138,13 @@ class ByteBpe:
         after, before, joined = following.tolist(), leading.tolist(), self.joined.get
         while queue:
             rank, lower = queue.lowest(), False
-            take = queue.buckets[rank].take
+            waiting, late = queue.buckets[rank].open()
             while not lower:
-                if (at := take()) < 0:
+                if late and (not waiting or late[0] < waiting[-1]):
+                    at = heapq.heappop(late)
+                elif waiting:
+                    at = waiting.pop()
+                else:
                     queue.drop(rank)
                     break
                 left = ids[at]

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import heapq
 import random
 import re
 import time
@@ -60,7 +61,9 @@ def test_rank_queue_takes_ranks_and_positions_in_order():
     taken = []
     while queue:
         rank = queue.lowest()
-        while (at := queue.buckets[rank].take()) >= 0:
+        waiting, late = queue.buckets[rank].open()
+        while waiting or late:
+            at = heapq.heappop(late) if late and (not waiting or late[0] < waiting[-1]) else waiting.pop()
             taken.append((rank, at))
             if (rank, at) == (63, 95):
                 queue.put(63, [7, 200, 5])
