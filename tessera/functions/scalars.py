@@ -188,9 +188,9 @@ def normalise_codec(entry) -> dict:
 
 
 #: Codecs that turn arrays to bytes, that compress bytes, and that change arrays.
-SERIALIZERS = ("bytes", "sharding_indexed", "vlen-utf8", "vlen-bytes")
-COMPRESSORS = ("blosc", "crc32c", "gzip", "zstd")
-FILTERS = ("transpose", "scale_offset", "cast_value")
+SERIALIZERS = ("bytes", "sharding_indexed", "vlen-utf8", "vlen-bytes", "numcodecs.pcodec", "numcodecs.zfpy")
+COMPRESSORS = ("blosc", "crc32c", "gzip", "zstd", "numcodecs.blosc", "numcodecs.bz2", "numcodecs.crc32", "numcodecs.crc32c", "numcodecs.gzip", "numcodecs.lz4", "numcodecs.lzma", "numcodecs.shuffle", "numcodecs.zlib", "numcodecs.zstd")
+FILTERS = ("transpose", "numcodecs.astype", "numcodecs.bitround", "numcodecs.delta", "numcodecs.fixedscaleoffset", "numcodecs.packbits", "numcodecs.quantize")
 
 
 def split_codecs(codecs: list) -> tuple[list, dict | None, list]:

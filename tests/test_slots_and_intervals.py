@@ -101,6 +101,6 @@ def test_scalars(spark):
     assert (row["start"], row["end"], row["grp"]) == (10, 20, "a/b c")
     assert scalars.coerce_option("yes", bool) is True and scalars.coerce_option("[1]", list) == [1] and scalars.coerce_option("none", int) is None
     assert scalars.parse_uri("s3://b//x//y/") == {"scheme": "s3", "bucket": "b", "path": "/x/y", "remote": True}
-    assert scalars.split_codecs(["delta", "bytes", {"name": "zstd", "configuration": {"level": 3}}])[1]["name"] == "bytes"
+    assert scalars.split_codecs(["numcodecs.delta", "bytes", {"name": "zstd", "configuration": {"level": 3}}])[1]["name"] == "bytes"
     assert scalars.compare_codecs(["bytes"], ["bytes", "zstd"]) == ["1 codecs declared, 2 stored"]
     assert scalars.label_value([1] * 6) == "" and scalars.label_value({"a": 1}) == "" and len(scalars.label_value("x" * 200)) == 128
