@@ -192,17 +192,18 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """
     model = train(docs)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots can't pass through a map
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = string_buffers(batch.column("text"))
+            offsets, data = string_buffers(batch.column(text))
             view = memoryview(data)
             for first, last in slices_by_bytes(np.maximum(np.diff(offsets), CHUNK_BYTES // 256), CHUNK_BYTES):
                 langs, _ = shipped.value.predict([str(view[offsets[i] : offsets[i + 1]], "utf-8") for i in range(first, last)])
                 rows = batch.slice(first, last - first)
-                filled = [a if a is not None else p for a, p in zip(rows.column("lang").to_pylist(), langs, strict=True)]
-                rows = rows.set_column(names.index("lang"), "lang", pa.array(filled, pa.string()))
-                yield rows.filter(pa.array([p != UNKNOWN for p in langs]))
+                filled = [a if a is not None else p for a, p in zip(rows.column(lang).to_pylist(), langs, strict=True)]
+                rows = rows.set_column(lang, f"c{lang}", pa.array(filled, pa.string()))
+                yield rows.filter(pa.array([p != UNKNOWN for p in langs], pa.bool_()))
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(plain, run, plain.schema).toDF(*docs.columns)

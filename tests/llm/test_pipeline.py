@@ -96,3 +96,16 @@ def test_every_id_is_packed_once(stages, spark, sf_dir):
             assert r["offset"] == at
             at += r["length"]
         assert at <= 1024
+
+
+def test_columns_with_clashing_names_pass_through(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "the cat and the dog sat here", "en"), (1, "the cat and the dog sat here", "en"), (2, "The cat, and the dog sat here!", None), (3, "token=abcdef123456 and other words", "en"), (None, "no id at all here", "en")], "doc_id long, text string, lang string")
+    names = ["source", "n_chars", "row", "id", "key", "stay", "digest", "marked", "parts", "s0", "runs", "clean", "some", "class_id", "rep", "a.b"]
+    docs = docs.withColumns({n: F.lit(7).cast("long") for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "clash")
+        assert docs.columns == ["doc_id", "text", "lang", *names]
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"] or 0)
+    assert [r["doc_id"] for r in rows] == [None, 1, 3] and rows[2]["text"] == "[SECRET] and other words" and rows[2]["n_chars"] == 24
+    assert all(r[n] == 7 for r in rows for n in names if n != "n_chars")
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == 3

@@ -52,6 +52,8 @@ def test_bpe_ids_and_decoding_equal_the_library(spark, library):
         assert got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
     assert byte_bpe.encode_documents(docs(spark, []), RANKS).count() == 0
+    twice = byte_bpe.encode_documents(docs(spark, ["again"]).union(spark.createDataFrame([(0, "again"), (None, "again")], "doc_id long, text string")), RANKS).collect()
+    assert len(twice) == 3 and len({r["ids_sha256"] for r in twice}) == 1
 
 
 def test_rank_queue_takes_ranks_and_positions_in_order():
