@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import uuid
@@ -67,7 +69,19 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     held = settings.get("PYTHONPATH", "").split(os.pathsep)
     if root not in held:
         settings["PYTHONPATH"] = os.pathsep.join([root, *filter(None, held)])
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        free_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def free_memory() -> None:
+    """Gives what a finished task has freed back to the system, as workers live on beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def slices_by_bytes(lengths: "np.ndarray", limit: int) -> Iterator[tuple[int, int]]:  # noqa: F821

@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 from tessera.llm.common import slices_by_bytes
 
 OTHER, LETTER, NUMBER, BLANK, SPACE, NONE = 0, 1, 2, 3, 4, 9
-#: Bytes of text that are split at a time; the more, the fewer words are looked up again.
-CHUNK_BYTES = 8 << 20
+#: Bytes of text that are split at a time; the more, the fewer words are looked up again, and the more memory it takes.
+CHUNK_BYTES = 2 << 20
 #: A memo is emptied beyond so many words or bytes of words and values.
 MEMO_WORDS, MEMO_BYTES = 600_000, 96 << 20
 
@@ -40,12 +40,14 @@ def class_table() -> np.ndarray:
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
-    """Offsets (int64, rows + 1) into the returned UTF-8 buffer; null texts count as empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """Offsets (int64, rows + 1) into the returned UTF-8 buffer; null texts count as empty.  Texts aren't copied."""
+    if column.null_count:
+        column = pc.fill_null(column, "")
     if not len(column):
         return np.zeros(1, np.int64), pa.py_buffer(b"")
     _, offsets, data = column.buffers()
-    return np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1], data if data is not None else pa.py_buffer(b"")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    return np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64), data if data is not None else pa.py_buffer(b"")
 
 
 def code_points(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -101,11 +103,11 @@ class Chunk:
         return np.frombuffer(offsets, np.int64)[taken.offset :][self.doc_tokens], memoryview(data if data is not None else b"")
 
 
-def chunks(column: pa.Array) -> Iterator[Chunk]:
+def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """The texts of a column in runs of bounded size, each split into pre-tokens."""
     offsets, data = string_buffers(column)
     view = memoryview(data)
-    for first, last in slices_by_bytes(np.diff(offsets), CHUNK_BYTES):
+    for first, last in slices_by_bytes(np.diff(offsets), size):
         raw = bytes(view[offsets[first] : offsets[last]])
         texts = offsets[first : last + 1] - offsets[first]
         if not raw:
@@ -121,24 +123,20 @@ def chunks(column: pa.Array) -> Iterator[Chunk]:
 
 
 class Memo:
-    """Values of words met lately in this worker, bounded: when the newer half is full it becomes the older one, from
-    which words that come again are taken over."""
+    """Values of words already met in this worker; bounded, emptied when full."""
 
     def __init__(self, compute: Callable[[list[bytes]], list]):
-        self.compute, self.newer, self.older, self.size = compute, {}, {}, 0
+        self.compute, self.known, self.size = compute, {}, 0
 
     def values(self, words: list[bytes]) -> list:
-        if len(self.newer) > MEMO_WORDS // 2 or self.size > MEMO_BYTES // 2:
-            self.newer, self.older, self.size = {}, self.newer, 0
-        newer, older = self.newer, self.older
-        missing = [w for w in words if w not in newer]
-        if missing:
-            again = [w for w in missing if w in older]
-            newer.update(zip(again, map(older.__getitem__, again), strict=True))
-            new = [w for w in missing if w not in newer]
-            newer.update(zip(new, self.compute(new), strict=True))
-            self.size += 6 * sum(map(len, missing))
-        return list(map(newer.__getitem__, words))
+        if len(self.known) > MEMO_WORDS or self.size > MEMO_BYTES:
+            self.known, self.size = {}, 0
+        known = self.known
+        new = [w for w in words if w not in known]
+        if new:
+            known.update(zip(new, self.compute(new), strict=True))
+            self.size += 6 * sum(map(len, new))
+        return list(map(known.__getitem__, words))
 
 
 @functools.cache

@@ -36,6 +36,8 @@ from tessera.llm.pretokens import chunks, library_memo
 END_ID = 0
 #: A shard is closed at so many ids; a longer document still forms one shard.
 SHARD_IDS = 1 << 20
+#: Bytes of text that are split at a time.
+SPLIT_BYTES = 8 << 20
 #: A pair gets a rule if it occurs so often.
 LEAST = 2
 FILE = "part int, shard int, first_start long, n_ids long, alphabet long, n_rules long, rules binary, reach int, expansions binary, width int, n_symbols long, symbols binary, doc_ids binary, doc_ids_null binary, doc_sizes binary"
@@ -281,7 +283,7 @@ def write_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS) -> Data
 
         total = 0
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), SPLIT_BYTES):
                 at, raw = chunk.gather(memo.values(chunk.words))
                 for k, doc_id in enumerate(batch.column(0).slice(chunk.rows.start, len(chunk.rows)).to_pylist()):
                     held += [bytes(raw[at[k] : at[k + 1]]), end]
