@@ -200,3 +200,31 @@ def test_batches_hooks_and_options(spark, tmp_path):
     assert "tessera_run_rows{" in text and spark.table("prepared").count() == 1
     with pytest.raises(ValueError, match="unknown options: typo"):
         plugins.configure(Batched, {"typo": "1"})
+
+
+def test_many_batches_are_built_by_few_jobs_and_fail_one_by_one(spark, tmp_path):
+    def ran(name, per_item, build, source="0-120", **more):
+        calls, held, plugin, product = [], [], Minutes(), ingest.Product("demo", str(tmp_path / name))
+        plugin.per_item, plugin.prepare_batch, plugin.cleanup_batch = per_item, held.append, held.remove
+        plugin.build = lambda items: calls.append(1) or build(items)
+        first = max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=0)
+        ended = ingest.run(spark, plugin, product, source, batch_items=2, workers=2, **more)
+        assert not held
+        failed = {r["batch_id"] for r in product.events(spark).where("event_type = 'batch_failed'").select(F.get_json_object("record", "$.batch_id").alias("batch_id")).collect()}
+        return slots_of(spark, product), failed, len(calls), max(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - first, ended["summary"]
+
+    every, whole = list(range(120)), Minutes().build
+    slots, failed, calls, jobs, summary = ran("each", False, whole)
+    assert sorted(slots) == every and not failed and calls == 60 and jobs < 60 and summary["batches_total"] == 60
+    slots, failed, calls, jobs, summary = ran("items", True, whole)
+    assert sorted(slots) == every and not failed and calls == 1 and jobs < 60 and summary["batches_total"] == 60
+    # A build over a batch sees the items of that batch only.
+    slots, *_ = ran("least", False, lambda items: whole(items).groupBy("grp").agg(F.min("time").alias("time"), F.min("v").alias("v")))
+    assert sorted(slots) == every[::2]
+    # Batch 7 fails where its rows are made, not where its plan is.
+    broken = lambda items: whole(items).withColumn("v", F.when(F.unix_seconds("time") % 7200 == 14 * 60, F.raise_error(F.lit("broken")).cast("double")).otherwise(F.col("v")))
+    for per_item in (False, True):
+        slots, failed, *_ = ran(f"broken{per_item}", per_item, broken, "0-20", keep_going=True)
+        assert sorted(slots) == [s for s in every[:20] if s not in (14, 15)] and failed == {"batch_0007"}
+        with pytest.raises(Exception, match="broken"):
+            ran(f"stopped{per_item}", per_item, broken, "0-20")
