@@ -228,3 +228,19 @@ def test_many_batches_are_built_by_few_jobs_and_fail_one_by_one(spark, tmp_path)
         assert sorted(slots) == [s for s in every[:20] if s not in (14, 15)] and failed == {"batch_0007"}
         with pytest.raises(Exception, match="broken"):
             ran(f"stopped{per_item}", per_item, broken, "0-20")
+
+
+def test_batches_that_cant_be_prepared_are_left_out_of_the_jobs(spark, tmp_path):
+    def prepare(batch):
+        if int(batch[-4:]) % 3 == 1:
+            raise RuntimeError(f"no {batch}")
+
+    plugin, cleaned, product = Minutes(), [], ingest.Product("demo", str(tmp_path / "demo"))
+    plugin.per_item, plugin.prepare_batch, plugin.cleanup_batch = True, prepare, cleaned.append
+    first = max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=0)
+    ended = ingest.run(spark, plugin, product, "0-120", batch_items=2, keep_going=True)
+    assert max(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - first < 40
+    failed = product.events(spark).where("event_type = 'batch_failed'").select(F.get_json_object("record", "$.batch_id").alias("b"), F.get_json_object("meta", "$.error").alias("e")).collect()
+    assert {(r["b"], r["e"]) for r in failed} == {(f"batch_{i:04d}", f"no batch_{i:04d}") for i in range(1, 60, 3)}
+    assert slots_of(spark, product) == [s for s in range(120) if s // 2 % 3 != 1]
+    assert ended["summary"]["batches_failed"] == 20 and sorted(cleaned) == [f"batch_{i:04d}" for i in range(60)]
