@@ -44,3 +44,28 @@ def test_entry_works_and_the_subpackage_is_optional(spark, sf_dir):
 
     assert __spark_entry__.entry(spark).columns[:2] == ["grp", "slot"]
     assert set(catalogue.queries()) <= set(__spark_entry__.queries())
+
+
+def same_rows(spark, folder, tables, *names):
+    """Whether queries give the rows of their SQL over tables written to a folder, as multisets."""
+    con = duckdb.connect()
+    con.sql("set timezone = 'UTC'")
+    for table, rows in tables.items():
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{table}.parquet")
+        con.sql(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    for name in names:
+        catalogue.queries()[name](spark, str(folder)).write.parquet(f"{folder}/out/{name}")
+        con.sql(f"create table theirs_{name} as {catalogue.oracle_sql()[name]}")
+        columns = ", ".join(f'"{c}"' for c in con.sql(f"select * from theirs_{name} limit 0").columns)
+        ours, theirs = f"select {columns} from '{folder}/out/{name}/*.parquet'", f"select {columns} from theirs_{name}"
+        assert con.sql(f"select count(*) from theirs_{name}").fetchall() == con.sql(f"select count(*) from ({ours})").fetchall()
+        assert not con.sql(f"{ours} except all {theirs} limit 5").fetchall()
+    return True
+
+
+def test_more_batches_than_four_digits_are_numbered_as_in_sql(spark, tmp_path):
+    assert same_rows(spark, tmp_path, {"events": spark.range(64 * 10_012 + 3).withColumnRenamed("id", "event_id")}, "batch_assign")
+    # The operator's own ids stay whole, so that no two batches share one.
+    from tessera.operators import tabular
+
+    assert tabular.batches(spark.range(10_003), 1, "id").select("batch_id").distinct().count() == 10_003
