@@ -6,6 +6,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import catalogue
 
@@ -69,3 +70,7 @@ def test_more_batches_than_four_digits_are_numbered_as_in_sql(spark, tmp_path):
     from tessera.operators import tabular
 
     assert tabular.batches(spark.range(10_003), 1, "id").select("batch_id").distinct().count() == 10_003
+
+
+def test_digests_of_more_batches_than_four_digits_are_those_of_sql(spark, tmp_path):
+    assert same_rows(spark, tmp_path, {"events": spark.range(500 * 10_002 + 3).select(F.col("id").alias("event_id"), F.lit(1.0).alias("value"))}, "batch_digest")
