@@ -74,3 +74,16 @@ def test_more_batches_than_four_digits_are_numbered_as_in_sql(spark, tmp_path):
 
 def test_digests_of_more_batches_than_four_digits_are_those_of_sql(spark, tmp_path):
     assert same_rows(spark, tmp_path, {"events": spark.range(500 * 10_002 + 3).select(F.col("id").alias("event_id"), F.lit(1.0).alias("value"))}, "batch_digest")
+
+
+#: Users of up to five digits; from 10000 on the SQL gives several users one run id.
+USERS = [*range(12), *range(1000, 1004), *range(9_990, 10_045), 20_001, 20_002, 99_995]
+
+
+def logged(spark):
+    rows = spark.range(600).withColumn("users", F.array(*[F.lit(u).cast("long") for u in USERS]))
+    return rows.selectExpr("id as event_id", "timestamp_seconds(1704067200 + id * 997) as ts", "users[id % size(users)] as user_id", "element_at(array('click', 'view', 'error'), cast(id % 3 as int) + 1) as event_type", "double(id) as value")
+
+
+def test_all_runs_are_listed_where_ids_of_sql_are_cut(spark, tmp_path):
+    assert same_rows(spark, tmp_path, {"events": logged(spark)}, "command_runs_list")
