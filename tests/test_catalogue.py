@@ -87,3 +87,7 @@ def logged(spark):
 
 def test_all_runs_are_listed_where_ids_of_sql_are_cut(spark, tmp_path):
     assert same_rows(spark, tmp_path, {"events": logged(spark)}, "command_runs_list")
+
+
+def test_all_stale_runs_are_named_where_ids_of_sql_are_cut(spark, tmp_path):
+    assert same_rows(spark, tmp_path, {"events": logged(spark)}, "command_runs_abandon")
