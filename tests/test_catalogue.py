@@ -91,3 +91,7 @@ def test_all_runs_are_listed_where_ids_of_sql_are_cut(spark, tmp_path):
 
 def test_all_stale_runs_are_named_where_ids_of_sql_are_cut(spark, tmp_path):
     assert same_rows(spark, tmp_path, {"events": logged(spark)}, "command_runs_abandon")
+
+
+def test_open_runs_of_even_users_are_given_up_where_ids_of_sql_are_cut(spark, tmp_path):
+    assert same_rows(spark, tmp_path, {"events": logged(spark)}, "runs_abandoned")
