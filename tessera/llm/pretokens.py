@@ -20,7 +20,7 @@ from tessera.llm.common import slices_by_bytes
 OTHER, LETTER, NUMBER, BLANK, SPACE, NONE = 0, 1, 2, 3, 4, 9
 #: Bytes of text that are split at a time; the more, the fewer words are looked up again, and the more memory it takes.
 CHUNK_BYTES = 2 << 20
-#: A memo is emptied beyond so many words or bytes of words and values.
+#: A memo forgets beyond so many words or bytes of words and values.
 MEMO_WORDS, MEMO_BYTES = 600_000, 96 << 20
 
 
@@ -39,6 +39,12 @@ def class_table() -> np.ndarray:
     return table
 
 
+@functools.cache
+def low_classes() -> bytes:
+    """The part of the table that most texts need."""
+    return class_table()[:256].tobytes()
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
     """Offsets (int64, rows + 1) into the returned UTF-8 buffer; null texts count as empty.  Texts aren't copied."""
     if column.null_count:
@@ -60,7 +66,9 @@ def code_points(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def pretoken_starts(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     """Positions at which the matches of the pattern start.  doc_starts: first position of each non-empty text."""
-    kind = class_table()[points]
+    kind = np.frombuffer(bytearray(points.astype(np.uint8)).translate(low_classes()), np.uint8)
+    wide = np.flatnonzero(points > 255)
+    kind[wide] = class_table()[points[wide]]
     n = len(kind)
     before, after = np.empty(n, np.uint8), np.empty(n, np.uint8)
     before[1:], after[:-1] = kind[:-1], kind[1:]
@@ -119,24 +127,29 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
         bounds = np.append(at[starts], len(raw)).astype(np.int64)
         tokens = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
         coded = tokens.dictionary_encode()
-        yield Chunk(range(first, last), coded.dictionary.to_pylist(), coded.indices, np.searchsorted(bounds, texts))
+        yield Chunk(range(first, last), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices, np.searchsorted(bounds, texts))
 
 
 class Memo:
-    """Values of words already met in this worker; bounded, emptied when full."""
+    """Values of words already met in this worker; bounded: when full, only words that are being asked for stay."""
 
     def __init__(self, compute: Callable[[list[bytes]], list]):
         self.compute, self.known, self.size = compute, {}, 0
 
     def values(self, words: list[bytes]) -> list:
+        found = list(map(self.known.get, words))
         if len(self.known) > MEMO_WORDS or self.size > MEMO_BYTES:
-            self.known, self.size = {}, 0
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            known.update(zip(new, self.compute(new), strict=True))
+            self.known = {w: value for w, value in zip(words, found, strict=True) if value is not None}
+            self.size = 6 * sum(map(len, self.known))
+        places = [k for k, value in enumerate(found) if value is None]
+        if places:
+            new = [words[k] for k in places]
+            values = self.compute(new)
+            self.known.update(zip(new, values, strict=True))
             self.size += 6 * sum(map(len, new))
-        return list(map(known.__getitem__, words))
+            for k, value in zip(places, values, strict=True):
+                found[k] = value
+        return found
 
 
 @functools.cache

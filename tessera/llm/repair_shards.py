@@ -56,9 +56,11 @@ def _sorted_pairs(left: np.ndarray, right: np.ndarray, places: np.ndarray, symbo
         keys <<= place_bits
         keys |= places.view(np.uint64)
         keys.sort()
-        starts = np.flatnonzero((keys[1:] ^ keys[:-1]) >> place_bits) + 1
+        starts = np.flatnonzero((keys[1:] ^ keys[:-1]) >= np.uint64(1) << place_bits) + 1
         first = keys[np.append(0, starts)] >> place_bits
-        pairs, places = first >> bits << np.uint64(32) | first & ((np.uint64(1) << bits) - np.uint64(1)), (keys & ((np.uint64(1) << place_bits) - np.uint64(1))).view(np.int64)
+        pairs = first >> bits << np.uint64(32) | first & ((np.uint64(1) << bits) - np.uint64(1))
+        keys &= (np.uint64(1) << place_bits) - np.uint64(1)
+        places = keys.view(np.int64)
     else:
         keys = keys << np.uint64(32) | right
         order = np.argsort(keys, kind="stable")
@@ -69,105 +71,86 @@ def _sorted_pairs(left: np.ndarray, right: np.ndarray, places: np.ndarray, symbo
 
 
 class _Sequence:
-    """The symbols as a linked list, so that a round only touches places whose pair may repeat.
+    """The symbols end to end, and the places whose pair may repeat.
 
     A pair of symbols that exist already never becomes more frequent; so beside the pairs that repeat, only those with a
     new symbol are looked at again.
     """
 
     def __init__(self, ids: np.ndarray):
-        n = len(ids)
-        self.symbols = np.append(ids, 0).astype(np.uint32)  # the last place stands for the end
-        self.after, self.before = np.arange(1, n + 2), np.arange(-1, n)
-        self.before[0], self.after[n] = n, n
-        self.alive, self.end = np.ones(n + 1, bool), n
-        self.rank = np.full(n + 1, n + 1, np.int32)
-        self.open = np.arange(max(0, n - 1))
+        self.symbols = np.array(ids, np.uint32)
+        self.open = np.arange(max(0, len(ids) - 1))
 
     def round(self, first_symbol: int, least: int) -> np.ndarray:
         """Replaces pairs that occur often enough, the more frequent first; returns those that got a symbol."""
         if not len(self.open):
             return np.zeros(0, np.uint64)
-        none = self.end + 1
-        pairs, times, places = _sorted_pairs(self.symbols[self.open], self.symbols[self.after[self.open]], self.open, first_symbol)
+        none = len(self.symbols) + 1
+        pairs, times, places = _sorted_pairs(self.symbols.take(self.open), self.symbols[1:].take(self.open), self.open, first_symbol)
         frequent = np.flatnonzero(times >= least)
-        order = frequent[np.argsort(-times[frequent], kind="stable")]
+        order = frequent[np.sort((none - times[frequent]) << 32 | np.arange(len(frequent))) & 0xFFFFFFFF]  # ties by pair
         rank_of = np.full(len(pairs), none, np.int32)
         rank_of[order] = np.arange(len(order))
-        ranks = np.repeat(rank_of, times)
-        some = np.flatnonzero(ranks < none)
-        places = places[some]
-        self.rank[places] = ranks[some]
-        self.open = self._ascending(places)
-        taken, ranks = self._winners(self.open, self.rank[self.open])
+        rank = np.full(none + 1, none, np.int32)  # each place between its neighbours: place p at p + 1
+        mine = rank[1:-1]
+        mine[places] = np.repeat(rank_of, times)
+        taken = self._winners(rank, none)
+        ranks = mine.take(taken)
         accepted = np.bincount(ranks, minlength=len(order)) >= least
         if not accepted.any():
             # What overlaps kept every pair below: the most frequent pair that can be replaced often enough goes alone.
+            at = np.flatnonzero(mine < none)
             for k in range(len(order)):
-                alone = self._every_second(self.open[self.rank[self.open] == k])
+                alone = self._every_second(at[mine[at] == k])
                 if len(alone) >= least:
                     taken, ranks = alone, np.full(len(alone), k)
                     accepted[k] = True
                     break
-        self.rank[self.open] = none
         if not accepted.any():
             self.open = self.open[:0]
             return np.zeros(0, np.uint64)
-        keep = np.flatnonzero(accepted[ranks])
-        self._replace(taken[keep], (first_symbol + np.cumsum(accepted) - 1)[ranks[keep]])
+        keep = accepted.take(ranks)
+        self._replace(taken.compress(keep), (first_symbol + np.cumsum(accepted) - 1).take(ranks.compress(keep)), rank[:-1] < none)
         return pairs[order[accepted]]
 
-    def _ascending(self, *places: np.ndarray, without: np.ndarray | None = None) -> np.ndarray:
-        """Distinct places in order, without some."""
-        mark = np.zeros(self.end + 1, bool)
-        for p in places:
-            mark[p] = True
-        if without is not None:
-            mark[without] = False
-        return np.flatnonzero(mark)
-
     def _runs(self, places: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where runs of neighbouring places of one rank begin, and their lengths: longer than 1 where a symbol repeats."""
-        fresh = np.concatenate([[True], (self.after[places[:-1]] != places[1:]) | (ranks[1:] != ranks[:-1])])[: len(places)]
+        fresh = np.concatenate([[True], (places[:-1] + 1 != places[1:]) | (ranks[1:] != ranks[:-1])])[: len(places)]
         begins = np.flatnonzero(fresh)
         return begins, np.diff(begins, append=len(places))
 
-    def _winners(self, places: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places that win over the pairs on both sides, with their ranks.
+    def _winners(self, rank: np.ndarray, none: int) -> np.ndarray:
+        """Places that win over the pairs on both sides.
 
         Of a run of places of one rank that wins, every second one is taken.
         """
-        before, after = self.rank[self.before[places]], self.rank[self.after[places]]
-        won = np.flatnonzero((ranks < before) & (ranks < after))
-        tied = np.flatnonzero((ranks == before) | (ranks == after))
-        if not len(tied):
-            return places[won], ranks[won]
-        mine = places[tied]
-        begins, sizes = self._runs(mine, ranks[tied])
-        wins = (ranks[tied[begins]] < before[tied[begins]]) & (ranks[tied[begins]] < after[tied[begins + sizes - 1]])
-        begins, halves = begins[wins], (sizes[wins] + 1) // 2
-        at = tied[np.repeat(begins, halves) + 2 * (np.arange(halves.sum()) - np.repeat(np.cumsum(halves) - halves, halves))]
-        both = np.concatenate([won, at])
-        return places[both], ranks[both]
+        before, mine, after = rank[:-2], rank[1:-1], rank[2:]
+        won = (mine < before) & (mine < after)
+        equal = (rank[1:] == rank[:-1]) & (rank[1:] < none)
+        if equal.any():
+            tied = np.flatnonzero(equal[1:] | equal[:-1])
+            ranks = mine[tied]
+            begins, sizes = self._runs(tied, ranks)
+            wins = (ranks[begins] < before[tied[begins]]) & (ranks[begins] < after[tied[begins + sizes - 1]])
+            begins, halves = begins[wins], (sizes[wins] + 1) // 2
+            won[tied[np.repeat(begins, halves) + 2 * (np.arange(halves.sum()) - np.repeat(np.cumsum(halves) - halves, halves))]] = True
+        return np.flatnonzero(won)
 
     def _every_second(self, places: np.ndarray) -> np.ndarray:
         begins, sizes = self._runs(places, np.zeros(len(places)))
         return places[(np.arange(len(places)) - np.repeat(begins, sizes)) % 2 == 0]
 
-    def _replace(self, places: np.ndarray, symbols: np.ndarray) -> None:
-        gone = self.after[places]
-        beyond = self.after[gone]
+    def _replace(self, places: np.ndarray, symbols: np.ndarray, look: np.ndarray) -> None:
+        """look: the places to look at again (place p at p + 1); those beside a new symbol join them."""
         self.symbols[places] = symbols
-        self.alive[gone] = False
-        self.after[places] = beyond
-        self.before[beyond] = places
-        self.before[0], self.after[self.end] = self.end, self.end
-        self.open = self._ascending(self.open, places, self.before[places], without=np.append(gone, self.end))
-        if len(self.open) and self.after[self.open[-1]] == self.end:
-            self.open = self.open[:-1]
-
-    def left(self) -> np.ndarray:
-        return self.symbols[: self.end][self.alive[: self.end]]
+        look[places] = True
+        look[places + 1] = True
+        alive = np.ones(len(self.symbols), bool)
+        alive[places + 1] = False
+        # A mask copies run by run, which is fast where few symbols go; else their places are faster.
+        left = alive if 16 * len(places) < len(alive) else np.flatnonzero(alive)
+        self.symbols = self.symbols[left]
+        self.open = np.flatnonzero(look[1:][left][:-1])
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -184,27 +167,28 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
         sides = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.int64)
         expansions = np.concatenate([expansions, _lengths(sides, expansions, alphabet).sum(1)])
         rules.append(sides)
-    return np.concatenate([np.zeros((0, 2), np.int64), *rules]).astype(np.uint32), expansions, sequence.left(), alphabet
+    return np.concatenate([np.zeros((0, 2), np.int64), *rules]).astype(np.uint32), expansions, sequence.symbols, alphabet
 
 
 def _lengths(symbols: np.ndarray, expansions: np.ndarray, alphabet: int) -> np.ndarray:
-    """How many ids each symbol stands for."""
-    return np.where(symbols < alphabet, 1, np.append(expansions, 1)[np.clip(symbols - alphabet, 0, len(expansions))])
+    """How many ids each symbol (int64) stands for."""
+    rules = np.minimum((symbols - alphabet).view(np.uint64), np.uint64(len(expansions)))  # ids wrap round and get the last place
+    return np.append(expansions, 1).take(rules.view(np.int64))
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, expansions: np.ndarray, alphabet: int) -> np.ndarray:
     """The ids of a sequence of symbols: each rule's symbol is taken apart at its place until only ids are left."""
-    sizes = _lengths(symbols.astype(np.int64), expansions, alphabet)
+    symbols, left, right = symbols.astype(np.int64), rules[:, 0].astype(np.int64), rules[:, 1].astype(np.int64)
+    sizes, skip = _lengths(symbols, expansions, alphabet), _lengths(left, expansions, alphabet)
     out, places = np.empty(int(sizes.sum()), np.uint32), np.cumsum(sizes) - sizes
-    left, right = np.ascontiguousarray(rules[:, 0]), np.ascontiguousarray(rules[:, 1])
-    skip = _lengths(left.astype(np.int64), expansions, alphabet)
-    while len(symbols):
-        known = symbols < alphabet
-        at = np.flatnonzero(known)
-        out[places[at]] = symbols[at]
-        at = np.flatnonzero(~known)
-        rule, first = symbols[at].astype(np.int64) - alphabet, places[at]
-        symbols, places = np.concatenate([left[rule], right[rule]]), np.concatenate([first, first + skip[rule]])
+    out[places] = symbols
+    at = np.flatnonzero(symbols >= alphabet)
+    rule, places = symbols.take(at) - alphabet, places.take(at)
+    while len(rule):
+        first, second, beyond = left.take(rule), right.take(rule), places + skip.take(rule)
+        out[places], out[beyond] = first, second
+        a, b = np.flatnonzero(first >= alphabet), np.flatnonzero(second >= alphabet)
+        rule, places = np.append(first.take(a), second.take(b)) - alphabet, np.append(places.take(a), beyond.take(b))
     return out
 
 
@@ -318,7 +302,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 sizes = np.frombuffer(row["doc_sizes"], np.uint32).astype(np.int64)
-                ids = memoryview(expand(*grammar(row)).tobytes())
+                ids = memoryview(expand(*grammar(row)).view(np.uint8))
                 ends = np.cumsum(sizes)
                 crcs = [zlib.crc32(ids[4 * (b - n) : 4 * b]) for n, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
                 doc_ids = pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["doc_ids_null"], np.uint8) > 0)
