@@ -1,6 +1,7 @@
 """Every registered core query against its SQL in DuckDB on the smallest tables."""
 
 import glob
+import json
 import os
 
 import duckdb
@@ -8,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import catalogue
+from tessera import catalogue, cli
 
 
 @pytest.fixture(scope="module")
@@ -89,6 +90,21 @@ def test_all_runs_are_listed_where_ids_of_sql_are_cut(spark, tmp_path):
     assert same_rows(spark, tmp_path, {"events": logged(spark)}, "command_runs_list")
 
 
+def test_all_of_more_than_a_million_runs_are_listed(spark, tmp_path):
+    rows = spark.range(1_000_003).selectExpr("id as event_id", "timestamp_seconds(1704067200 + id) as ts", "id as user_id", "'view' as event_type", "double(id) as value")
+    assert same_rows(spark, tmp_path, {"events": rows}, "command_runs_list")
+
+
+def test_a_listing_of_runs_is_whole_unless_a_limit_is_given(spark, tmp_path, capsys):
+    root, ids = f"{tmp_path}/demo", [f"run-{i:04d}" for i in range(1_234)]
+    spark.createDataFrame([("demo", i, "complete", 1.0) for i in ids], "product string, run_id string, status string, updated_at double").write.parquet(f"{root}/_control/runs")
+    for options, expected in (((), ids), (("--limit", "3"), ids[:3])):
+        assert cli.main(["runs-list", root, *options]) == 0
+        assert [r["run_id"] for r in json.loads(capsys.readouterr().out.strip().splitlines()[-1])] == expected
+    assert cli.main(["runs-list", root, "--output", f"{tmp_path}/listed"]) == 0
+    assert sorted(r["run_id"] for r in spark.read.parquet(f"{tmp_path}/listed").collect()) == ids
+
+
 def test_all_stale_runs_are_named_where_ids_of_sql_are_cut(spark, tmp_path):
     assert same_rows(spark, tmp_path, {"events": logged(spark)}, "command_runs_abandon")
 
